@@ -15,3 +15,13 @@ def case(pairs: Iterable[tuple[Column, object]], otherwise: object = None) -> Co
         out = F.when(condition, value) if out is None else out.when(condition, value)
     default = otherwise if isinstance(otherwise, Column) else F.lit(otherwise)
     return default if out is None else out.otherwise(default)
+
+
+def sql_string(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_strings(values: Iterable[str]) -> str:
+    """SQL array literal. Long constant tables are written as SQL text: one call instead of one per value."""
+    return "cast(array(" + ", ".join(map(sql_string, values)) + ") as array<string>)"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta import rules
+from sedimenta.functions.cases import sql_string
 from sedimenta.functions.dialect import LINE_BREAK, STRIP, WORD, portable
 
 
@@ -65,13 +66,14 @@ def redact_secrets(text: Column, secret_rules=rules.SECRET_RULES) -> Column:
 def may_hold_secret(text: Column, low: Column) -> Column:
     """Cheap necessary condition for any rule: a key word stem and an assignment sign, or a key header.
 
-    ``low`` is the text in upper and then lower case, which folds the same characters as the case-insensitive
-    patterns do.
+    ``low`` is the lower-cased text. Three letters that the patterns fold but lower case does not (long s, dotless
+    i, dotted I) let a text pass.
     """
     stem = F.lit(False)
     for word in rules.SECRET_STEMS:
         stem = stem | low.contains(word)
-    return (stem & (text.contains("=") | text.contains(":"))) | text.contains("-----BEGIN ")
+    odd = text.contains("ſ") | text.contains("ı") | text.contains("İ")
+    return (stem & (text.contains("=") | text.contains(":"))) | text.contains("-----BEGIN ") | odd
 
 
 def with_redaction(df: DataFrame, column: str, secret_rules=None) -> DataFrame:
@@ -86,7 +88,7 @@ def with_redaction(df: DataFrame, column: str, secret_rules=None) -> DataFrame:
     work = df
     if secret_rules is None:
         secret_rules = rules.SECRET_RULES
-        work = work.withColumn("_low", F.lower(F.upper(column)))
+        work = work.withColumn("_low", F.lower(column))
         start = F.when(may_hold_secret(F.col(column), F.col("_low")), F.col(column))
     work = work.withColumn("_t0", start)
     for i, (_, pattern, placeholder) in enumerate(secret_rules):
@@ -134,15 +136,20 @@ def indicator_pattern(indicator: str) -> str:
     return f"(?<![{WORD}]){indicator}(?![{WORD}])"
 
 
-def match_indicator(low: Column, indicator: str) -> Column:
-    """Short alphabetic indicators match whole words, all others match as substrings of lower-cased text."""
+def indicator_test(low: str, indicator: str) -> str:
+    """SQL condition on a column of lower-cased text: short alphabetic indicators match whole words, all others
+    match as substrings. The substring test is cheap and rejects nearly every text before the pattern runs."""
     word = indicator.lower()
     if not word:
-        return F.lit(False)
+        return "false"
+    test = f"contains({low}, {sql_string(word)})"
     if len(word) <= 4 and word.isalpha():
-        # the substring test is cheap and rejects nearly every text before the pattern runs
-        return low.contains(word) & low.rlike(indicator_pattern(word))
-    return low.contains(word)
+        return f"({test} AND {low} RLIKE {sql_string(indicator_pattern(word))})"
+    return test
+
+
+def match_indicator(low: str, indicator: str) -> Column:
+    return F.expr(indicator_test(low, indicator))
 
 
 def lines(text: Column) -> Column:

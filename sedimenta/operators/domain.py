@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta import rules
-from sedimenta.functions.cases import case
+from sedimenta.functions.cases import case, sql_string
 from sedimenta.functions import text
 from sedimenta.operators.skew import salted_join
 
@@ -37,18 +37,16 @@ def domain_texts(projects: DataFrame, status: DataFrame, scanned: DataFrame, sum
     return out
 
 
-def indicator_hits(low: Column, indicators=rules.DOMAIN_INDICATORS) -> Column:
-    """Array of (domain, indicator, is_strong) found in lower-cased text; no rule table is joined."""
-    hits = []
-    for domain, (strong, weak) in indicators.items():
-        for words, is_strong in ((strong, True), (weak, False)):
-            hits += [
-                F.when(text.match_indicator(low, w), F.struct(
-                    F.lit(domain).alias("domain"), F.lit(w).alias("indicator"), F.lit(is_strong).alias("is_strong")
-                ))
-                for w in words
-            ]
-    return F.array_compact(F.array(*hits))
+def indicator_hits(low: str, indicators=rules.DOMAIN_INDICATORS) -> Column:
+    """Array of (domain, indicator, is_strong) found in a column of lower-cased text; no rule table is joined."""
+    hits = [
+        f"CASE WHEN {text.indicator_test(low, word)} THEN named_struct('domain', {sql_string(domain)}, "
+        f"'indicator', {sql_string(word)}, 'is_strong', {is_strong}) END"
+        for domain, (strong, weak) in indicators.items()
+        for words, is_strong in ((strong, "true"), (weak, "false"))
+        for word in words
+    ]
+    return F.expr("array_compact(array(" + ", ".join(hits) + "))")
 
 
 def _points() -> Column:
@@ -73,7 +71,7 @@ def _where() -> Column:
 def domain_evidence(texts: DataFrame, indicators=rules.DOMAIN_INDICATORS) -> DataFrame:
     """One row per hit; only hits leave the scan, nothing is shuffled."""
     hits = texts.withColumn("_low", F.lower("text")).select(
-        "project", "channel", "path", F.explode_outer(indicator_hits(F.col("_low"), indicators)).alias("h")
+        "project", "channel", "path", F.explode_outer(indicator_hits("_low", indicators)).alias("h")
     ).filter(F.col("h").isNotNull()).select("project", "h.*", "channel", "path")
     grade = F.when(F.col("is_strong"), "Strong").otherwise("Weak")
     return hits.withColumn("points", _points()).withColumn("evidence", F.concat(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sedimenta import rules
 from sedimenta.functions import paths, text
+from sedimenta.functions.cases import sql_string, sql_strings
 
 
 def _vocabulary(config_rules, gates) -> set[str]:
@@ -39,7 +40,7 @@ def _dependency_names(content: Column, *fields: str) -> Column:
 
 def _kept(names: Column, prefix: str, vocabulary: set[str]) -> Column:
     known = _with(prefix, vocabulary)
-    return F.transform(F.array_intersect(names, F.array(*map(F.lit, known))), lambda n: F.concat(F.lit(prefix), n))
+    return F.transform(F.array_intersect(names, F.expr(sql_strings(known))), lambda n: F.concat(F.lit(prefix), n))
 
 
 def config_facts(files: DataFrame, config_rules=rules.TECH_CONFIG_RULES, gates=rules.TECH_GATES) -> DataFrame:
@@ -112,7 +113,7 @@ def tech_items(
         config_facts(files, config_rules, gates).unionByName(text_facts(scanned))
         .groupBy("project").agg(F.collect_set("fact").alias("facts"))
     )
-    table = F.array(*[_rule_struct(*row) for row in _rule_table(config_rules, gates)])
+    table = F.expr("array(" + ", ".join(_rule_struct(*row) for row in _rule_table(config_rules, gates)) + ")")
     met = F.filter(table, lambda r: (
         ((F.size(r["gate"]) == 0) | F.arrays_overlap("facts", r["gate"]))
         & ((F.size(r["needs"]) == 0) | F.arrays_overlap("facts", r["needs"]))
@@ -124,16 +125,10 @@ def tech_items(
     )
 
 
-def _strings(values: Iterable[str]) -> Column:
-    return F.array(*map(F.lit, values)).cast("array<string>")
-
-
-def _rule_struct(ord_: int, category: str, item: str, source: str, gate, needs, blocked) -> Column:
-    return F.struct(
-        F.lit(ord_).alias("ord"), F.lit(category).alias("category"), F.lit(item).alias("item"),
-        F.lit(source).alias("source"), _strings(gate).alias("gate"), _strings(needs).alias("needs"),
-        _strings(blocked).alias("blocked"),
-    )
+def _rule_struct(ord_: int, category: str, item: str, source: str, gate, needs, blocked) -> str:
+    texts = ", ".join(f"'{n}', {sql_string(v)}" for n, v in (("category", category), ("item", item), ("source", source)))
+    lists = ", ".join(f"'{n}', {sql_strings(v)}" for n, v in (("gate", gate), ("needs", needs), ("blocked", blocked)))
+    return f"named_struct('ord', {ord_}, {texts}, {lists})"
 
 
 def _rule_table(config_rules, gates):

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from sedimenta import rules
 from sedimenta.functions import labels
 from sedimenta.operators import context, domain, notes, ranking, reports, scan, summaries, tech, tree
+from sedimenta.session import written
 
 
 @dataclass
 class Analysis:
     """Steps are built on first use; Spark plans each one together with what it needs.
 
-    ``max_chars=None`` keeps whole texts; ``for_mode`` applies the mode's limits. To run many outputs from one scan,
-    write ``scanned`` to a table first and pass it as ``prepared``.
+    ``max_chars=None`` keeps whole texts; ``for_mode`` applies the mode's limits. Call ``settled`` before producing
+    whole documents, or pass an already written scan as ``prepared``.
     """
 
     files: DataFrame
@@ -35,6 +36,17 @@ class Analysis:
         n, chars, _ = rules.MODES[labels.check_mode(mode)]
         return cls(files, mode, n if max_files is None else max_files, chars if max_chars is None else max_chars, **kw)
 
+    def settled(self) -> Analysis:
+        """The same analysis with its shared steps written to tables in the shared folder.
+
+        Documents combine a dozen views of the same scan; without this each view would scan and redact again. The
+        text table is written once, later steps read only the columns they need.
+        """
+        self.scanned = self.prepared = written(self.scanned, "scanned")
+        for step in ("findings", "selected", "summaries", "tech_items", "tree", "risk_notes", "domain", "facts"):
+            setattr(self, step, written(getattr(self, step), step))
+        return self
+
     @cached_property
     def projects(self) -> DataFrame:
         return self.files.select("project").distinct()

@@ -294,7 +294,7 @@ def winning_evidence(spark, sf):
 
 def doc_indicator_hits(spark, sf):
     docs = corpus.documents(spark, sf).select(F.col("doc_id").cast("string").alias("path"), F.lower("content").alias("low"))
-    hits = docs.select("path", F.explode_outer(domain.indicator_hits(F.col("low"))).alias("h")).filter(F.col("h").isNotNull())
+    hits = docs.select("path", F.explode_outer(domain.indicator_hits("low")).alias("h")).filter(F.col("h").isNotNull())
     return hits.groupBy("h.domain", "h.indicator").agg(F.count("*").alias("n_docs"))
 
 
@@ -372,11 +372,11 @@ def context_redaction(spark, sf):
 
 
 def context_rows(spark, sf):
-    return analysis(spark, sf).context("all")
+    return analysis(spark, sf).settled().context("all")
 
 
 def report_lines(spark, sf):
-    return analysis(spark, sf).report_lines()
+    return analysis(spark, sf).settled().report_lines()
 
 
 # --- events, cache, streams ------------------------------------------------------------------------

@@ -165,11 +165,24 @@ HASH_PATHS = tuple(i for i, p in enumerate(PATHS) if p.endswith((".py", ".toml",
 VARIANTS = math.lcm(*map(len, SNIPPETS.values()), len(PREFIXES))
 
 
+def read_spread(spark: SparkSession, path: str, key: str, columns: list[str] | None = None) -> DataFrame:
+    """A parquet table whose rows can occupy all cores.
+
+    A table of many files is already spread and is used as it is. Fewer files than cores (a small extract in a single
+    file) would leave cores idle, so such a small table is redistributed by its key.
+    """
+    df = spark.read.parquet(path)
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def _templates(spark: SparkSession) -> DataFrame:
     """One row per (template, variant): a table of fixed size, small enough that Spark broadcasts it by itself."""
     snippets = [SNIPPETS.get(t, ("",)) for t in range(N_PATHS)]
     flat = [variants[v % len(variants)] for variants in snippets for v in range(VARIANTS)]
-    pick = lambda values, index: F.element_at(F.array(*map(F.lit, values)), index.cast("int") + 1)
+    # one literal per list, split at a control character that no template contains
+    pick = lambda values, index: F.element_at(F.split(F.lit("\u0001".join(values)), "\u0001"), index.cast("int") + 1)
     row = F.col("id")
     return spark.range(len(flat)).select(
         F.floor(row / VARIANTS).cast("int").alias("t"), (row % VARIANTS).cast("int").alias("v"),
@@ -187,7 +200,7 @@ def json_text(text: Column) -> Column:
 
 def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(project, path, size, mtime, content) derived from all rows of ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
+    docs = read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id", ["doc_id", "text", "n_chars"])
     group = F.floor(F.col("doc_id") / N_PATHS)
     doc = docs.select(
         "doc_id", "text", "n_chars", (F.col("doc_id") % N_PATHS).cast("int").alias("t"), group.alias("g"),
@@ -215,7 +228,7 @@ def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files view of ``documents``: project = source, path = document number."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    return read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id").select(
         F.col("source").alias("project"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
         F.col("n_chars").alias("size"), F.lit(None).cast("timestamp").alias("mtime"), F.col("text").alias("content"), "doc_id",
     )
