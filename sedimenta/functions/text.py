@@ -118,8 +118,8 @@ def words_present(low: Column, words: Sequence[str]) -> Column:
     return F.array_compact(F.array(*[F.when(low.contains(w), F.lit(w)) for w in words]))
 
 
-def risk_keywords(text: Column, cap: int = rules.RISK_WORD_CAP) -> Column:
-    return F.slice(words_present(F.lower(text), rules.RISK_WORDS), 1, cap)
+def risk_keywords(text: Column, cap: int = rules.RISK_WORD_CAP, low: Column | None = None) -> Column:
+    return F.slice(words_present(F.lower(text) if low is None else low, rules.RISK_WORDS), 1, cap)
 
 
 def known_packages(text: Column) -> Column:
@@ -174,8 +174,9 @@ def sha_key(text: Column, n: int) -> Column:
     return F.substring(F.sha2(text, 256), 1, n)
 
 
-def side_effects(text: Column, language: str) -> Column:
-    low = F.lower(text)
+def side_effects(text: Column, language: str, low: Column | None = None) -> Column:
+    """``low`` may name a column that already holds the lower-cased text."""
+    low = F.lower(text) if low is None else low
     labels = []
     for label, exact, folded in rules.SIDE_EFFECTS[language]:
         hit = F.lit(False)

@@ -51,15 +51,15 @@ def _section(title: str, names: Column) -> Column:
     return F.when(F.size(names) > 0, F.concat(F.lit(f"{title}:\n"), _bullets(names)))
 
 
-def _body(lang: str, column: str) -> Column:
-    content = F.col(column)
+def _body(lang: str) -> Column:
+    """Sections of one language; uses the columns prepared by ``structural_summaries``."""
     sections = []
     for kind, title, cap, unique in rules.SUMMARY_SECTIONS[lang]:
         names = symbols.names_of("symbols", kind)
         names = F.array_distinct(names) if unique else names
         sections.append(_section(title, F.slice(names, 1, cap) if cap else names))
-    sections.append(_section("External / Side Effects", text.side_effects(content, lang)))
-    sections.append(_section("Potential Risk Areas", text.risk_keywords(content)))
+    sections.append(_section("External / Side Effects", F.col("_effects")))
+    sections.append(_section("Potential Risk Areas", F.col("_risks")))
     joined = F.concat_ws("\n\n", *sections)
     return F.when(joined == "", rules.NOTHING_FOUND[lang]).otherwise(joined)
 
@@ -83,7 +83,7 @@ def summary_text(column: str = "content_preview") -> Column:
     )
     broken = F.concat(F.lit("Parse error. Preview:\n"), text.preview_lines(content, rules.PARSE_ERROR_LINES, keep_blank=True))
     bodies = [((F.col("lang") == "python") & ~F.col("parsed"), broken)]
-    bodies += [(F.col("lang") == lang, _body(lang, column)) for lang in rules.LANGUAGE_SUFFIXES]
+    bodies += [(F.col("lang") == lang, _body(lang)) for lang in rules.LANGUAGE_SUFFIXES]
     body = case(bodies, F.concat(F.lit("Preview:\n"), text.preview_lines(content)))
     return F.concat(header, warning, body)
 
@@ -91,7 +91,15 @@ def summary_text(column: str = "content_preview") -> Column:
 def structural_summaries(selected: DataFrame, languages: Iterable[str] = tuple(rules.LANGUAGE_SUFFIXES)) -> DataFrame:
     """Add ``summary`` to selected files; files without text have none."""
     described = with_symbols(selected.filter(F.length("content_preview") > 0), languages)
-    return described.withColumn("summary", summary_text())
+    # lower case once per text, not once per searched word
+    described = described.withColumn("_low", F.lower("content_preview"))
+    content, low = F.col("content_preview"), F.col("_low")
+    effects = case(
+        (F.col("lang") == lang, text.side_effects(content, lang, low)) for lang in rules.LANGUAGE_SUFFIXES
+    )
+    risks = F.when(F.col("lang").isNotNull(), text.risk_keywords(content, low=low))
+    described = described.withColumn("_effects", effects).withColumn("_risks", risks)
+    return described.withColumn("summary", summary_text()).drop("_low", "_effects", "_risks")
 
 
 def large_file_note(path: Column, size: Column) -> Column:

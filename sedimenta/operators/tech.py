@@ -93,13 +93,14 @@ def _rule_hits(low: Column, rule_rows, prefix: str, also: dict[str, tuple[str, .
 
 def text_facts(scanned: DataFrame) -> DataFrame:
     """(project, fact) rows from prepared text: imports of .py files and named documents."""
-    low = F.lower("content_preview")
+    low = F.col("_low")
     empty = F.array().cast("array<string>")
     is_doc = F.lower(paths.file_name(F.col("path"))).isin(*rules.TECH_DOC_NAMES)
     # no filter on the text itself: Spark would push it below the redaction steps and run them twice
     imports = F.array_compact(F.array(*_rule_hits(low, rules.TECH_IMPORT_RULES, "imports:", rules.TECH_IMPORT_ALSO)))
     docs = F.array_compact(F.array(*_rule_hits(low, rules.TECH_DOC_RULES, "docs:", {})))
     readable = scanned.filter((F.col("extension") == ".py") | is_doc)
+    readable = readable.select("project", "path", "extension", F.lower("content_preview").alias("_low"))
     return readable.select("project", F.explode_outer(F.concat(
         F.when(F.col("extension") == ".py", imports).otherwise(empty), F.when(is_doc, docs).otherwise(empty),
     )).alias("fact")).filter(F.col("fact").isNotNull())

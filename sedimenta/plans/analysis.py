@@ -36,13 +36,18 @@ class Analysis:
         n, chars, _ = rules.MODES[labels.check_mode(mode)]
         return cls(files, mode, n if max_files is None else max_files, chars if max_chars is None else max_chars, **kw)
 
+    def scanned_once(self) -> Analysis:
+        """Write the scan to a table in the shared folder, for results that look at it from several sides."""
+        self.scanned = self.prepared = written(self.scanned, "scanned")
+        return self
+
     def settled(self) -> Analysis:
         """The same analysis with its shared steps written to tables in the shared folder.
 
         Documents combine a dozen views of the same scan; without this each view would scan and redact again. The
         text table is written once, later steps read only the columns they need.
         """
-        self.scanned = self.prepared = written(self.scanned, "scanned")
+        self.scanned_once()
         for step in ("findings", "selected", "summaries", "tech_items", "tree", "risk_notes", "domain", "facts"):
             setattr(self, step, written(getattr(self, step), step))
         return self

@@ -165,7 +165,7 @@ def enrichment_candidates(spark, sf):
 
 
 def dry_run_preview(spark, sf):
-    a = analysis(spark, sf)
+    a = analysis(spark, sf).scanned_once()
     return ranking.dry_run_preview(a.selected, a.tech, a.projects)
 
 
@@ -207,7 +207,7 @@ def large_file_notes(spark, sf):
 
 
 def project_summary(spark, sf):
-    return analysis(spark, sf).project_summary
+    return analysis(spark, sf).scanned_once().project_summary
 
 
 # --- technology ------------------------------------------------------------------------------------
@@ -255,7 +255,7 @@ def structural_summary_all(spark, sf):
 
 
 def _static_evidence(spark, sf) -> tuple[Analysis, DataFrame]:
-    a = analysis(spark, sf, dry_run=True)
+    a = analysis(spark, sf, dry_run=True).scanned_once()
     none = a.projects.select("project", F.lit("").alias("path"), F.lit("").alias("summary")).filter(F.lit(False))
     return a, domain.domain_evidence(domain.domain_texts(a.projects, a.status, a.scanned, none, a.tech))
 
@@ -283,7 +283,7 @@ def detect_domain(spark, sf):
 
 def detect_domain_full(spark, sf):
     """With the summaries of all selected files, Python included."""
-    return analysis(spark, sf).domain.withColumn("matched", F.array_join("matched", ", "))
+    return analysis(spark, sf).scanned_once().domain.withColumn("matched", F.array_join("matched", ", "))
 
 
 def winning_evidence(spark, sf):
@@ -302,7 +302,7 @@ def doc_indicator_hits(spark, sf):
 
 
 def risk_notes(spark, sf):
-    return analysis(spark, sf).risk_notes
+    return analysis(spark, sf).scanned_once().risk_notes
 
 
 def repo_audit(spark, sf):

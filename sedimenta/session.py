@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="sedimenta-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, from ``spark.checkpoint.dir``; a temporary one only on a local master."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,9 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    created = tempfile.mkdtemp(prefix="sedimenta-")
-    spark.conf.set("spark.checkpoint.dir", created)
-    return created
+    return _local_dir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
