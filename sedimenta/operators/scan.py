@@ -51,7 +51,8 @@ def scan(
     """
     located = files.withColumn("path", paths.normalized(F.col("path")))
     located = located.filter(paths.ignored_prefix(F.col("path"), exclude) == "")
-    unreadable = F.when(F.col("content").isNull(), F.lit("read_error: unreadable"))
+    message = F.coalesce("read_error", F.lit("unreadable")) if "read_error" in files.columns else F.lit("unreadable")
+    unreadable = F.when(F.col("content").isNull(), F.concat(F.lit("read_error: "), message))
     kept = located.select(
         "project", "path", paths.suffix(F.col("path")).alias("extension"), "size", "content",
         F.coalesce(paths.skip_reason(F.col("path")), unreadable).alias("skipped_reason"),

@@ -71,7 +71,7 @@ def event_rows(n=1500):
     out = []
     for i in range(n):
         key = 0 if rng.random() < 0.34 else rng.randrange(1, 12)
-        out.append((key, base + rng.choice([rng.randrange(0, 900), rng.randrange(5000, 5400)]) + rng.choice([0, 0.25, 0.5]), i))
+        out.append((key, float(base + rng.choice([rng.randrange(0, 900), rng.randrange(5000, 5400)]) + rng.choice([0, 0.25, 0.5])), i))
     return out
 
 

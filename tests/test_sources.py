@@ -29,11 +29,21 @@ def test_read_files(spark, folder):
     rows = {r.path: r for r in source.read_files(spark, str(folder)).collect()}
     assert rows["src/a.py"].content == "import os\nx = 1\n" and rows["bad.py"].content == "ab" and rows["bad.py"].size == 3
     assert rows["with space/c d.ts"].project == "proj" and len(rows) == 6
-    many = source.read_files(spark, str(folder.parent), many_projects=True, keep_unreadable=True)
+    many = source.read_files(spark, str(folder.parent), many_projects=True)
     assert {(r.project, r.path) for r in many.collect()} == {("proj", p) for p in rows}
+    assert rows[".env"].content is None and rows["dist/x.js"].content is None
+    assert {r.skipped_reason for r in scan.scan(many).collect()} == {None, "env_file", "ignored_folder"}
     assert source.list_files(spark, str(folder)).count() == 6
 
 
+def test_unreadable_file_is_a_row(spark, folder, monkeypatch):
+    import pandas as pd
+
+    pdf = pd.DataFrame({"uri": [str(folder / "gone.py"), str(folder / "bad.py")], "size": [1, 3], "wanted": [True, True]})
+    out = pd.concat(source._load(str(folder))(iter([pdf])))
+    assert out["content"].tolist() == [None, b"a\xffb"] and "gone.py" in out["read_error"].iloc[0]
+
+
 def test_parse_manifest(spark):
     df = spark.createDataFrame([('{"dependencies": {"a": "1"}, "x": 2}',), ("{bad",), ("[]",)], "c string")
     got = [r[0] for r in df.select(source.parse_manifest(F.col("c"))["dependencies"]).collect()]
@@ -107,7 +117,8 @@ def test_incremental_stream(spark, folder, tmp_path):
         query = source.stream_files(spark, str(folder)).writeStream.foreachBatch(sink).option(
             "checkpointLocation", str(tmp_path / f"state{_}")).trigger(availableNow=True).start()
         query.awaitTermination()
-        assert store.read().count() == 6
+        # .env is hidden from the streaming source
+        assert store.read().count() == 5
 
 
 def test_written_uses_shared_dir(spark):
