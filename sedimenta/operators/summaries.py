@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sedimenta import rules
 from sedimenta.functions import paths, symbols, text
-from sedimenta.functions.cases import case
+from sedimenta.functions.cases import case, sql_string
 
 NATIVE_LANGUAGES = ("js", "go", "rust", "ruby")
 
@@ -43,25 +43,40 @@ def symbol_counts(rows: DataFrame, kind: str) -> DataFrame:
     return per_project.groupBy("lang", "name").agg(F.sum("n").alias("n_uses"), F.count("*").alias("n_projects"))
 
 
-def _bullets(names: Column) -> Column:
-    return F.array_join(F.transform(names, lambda n: F.concat(F.lit("  - "), n)), "\n")
+_UNLIMITED = 2**31 - 1
 
 
-def _section(title: str, names: Column) -> Column:
-    return F.when(F.size(names) > 0, F.concat(F.lit(f"{title}:\n"), _bullets(names)))
+def _section_table() -> str:
+    """Sections per language as one constant: (kind, title, cap, unique)."""
+    cases = []
+    for lang, sections in rules.SUMMARY_SECTIONS.items():
+        rows = ", ".join(
+            f"named_struct('kind', '{kind}', 'title', {sql_string(title)}, 'cap', {cap or _UNLIMITED}, 'uniq', {str(unique).lower()})"
+            for kind, title, cap, unique in sections
+        )
+        cases.append(f"WHEN '{lang}' THEN array({rows})")
+    return "CASE lang " + " ".join(cases) + " END"
 
 
-def _body(lang: str) -> Column:
-    """Sections of one language; uses the columns prepared by ``structural_summaries``."""
-    sections = []
-    for kind, title, cap, unique in rules.SUMMARY_SECTIONS[lang]:
-        names = symbols.names_of("symbols", kind)
-        names = F.array_distinct(names) if unique else names
-        sections.append(_section(title, F.slice(names, 1, cap) if cap else names))
-    sections.append(_section("External / Side Effects", F.col("_effects")))
-    sections.append(_section("Potential Risk Areas", F.col("_risks")))
-    joined = F.concat_ws("\n\n", *sections)
-    return F.when(joined == "", rules.NOTHING_FOUND[lang]).otherwise(joined)
+def _sections() -> Column:
+    """Text of all sections of a row from its ``symbols``, ``_effects`` and ``_risks``; empty when there are none.
+
+    Written as one SQL expression over the constant table, which keeps the plan small.
+    """
+    named = (
+        f"transform({_section_table()}, s -> named_struct('title', s.title, 'cap', s.cap, 'uniq', s.uniq, "
+        "'names', transform(filter(symbols, x -> x.kind = s.kind), x -> x.name)))"
+    )
+    capped = (
+        f"transform({named}, s -> named_struct('title', s.title, "
+        "'names', slice(IF(s.uniq, array_distinct(s.names), s.names), 1, s.cap)))"
+    )
+    every = (
+        f"concat({capped}, array(named_struct('title', 'External / Side Effects', 'names', _effects), "
+        "named_struct('title', 'Potential Risk Areas', 'names', _risks)))"
+    )
+    lines = "concat(s.title, ':\n', array_join(transform(s.names, n -> concat('  - ', n)), '\n'))"
+    return F.expr(f"array_join(transform(filter({every}, s -> size(s.names) > 0), s -> {lines}), '\n\n')")
 
 
 def summary_text(column: str = "content_preview") -> Column:
@@ -82,9 +97,12 @@ def summary_text(column: str = "content_preview") -> Column:
         .otherwise("")
     )
     broken = F.concat(F.lit("Parse error. Preview:\n"), text.preview_lines(content, rules.PARSE_ERROR_LINES, keep_blank=True))
-    bodies = [((F.col("lang") == "python") & ~F.col("parsed"), broken)]
-    bodies += [(F.col("lang") == lang, _body(lang)) for lang in rules.LANGUAGE_SUFFIXES]
-    body = case(bodies, F.concat(F.lit("Preview:\n"), text.preview_lines(content)))
+    nothing = case((F.col("lang") == lang, shown) for lang, shown in rules.NOTHING_FOUND.items())
+    body = case(
+        [((F.col("lang") == "python") & ~F.col("parsed"), broken),
+         (F.col("lang").isNotNull(), F.coalesce(F.nullif("_sections", F.lit("")), nothing))],
+        F.concat(F.lit("Preview:\n"), text.preview_lines(content)),
+    )
     return F.concat(header, warning, body)
 
 
@@ -99,7 +117,8 @@ def structural_summaries(selected: DataFrame, languages: Iterable[str] = tuple(r
     )
     risks = F.when(F.col("lang").isNotNull(), text.risk_keywords(content, low=low))
     described = described.withColumn("_effects", effects).withColumn("_risks", risks)
-    return described.withColumn("summary", summary_text()).drop("_low", "_effects", "_risks")
+    described = described.withColumn("_sections", _sections())
+    return described.withColumn("summary", summary_text()).drop("_low", "_effects", "_risks", "_sections")
 
 
 def large_file_note(path: Column, size: Column) -> Column:
