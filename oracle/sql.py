@@ -387,13 +387,25 @@ REQUIREMENTS = f"""SELECT project, lower({strip("regexp_extract(s, '^(.*?)(==|>=
 
 
 def indicator_table() -> tuple[str, str]:
-    rows = []
-    for n, (domain, (strong, weak)) in enumerate(rules.DOMAIN_INDICATORS.items()):
-        for words_, is_strong in ((strong, "true"), (weak, "false")):
-            for w in words_:
-                pattern = f"'(?:^|[^{WORD}])' || {q(w)} || '(?:$|[^{WORD}])'" if len(w) <= 4 and w.isalpha() else "NULL"
-                rows.append(f"({q(domain)}, {n}, {q(w)}, {is_strong}, {pattern})")
-    return ("indicators", "SELECT * FROM (VALUES " + ", ".join(rows) + ") v(domain, domain_ord, indicator, is_strong, pattern)")
+    rows = [
+        f"({q(domain)}, {n}, {q(w)}, {is_strong}, {str(len(w) <= 4 and w.isalpha()).lower()})"
+        for n, (domain, (strong, weak)) in enumerate(rules.DOMAIN_INDICATORS.items())
+        for words_, is_strong in ((strong, "true"), (weak, "false")) for w in words_
+    ]
+    return ("indicators", "SELECT * FROM (VALUES " + ", ".join(rows) + ") v(domain, domain_ord, indicator, is_strong, whole_word)")
+
+
+def indicator_hits(source: str) -> list[tuple[str, str]]:
+    """``hits``: rows of ``source`` (with a column ``low``) by indicator. Whole words are tested with constant patterns."""
+    short = sorted({w for pair in rules.DOMAIN_INDICATORS.values() for words_ in pair for w in words_ if len(w) <= 4 and w.isalpha()})
+    words_found = " UNION ALL ".join(
+        f"SELECT *, {q(w)} AS word FROM lowered WHERE contains(low, {q(w)}) AND regexp_matches(low, {q(f'(?:^|[^{WORD}]){w}(?:$|[^{WORD}])')})" for w in short
+    )
+    return [
+        indicator_table(), ("lowered", source),
+        ("hits", f"""SELECT l.*, i.* FROM lowered l, indicators i WHERE NOT whole_word AND contains(low, indicator)
+UNION ALL SELECT l.* EXCLUDE (word), i.* FROM ({words_found}) l JOIN indicators i ON i.whole_word AND i.indicator = l.word"""),
+    ]
 
 
 def evidence(texts: str) -> list[tuple[str, str]]:
@@ -403,9 +415,7 @@ def evidence(texts: str) -> list[tuple[str, str]]:
   ELSE CASE WHEN NOT is_strong THEN 'structure in ' || path WHEN channel = 'structure_symbols' THEN 'structure (classes/funcs) in ' || path
     ELSE 'structure (body) in ' || path END END"""
     return [
-        indicator_table(), ("texts", texts),
-        ("hits", """SELECT project, domain, domain_ord, indicator, is_strong, channel, path FROM (SELECT *, lower(text) AS low FROM texts), indicators
-WHERE contains(low, indicator) AND (pattern IS NULL OR regexp_matches(low, pattern))"""),
+        ("texts", texts), *indicator_hits("SELECT project, channel, path, lower(text) AS low FROM texts"),
         ("evidence", f"""SELECT *, '[' || CASE WHEN is_strong THEN 'Strong' ELSE 'Weak' END || '] ''' || indicator || ''' in ' || {where} || ' (+' || points || ')' AS evidence
 FROM (SELECT *, CASE {pts} END AS points FROM hits)"""),
         ("scores", """SELECT *, CASE WHEN score >= 12 AND strong_count >= 3 THEN 'high' WHEN score >= 8 AND strong_count >= 2 THEN 'medium'
@@ -632,8 +642,10 @@ def statements() -> dict[str, str]:
     s["domain_scores"] = with_(static_domain(), "SELECT project, domain, score::BIGINT AS score, strong_count, matched, confidence FROM scores")
     s["detect_domain"] = with_(static_domain(), "SELECT project, domain, confidence, score::BIGINT AS score, strong_count, matched FROM detected")
     s["winning_evidence"] = with_(static_domain(), "SELECT project, domain, evidence FROM evidence JOIN detected USING (project, domain)")
-    s["doc_indicator_hits"] = with_([indicator_table()], """SELECT domain, indicator, count(*) AS n_docs FROM (SELECT lower(text) AS low FROM documents), indicators
- WHERE contains(low, indicator) AND (pattern IS NULL OR regexp_matches(low, pattern)) GROUP BY ALL""")
+    for table, column in (("documents", "text"), ("pages", "html")):
+        s[f"{table[:-1] if table == 'pages' else 'doc'}_indicator_hits"] = with_(
+            indicator_hits(f"SELECT lower({column}) AS low FROM {table}"),
+            f"SELECT domain, indicator, count(*) AS n_{'pages' if table == 'pages' else 'docs'} FROM hits GROUP BY ALL")
     s["risk_notes"] = with_(risk_notes(), "SELECT project, ord, note FROM notes")
     s["repo_audit"] = with_(audit(), "SELECT * FROM audit")
     head = "'# Project Upgrade Plan (' || project || ')' || chr(10) || " + q("\n".join(rules.UPGRADE_PLAN_LINES) + "\n")

@@ -298,6 +298,12 @@ def doc_indicator_hits(spark, sf):
     return hits.groupBy("h.domain", "h.indicator").agg(F.count("*").alias("n_docs"))
 
 
+def page_indicator_hits(spark, sf):
+    low = corpus.pages(spark, sf).select(F.lower("content").alias("low"))
+    hits = low.select(F.explode_outer(domain.indicator_hits("low")).alias("h")).filter(F.col("h").isNotNull())
+    return hits.groupBy("h.domain", "h.indicator").agg(F.count("*").alias("n_pages"))
+
+
 # --- notes, options, context -----------------------------------------------------------------------
 
 
@@ -453,7 +459,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         retain_newest, retain_newest_by_source, module_rollup, url_module_rollup, dir_rollup, dir_tree, dir_tree_head,
         large_file_notes, project_summary, tech_items, tech_table, structural_summary, structural_summary_all,
         domain_evidence, domain_evidence_structure, domain_scores, detect_domain, detect_domain_full, winning_evidence,
-        doc_indicator_hits, risk_notes, repo_audit, upgrade_plan, resolve_options, evidence_labels, special_section,
+        doc_indicator_hits, page_indicator_hits, risk_notes, repo_audit, upgrade_plan, resolve_options, evidence_labels, special_section,
         budget_pack, budget_pack_default, context_files, context_redaction, context_rows, report_lines,
         window_request_count, rate_limit_admit, rate_limit_minute, incremental_changed, incremental_refresh,
         stream_redact, stream_rate_limit,
