@@ -617,7 +617,7 @@ def statements() -> dict[str, str]:
     s["retain_newest"] = retained("conversations", "conv_id", "turn", 5, 2, "conv_id, turn")
     s["retain_newest_by_source"] = retained("documents", "source", "doc_id", 100, 10, "source, doc_id")
     s["module_rollup"] = with_(selected(), f"""SELECT project, module, count(*) AS n_files, min(rank) AS ord, 'Module ''' || module || ''': ' || string_agg(path, ', ' ORDER BY rank) AS text
- FROM (SELECT *, {MODULE} AS module FROM selected) GROUP BY project, module""")
+ FROM (SELECT *, {MODULE} AS module FROM selected WHERE length(content_preview) > 0) GROUP BY project, module""")
     s["url_module_rollup"] = f"""SELECT host, {MODULE} AS module, count(*) AS n_pages, sum(length(html))::BIGINT AS total_chars, max({DEPTH}) AS max_depth FROM
  (SELECT html, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+/?([^?#]*)', 1) AS path FROM pages) GROUP BY ALL"""
     s["dir_rollup"] = f("""SELECT project, folder, count(*) AS n_files, sum(size)::BIGINT AS total_bytes, len(string_split(folder, '/')) AS depth FROM

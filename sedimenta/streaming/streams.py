@@ -31,8 +31,8 @@ def stream_admit(
 ) -> DataFrame:
     """Admission per key on a stream; state is at most ``limit`` times per key.
 
-    Events are ordered by (time, id) inside a micro-batch. Rows later than the watermark ``delay`` are dropped, as are
-    decisions already made never revised.
+    Events are ordered by (time, id) inside a micro-batch. Rows later than the watermark ``delay`` are dropped; decisions
+    already made are not revised.
     """
     limit = checked_limit(limit)
     schema = T.StructType([
