@@ -12,14 +12,21 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from sedimenta.llm.common import Remembered
+
 # The public pattern of byte-level BPE and the characters that stand for bytes in its vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 CUT = re.compile(r" (?=\S)")
-_GLUED = re.compile(r" \s| $")
+# texts with white space beside a space, or a space at the end
+GLUED = r" [\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| \z"
+BREAK = "\u2028"
+FENCE = b"\xc0"
 # letters, digits and signs whose classes are the same in every version of Unicode
 _SETTLED = re.compile(r"[\x00-ɏ]*")
 
@@ -29,32 +36,20 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b if b in PRINTABLE else next(rest)) for b in range(256)}
 
 
-class _Stretches(dict):
-    """Stretch -> its ids as little-endian 32-bit numbers; filled on demand."""
-
-    def __init__(self, encode, mark: str):
-        super().__init__()
-        self._encode, self._mark = encode, mark
-
-    def __missing__(self, stretch: str) -> bytes:
-        self[stretch] = found = self._encode(self._mark + stretch)
-        return found
-
-
 class Encoder:
-    """``encode(text)``: ids of a whole text, as bytes of little-endian 32-bit numbers.
+    """``encode_all(texts)``: ids of whole texts.
 
-    Special strings inside a text become their special ids, the default of the library. At most ``keep`` stretches
-    and as many pre-tokens are remembered. A tokenizer of another kind than plain byte-level BPE is given whole texts.
+    Special strings inside a text become their special ids, the default of the library. Of a batch of texts only the
+    distinct stretches are looked at; about ``keep`` stretches and pre-tokens are remembered, the ones not used for
+    longest are forgotten. A tokenizer of another kind than plain byte-level BPE is given whole texts.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self._keep = keep
         self._model = self.library.model
         about = json.loads(self.library.to_str())
         pre, added = about["pre_tokenizer"] or {}, about["added_tokens"]
@@ -65,34 +60,82 @@ class Encoder:
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
         )
         self._names, self._pre = _byte_names(), regex.compile(PATTERN)
-        self._tokens: dict[str, bytes] = {}
-        self._first, self._next = _Stretches(self._stretch, ""), _Stretches(self._stretch, " ")
+        # a byte that no merge takes keeps pre-tokens apart in one call of the model
+        fence = self._names[FENCE[0]]
+        self._fence = None if any(fence in t and t != fence for t in about["model"]["vocab"]) else about["model"]["vocab"].get(fence)
+        self._tokens, self._next, self._first = Remembered(keep), Remembered(keep), Remembered(keep // 10)
 
     def whole(self, text: str) -> bytes:
-        """By one call of the library."""
+        """By one call of the library, as bytes of little-endian 32-bit numbers."""
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _stretch(self, stretch: str) -> bytes:
-        if not _SETTLED.fullmatch(stretch) or any(s in stretch for s in self.special):
-            return self.whole(stretch)
-        out = []
-        for token in self._pre.findall(stretch):
-            ids = self._tokens.get(token)
-            if ids is None:
-                spelled = token.encode().decode("latin-1").translate(self._names)
-                ids = np.array([t.id for t in self._model.tokenize(spelled)], "<u4").tobytes()
-                self._tokens[token] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
+    def _merge(self, tokens: list[str]) -> None:
+        """Remember the ids of pre-tokens, many in one call of the library's model."""
+        if self._fence is None:
+            for t in tokens:
+                ids = self._model.tokenize(t.encode().decode("latin-1").translate(self._names))
+                self._tokens.put(t, np.array([i.id for i in ids], "<u4").tobytes())
+            return
+        for k in range(0, len(tokens), 2000):
+            part = tokens[k:k + 2000]
+            spelled = FENCE.join([t.encode() for t in part]).decode("latin-1").translate(self._names)
+            ids = np.array([t.id for t in self._model.tokenize(spelled)], "<u4")
+            ends = np.r_[np.flatnonzero(ids == self._fence), len(ids)].tolist()
+            raw, at = ids.tobytes(), 0
+            for token, end in zip(part, ends):
+                self._tokens.put(token, raw[4 * at:4 * end])
+                at = end + 1
+
+    def _learn(self, stretches: list[str], mark: str, into: Remembered) -> None:
+        """Remember the ids of stretches, each with ``mark`` before it."""
+        plain = []
+        for s in stretches:
+            if not _SETTLED.fullmatch(s) or not s or s[0].isspace() or s[-1].isspace() or any(x in s for x in self.special):
+                into.put(s, self.whole(mark + s))
+            else:
+                plain.append(s)
+        # a line separator is white space that no stretch here has, so it is a pre-token by itself
+        tokens = self._pre.findall(BREAK.join([mark + s for s in plain]) + BREAK) if plain else []
+        self._merge(self._tokens.missing(dict.fromkeys(tokens)))
+        ids, at = [], 0
+        for t in tokens:
+            if t == BREAK:
+                into.put(plain[at], b"".join(ids))
+                ids, at = [], at + 1
+            else:
+                ids.append(self._tokens.get(t))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (non-null strings), one after another, and where each text's ids end."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         if not self.cuts:
-            return self.whole(text)
-        first, *rest = CUT.split(text) if _GLUED.search(text) else text.split(" ")
-        if len(self._next) + len(rest) > self._keep:
-            self._next.clear()
-        if len(self._first) > self._keep // 10:
-            self._first.clear()
-        if len(self._tokens) > self._keep:
-            self._tokens.clear()
-        return self._first[first] + b"".join(map(self._next.__getitem__, rest))
+            parts = [self.whole(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(parts), "<u4"), np.cumsum([len(p) // 4 for p in parts])
+        glued = pc.match_substring_regex(texts, GLUED)
+        if pc.any(glued).as_py():
+            # some spaces belong to runs of white space: these few texts are cut one by one
+            lists = pa.array([CUT.split(t) if g else t.split(" ") for t, g in zip(texts.to_pylist(), glued.to_pylist())], pa.list_(pa.string()))
+        else:
+            lists = pc.split_pattern(texts, " ")
+        stretches, begins = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        index = stretches.indices.to_numpy().astype(np.int64)
+        names = stretches.dictionary.to_pylist()
+        first = {}
+        for k in begins.tolist():
+            first.setdefault(names[index[k]], len(names) + len(first))
+        index[begins] = [first[names[n]] for n in index[begins].tolist()]
+        pool = self._ids(names, " ", self._next) + self._ids(list(first), "", self._first)
+        sizes = np.array([len(p) // 4 for p in pool], np.int64)
+        flat, starts = np.frombuffer(b"".join(pool), "<u4"), np.cumsum(sizes) - sizes
+        counts = sizes[index]
+        ends = np.cumsum(counts)
+        place = np.repeat(starts[index] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return flat[place], ends[np.r_[begins[1:], len(index)] - 1]
+
+    def _ids(self, names: list[str], mark: str, memory: Remembered) -> list[bytes]:
+        self._learn(memory.missing(names), mark, memory)
+        found = [memory.get(n) for n in names]
+        memory.age()
+        self._tokens.age()
+        return found

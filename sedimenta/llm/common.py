@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -53,6 +56,67 @@ def in_arrow(df: DataFrame, schema: str, rows: Callable[[list], Iterable[tuple]]
     return df.mapInArrow(run, schema)
 
 
+def in_columns(df: DataFrame, schema: str, columns: Callable[[Iterable], Iterable[tuple]]) -> DataFrame:
+    """Like ``in_arrow`` with whole columns: ``columns`` gets the Arrow batches and yields tuples of equally
+    long arrays or lists, each tuple one output batch."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in columns(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind)], schema=kind)
+
+    return df.mapInArrow(run, schema)
+
+
+class Remembered:
+    """Values by name in two generations: ``age`` forgets what was not asked for since the generation before."""
+
+    def __init__(self, keep: int):
+        self._keep, self._now, self._old = keep, {}, {}
+
+    def missing(self, names: Iterable) -> list:
+        return [n for n in names if n not in self._now and n not in self._old]
+
+    def put(self, name, value) -> None:
+        self._now[name] = value
+
+    def get(self, name):
+        value = self._now.get(name)
+        if value is None:
+            value = self._now[name] = self._old[name]
+        return value
+
+    def age(self) -> None:
+        if len(self._now) > self._keep:
+            self._now, self._old = {}, self._now
+
+
+def slices(batch: pa.RecordBatch, text: int, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``chars`` bytes in its text column, single rows of more by themselves."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        base = size[at - 1] if at else 0
+        end = max(int(np.searchsorted(size, base + chars, side="right")), at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words between ASCII white space: (number of each word, where each text's words end, distinct words by number)."""
+    lists = pc.ascii_split_whitespace(texts)
+    words, owner = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    coded = words.filter(pa.array(some)).dictionary_encode()
+    return coded.indices.to_numpy(), np.cumsum(np.bincount(owner[some], minlength=len(lists))), coded.dictionary.to_pylist()
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of finished steps now, not at the driver's next collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @lru_cache(maxsize=4)
 def worker_value(make: Callable, *args):
     """A costly object that a Python worker builds once and keeps between tasks."""

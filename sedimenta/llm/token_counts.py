@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.bpe import CUT, Encoder
-from sedimenta.llm.common import in_arrow, table, vocabulary, worker_value
+from sedimenta.llm.common import in_columns, slices, table, vocabulary, worker_value
 
 
 def count_by_overlap(library, text: str, size: int = 32_768, overlap: int = 256) -> int:
@@ -52,28 +54,27 @@ def token_counts(
     characters are counted by ``count_by_overlap`` when the tokenizer is byte-level BPE. A null text counts as empty:
     zero bytes and tokens. Repeated rows each get their row, a null id stays null, other columns are ignored.
     """
-    def rows(batches):
+    def columns(batches):
         if tokenizer.endswith(".model"):
             import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
-            for ids, texts in batches:
-                for i, text in zip(ids, texts):
-                    n = len(model.encode(text))
-                    yield i, len(text.encode()), n, n > limit
-            return
-        encoder = worker_value(Encoder, tokenizer)
-        for ids, texts in batches:
-            for i, text in zip(ids, texts):
-                if len(text) > huge and encoder.cuts:
-                    n = count_by_overlap(encoder.library, text, size, overlap)
+            count = worker_value(sentencepiece.SentencePieceProcessor, tokenizer)
+        else:
+            encoder = worker_value(Encoder, tokenizer)
+        for batch in batches:
+            for ids, texts in (part.columns for part in slices(batch, 1)):
+                if tokenizer.endswith(".model"):
+                    n = np.array([len(count.encode(t)) for t in texts.to_pylist()], np.int64)
                 else:
-                    n = len(encoder.encode(text)) // 4
-                yield i, len(text.encode()), n, n > limit
+                    long = pc.greater(pc.utf8_length(texts), huge if encoder.cuts else 1 << 62)
+                    n = np.diff(encoder.encode_all(pc.if_else(long, "", texts))[1], prepend=0)
+                    for k in np.flatnonzero(long.to_numpy(zero_copy_only=False)).tolist():
+                        n[k] = count_by_overlap(encoder.library, texts[k].as_py(), size, overlap)
+                yield ids, pc.binary_length(texts), n, n > limit
 
     kind = dict(docs.dtypes)[id_col]
     chosen = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return in_arrow(chosen, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean", rows)
+    return in_columns(chosen, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean", columns)
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm.bpe import Encoder
-from sedimenta.llm.common import in_arrow, table, vocabulary, worker_value
+from sedimenta.llm.common import in_arrow, in_columns, slices, table, vocabulary, worker_value
 from sedimenta.session import scratch_path, written
 
 BLOCK = "shard int, block int, first bigint, {id} array<{kind}>, lengths array<int>, control binary, data binary"
@@ -62,22 +62,26 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(id, n, ids): ids of each text with the end id, as compressed byte planes; and one (counts) row per partition."""
     import zstandard
 
-    def rows(batches):
+    def columns(batches):
         encoder, squeeze = worker_value(Encoder, tokenizer), zstandard.ZstdCompressor(level=1)
-        end, seen = np.array([end_id], "<u4").tobytes(), np.zeros(0, np.int64)
-        for keys, texts in batches:
-            for key, text in zip(keys, texts):
-                ids = np.frombuffer(encoder.encode(text) + end, "<u4")
-                counts = np.bincount(ids)
+        seen = np.zeros(0, np.int64)
+        for batch in batches:
+            for keys, texts in (part.columns for part in slices(batch, 1)):
+                flat, ends = encoder.encode_all(texts)
+                lengths = np.diff(ends, prepend=0)
+                flat = np.insert(flat, ends, end_id)
+                counts = np.bincount(flat)
                 if len(counts) > len(seen):
                     seen = np.pad(seen, (0, len(counts) - len(seen)))
                 seen[:len(counts)] += counts
-                yield key, len(ids), squeeze.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes()), None
+                each = np.split(flat, np.cumsum(lengths + 1)[:-1])
+                planes = [squeeze.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes()) for ids in each]
+                yield keys, lengths + 1, planes, [None] * len(keys)
         used = np.flatnonzero(seen)
-        yield None, None, None, used.astype("<i8").tobytes() + seen[used].astype("<i8").tobytes()
+        yield [None], [None], [None], [used.astype("<i8").tobytes() + seen[used].astype("<i8").tobytes()]
 
     kind = docs.schema[0].dataType.simpleString()
-    return in_arrow(docs, f"id {kind}, n int, ids binary, counts binary", rows, flush=500)
+    return in_columns(docs, f"id {kind}, n int, ids binary, counts binary", columns)
 
 
 def ranked_ids(counts: DataFrame) -> list[int]:
@@ -148,21 +152,22 @@ def read_token_files(spark: SparkSession, path: str, rows_of=None, columns: str
     blocks = spark.read.parquet(f"{path}/blocks")
     ranking = np.array([r[0] for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").select("id").collect()], "<u4")
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    # one row per range partition
-    total = blocks.groupBy("shard").agg(F.max(F.col("first") + F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).alias("total"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = total.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
+    # one number per range partition
+    totals = blocks.groupBy("shard").agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)"))).collect()
+    offsets, so_far = {}, 0
+    for shard, total in sorted(totals):
+        offsets[shard], so_far = so_far, so_far + total
 
     def rows(batches) -> Iterator[tuple]:
         for columns_ in batches:
-            for first, keys, lengths, control, data, offset in zip(*columns_):
+            for shard, first, keys, lengths, control, data in zip(*columns_):
                 ids = ranking[unpacked(control, data, sum(lengths))]
                 at = 0
                 for key, n in zip(keys, lengths):
-                    yield key, offset + first + at, *rows_of(ids[at:at + n])
+                    yield key, offsets[shard] + first + at, *rows_of(ids[at:at + n])
                     at += n
 
-    placed = blocks.join(offsets, "shard").select("first", "ids", "lengths", "control", "data", "offset")
+    placed = blocks.select("shard", "first", "ids", "lengths", "control", "data")
     return in_arrow(placed, f"id {kind}, start bigint, {columns}", rows, flush=500)
 
 
