@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from sedimenta.llm.sentencepiece_codec import op2_sentencepiece
+from sedimenta.llm.simhash import op1_simhash
 from sedimenta.llm.token_counts import op10_token_counts
 from sedimenta.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_token_files": op3_token_files,
     "op10_token_counts": op10_token_counts,
 }
