@@ -25,14 +25,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def in_arrow(df: DataFrame, schema: str, rows: Callable[[list], Iterable[tuple]], flush: int = 4000) -> DataFrame:
+def in_arrow(df: DataFrame, schema: str, rows: Callable[[Iterable], Iterable[tuple]], flush: int = 4000, raw: bool = False) -> DataFrame:
     """``rows`` turns one partition's stream of record lists into output tuples, sent on in Arrow batches.
 
     ``rows`` gets the columns of each incoming batch as Python lists, so at most one incoming batch and ``flush``
-    output rows are held. The output columns and types are those of ``schema``.
+    output rows are held. The output columns and types are those of ``schema``. With ``raw`` it gets Arrow batches.
     """
-    names = df.columns
-
     kind = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,8 +43,7 @@ def in_arrow(df: DataFrame, schema: str, rows: Callable[[list], Iterable[tuple]]
             held.clear()
             return out
 
-        source = ([b.column(i).to_pylist() for i in range(len(names))] for b in batches)
-        for row in rows(source):
+        for row in rows(batches if raw else ([c.to_pylist() for c in b.columns] for b in batches)):
             held.append(row)
             if len(held) >= flush:
                 yield sent()

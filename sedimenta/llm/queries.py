@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from sedimenta.llm import benchmarks, chats
+from sedimenta.llm.benchmarks import op8_decontamination
+from sedimenta.llm.chats import op4_chats
+from sedimenta.llm.language_id import op6_language_id
+from sedimenta.llm.secrets import op9_secrets
 from sedimenta.llm.sentencepiece_codec import op2_sentencepiece
 from sedimenta.llm.simhash import op1_simhash
+from sedimenta.llm.sketches import op5_sketches
+from sedimenta.llm.substrings import op7_substrings
 from sedimenta.llm.token_counts import op10_token_counts
 from sedimenta.llm.token_files import op3_token_files
 
@@ -11,7 +18,13 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_token_files": op3_token_files,
+    "op4_chats": op4_chats,
+    "op5_sketches": op5_sketches,
+    "op6_language_id": op6_language_id,
+    "op7_substrings": op7_substrings,
+    "op8_decontamination": op8_decontamination,
+    "op9_secrets": op9_secrets,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_chats": chats.SQL, "op8_decontamination": benchmarks.SQL}
