@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ CUT = re.compile(r" (?=\S)")
 GLUED = r" [\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| \z"
 BREAK = "\u2028"
 FENCE = b"\xc0"
-# letters, digits and signs whose classes are the same in every version of Unicode
-_SETTLED = re.compile(r"[\x00-ɏ]*")
+# outside the letters, digits and signs whose classes are the same in every version of Unicode
+UNSETTLED = r"[^\x00-\u024f]"
 
 
 def _byte_names() -> dict[int, str]:
@@ -60,6 +61,8 @@ class Encoder:
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
         )
         self._names, self._pre = _byte_names(), regex.compile(PATTERN)
+        # stretches that the library gets as they are: special strings, other letters, white space at an end
+        self._odd = re.compile("|".join([UNSETTLED, r"\A\s", r"\s\Z", r"\A\Z", *map(re.escape, self.special)]))
         # a byte that no merge takes keeps pre-tokens apart in one call of the model
         fence = self._names[FENCE[0]]
         self._fence = None if any(fence in t and t != fence for t in about["model"]["vocab"]) else about["model"]["vocab"].get(fence)
@@ -69,12 +72,12 @@ class Encoder:
         """By one call of the library, as bytes of little-endian 32-bit numbers."""
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _merge(self, tokens: list[str]) -> None:
-        """Remember the ids of pre-tokens, many in one call of the library's model."""
+    def _merged(self, tokens: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of pre-tokens, many in one call of the library's model."""
         if self._fence is None:
             for t in tokens:
                 ids = self._model.tokenize(t.encode().decode("latin-1").translate(self._names))
-                self._tokens.put(t, np.array([i.id for i in ids], "<u4").tobytes())
+                yield t, np.array([i.id for i in ids], "<u4").tobytes()
             return
         for k in range(0, len(tokens), 2000):
             part = tokens[k:k + 2000]
@@ -83,27 +86,27 @@ class Encoder:
             ends = np.r_[np.flatnonzero(ids == self._fence), len(ids)].tolist()
             raw, at = ids.tobytes(), 0
             for token, end in zip(part, ends):
-                self._tokens.put(token, raw[4 * at:4 * end])
+                yield token, raw[4 * at:4 * end]
                 at = end + 1
 
-    def _learn(self, stretches: list[str], mark: str, into: Remembered) -> None:
-        """Remember the ids of stretches, each with ``mark`` before it."""
+    def _learned(self, stretches: list[str], mark: str) -> Iterator[tuple[str, bytes]]:
+        """Ids of stretches, each with ``mark`` before it."""
         plain = []
         for s in stretches:
-            if not _SETTLED.fullmatch(s) or not s or s[0].isspace() or s[-1].isspace() or any(x in s for x in self.special):
-                into.put(s, self.whole(mark + s))
+            if self._odd.search(s):
+                yield s, self.whole(mark + s)
             else:
                 plain.append(s)
+        if not plain:
+            return
         # a line separator is white space that no stretch here has, so it is a pre-token by itself
-        tokens = self._pre.findall(BREAK.join([mark + s for s in plain]) + BREAK) if plain else []
-        self._merge(self._tokens.missing(dict.fromkeys(tokens)))
-        ids, at = [], 0
-        for t in tokens:
-            if t == BREAK:
-                into.put(plain[at], b"".join(ids))
-                ids, at = [], at + 1
-            else:
-                ids.append(self._tokens.get(t))
+        tokens = self._pre.findall((BREAK + mark).join([mark + plain[0], *plain[1:]]) + BREAK)
+        named = list(dict.fromkeys(tokens))
+        ids = dict(zip(named, self._tokens.all(named, self._merged)))
+        spelled, at = [ids[t] for t in tokens], 0
+        for s, end in zip(plain, (k for k, t in enumerate(tokens) if t == BREAK)):
+            yield s, b"".join(spelled[at:end])
+            at = end + 1
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (non-null strings), one after another, and where each text's ids end."""
@@ -125,17 +128,10 @@ class Encoder:
         for k in begins.tolist():
             first.setdefault(names[index[k]], len(names) + len(first))
         index[begins] = [first[names[n]] for n in index[begins].tolist()]
-        pool = self._ids(names, " ", self._next) + self._ids(list(first), "", self._first)
+        pool = self._next.all(names, lambda new: self._learned(new, " ")) + self._first.all(list(first), lambda new: self._learned(new, ""))
         sizes = np.array([len(p) // 4 for p in pool], np.int64)
         flat, starts = np.frombuffer(b"".join(pool), "<u4"), np.cumsum(sizes) - sizes
         counts = sizes[index]
         ends = np.cumsum(counts)
         place = np.repeat(starts[index] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
         return flat[place], ends[np.r_[begins[1:], len(index)] - 1]
-
-    def _ids(self, names: list[str], mark: str, memory: Remembered) -> list[bytes]:
-        self._learn(memory.missing(names), mark, memory)
-        found = [memory.get(n) for n in names]
-        memory.age()
-        self._tokens.age()
-        return found

@@ -66,29 +66,29 @@ def in_columns(df: DataFrame, schema: str, columns: Callable[[Iterable], Iterabl
 
 
 class Remembered:
-    """Values by name in two generations: ``age`` forgets what was not asked for since the generation before."""
+    """Values by name in two generations: names not asked for since the last generation began are forgotten."""
 
     def __init__(self, keep: int):
         self._keep, self._now, self._old = keep, {}, {}
 
-    def missing(self, names: Iterable) -> list:
-        return [n for n in names if n not in self._now and n not in self._old]
-
-    def put(self, name, value) -> None:
-        self._now[name] = value
-
-    def get(self, name):
-        value = self._now.get(name)
-        if value is None:
-            value = self._now[name] = self._old[name]
-        return value
-
-    def age(self) -> None:
+    def all(self, names: list, learn: Callable[[list], Iterable[tuple]]) -> list:
+        """Values of all names; ``learn`` gives the (name, value) pairs of those not remembered."""
         if len(self._now) > self._keep:
             self._now, self._old = {}, self._now
-
-
-def slices(batch: pa.RecordBatch, text: int, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+        now, old, unknown = self._now, self._old, []
+        for n in names:
+            if n not in now:
+                value = old.get(n)
+                if value is None:
+                    unknown.append(n)
+                else:
+                    now[n] = value
+        if unknown:
+            now.update(learn(unknown))
+        return list(map(now.__getitem__, names))
+
+
+def slices(batch: pa.RecordBatch, text: int, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``chars`` bytes in its text column, single rows of more by themselves."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     at = 0
