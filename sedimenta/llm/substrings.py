@@ -15,6 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,18 +30,19 @@ DEPTH = WINDOW // GRAM
 GRAMS = WINDOW - GRAM + 1
 
 
-def _grams(texts: pa.Array):
-    """For every text: signed 64-bit hashes of its five-word grams."""
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Signed 64-bit hashes of the five-word grams of all texts, one after another, and where each text's words end.
+
+    The gram of a word is at the word's place; grams over the end of a text mean nothing.
+    """
     index, ends, names = words_of(texts)
     hashes = worker_value(Hashes)
     words = np.fromiter((hashes[n.encode()] for n in names), np.uint64, len(names))[index]
-    n = max(len(words) - GRAM + 1, 0)
-    h = np.zeros(n, np.uint64)
+    words = np.r_[words, np.zeros(GRAM - 1, np.uint64)]
+    h = np.zeros(len(index), np.uint64)
     for k in range(GRAM):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k:k + n]
-    h = mixed(h).view(np.int64)
-    for start, end in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
-        yield h[start:max(end - GRAM + 1, start)]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k:k + len(h)]
+    return mixed(h).view(np.int64), ends
 
 
 def _anchors(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +58,8 @@ def _anchors(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _anchor_columns(batches):
     for batch in batches:
         for doc, nth, texts in (part.columns for part in slices(batch, 2)):
-            found = [_anchors(g) for g in _grams(texts)]
+            grams, ends = _grams(texts)
+            found = [_anchors(grams[b:max(e - GRAM + 1, b)]) for b, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
             per_text = np.array([len(f[0]) for f in found])
             owner = np.repeat(np.arange(len(found)), per_text)
             anchor, first, n = (np.concatenate(c) for c in zip(*found))
@@ -103,44 +106,101 @@ def _repeated(hot: int):
     return columns
 
 
-def _shard_rows(shards: int):
-    """(shard, stride, grams, doc, nth, at) of a document's runs; runs of hot anchors go window by window."""
-    def rows(batches):
+def _gathered(grams: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Stretches of an array, one after another."""
+    return grams[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+
+
+def _binary(grams: np.ndarray, length: np.ndarray) -> pa.Array:
+    offsets = np.r_[0, np.cumsum(length * 8)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(grams))])
+
+
+def _shard_columns(shards: int):
+    """(shard, stride, grams, doc, nth, at, n) of the runs of documents.
+
+    Runs of hot anchors go window by window, each to a shard by its own content. Of equal hot windows of one document
+    only the first is sent; the others start later for certain and are marked by stride 0.
+    """
+    def columns(batches):
         for batch in batches:
             for part in slices(batch, 2):
                 doc, nth, texts, runs = part.columns
-                for d, m, grams, found in zip(doc.to_pylist(), nth.to_pylist(), _grams(texts), runs.to_pylist()):
-                    for run in found:
-                        at, n = run["at"], run["n"]
-                        piece = grams[at:at + n + GRAMS - 1]
-                        if not run["hot"]:
-                            yield int(piece[:GRAMS].min()) % shards, GRAM, piece.tobytes(), d, m, at
-                            continue
-                        for k in range(n):
-                            window = np.ascontiguousarray(piece[k:k + GRAMS:GRAM])
-                            yield int(mixed(window.view(np.uint64)).sum()) % shards, 1, window.tobytes(), d, m, at + k
+                doc, nth = doc.to_numpy(), nth.to_numpy()
+                grams, ends = _grams(texts)
+                begins = np.r_[0, ends[:-1]]
+                owner = np.repeat(np.arange(len(part)), pc.list_value_length(runs).to_numpy(zero_copy_only=False))
+                each = runs.flatten()
+                at, n, hot = (each.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+                start = begins[owner] + at
+                least = grams.copy()
+                for k in range(1, GRAMS):
+                    np.minimum(least[:-k], grams[k:], out=least[:-k])
+                few = hot == 0
+                length = n[few] + GRAMS - 1
+                yield (
+                    least[start[few]] % shards, np.full(len(length), GRAM), _binary(_gathered(grams, start[few], length), length),
+                    doc[owner[few]], nth[owner[few]], at[few], n[few],
+                )
+                many = np.repeat(np.flatnonzero(hot), n[hot == 1])
+                if not len(many):
+                    continue
+                inside = _gathered(np.arange(int(n.max())), np.zeros(int(hot.sum()), np.int64), n[hot == 1])
+                place, who = at[many] + inside, owner[many]
+                windows = grams[(start[many] + inside)[:, None] + GRAM * np.arange(DEPTH)]
+                order = np.lexsort((place, *windows.T, who))
+                place, who, windows = place[order], who[order], windows[order]
+                again = np.r_[False, (who[1:] == who[:-1]) & (windows[1:] == windows[:-1]).all(axis=1)]
+                shard = np.where(again, who, mixed(windows.view(np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)) % shards
+                length = np.where(again, 0, DEPTH)
+                yield (
+                    shard, np.where(again, 0, 1), _binary(windows[~again].reshape(-1), length), doc[who], nth[who], place,
+                    np.ones(len(who), np.int64),
+                )
 
-    return rows
+    return columns
 
 
 def _searched(batches):
     """(doc, nth, at, n): windows of shard rows that also start earlier, as intervals of windows.
 
-    Rows come sorted by shard, content and place. Rows of equal content are one sequence of the index, with the first
-    one's place; the windows of the others all start earlier there. A row with the same place as well is a repeated row
-    of the table and not earlier.
+    Rows come sorted by shard, stride, content and place. Rows of equal content are one sequence of the index, with the
+    first one's place; the windows of the others all start earlier there. A row with the same place as well is a
+    repeated row of the table and not earlier.
     """
-    shard, last, held = None, None, []
-    for columns in batches:
-        for row in zip(*columns):
-            if row[0] != shard:
+    held: list[tuple] = []
+    shard, first = None, None
+    for batch in batches:
+        raw = batch.column(2)
+        offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + len(raw) + 1].astype(np.int64) // 8
+        grams = np.frombuffer(raw.buffers()[2] or b"", "<i8")[offsets[0]:offsets[-1]] if offsets[-1] else np.zeros(0, np.int64)
+        size = np.diff(offsets)
+        number, stride, doc, nth, at, n = (batch.column(k).to_numpy() for k in (0, 1, 3, 4, 5, 6))
+        # equal to the row before: the same shard, stride, length and grams
+        begin = offsets[:-1] - offsets[0]
+        same = np.r_[False, (number[1:] == number[:-1]) & (stride[1:] == stride[:-1]) & (size[1:] == size[:-1])] & (stride > 0)
+        rows = np.flatnonzero(same)
+        if len(rows):
+            equal = _gathered(grams, begin[rows], size[rows]) == _gathered(grams, begin[rows - 1], size[rows])
+            same[rows] = np.logical_and.reduceat(equal, np.cumsum(size[rows]) - size[rows])
+        if first is not None and stride[0] and (number[0], stride[0], size[0]) == first[:3]:
+            same[0] = (grams[:size[0]] == first[3]).all()
+        leader = np.maximum.accumulate(np.where(same, -1, np.arange(len(same))))
+        places = np.c_[doc, nth, at]
+        moved = np.where(leader[:, None] < 0, first[4] if first is not None else 0, places[leader]) != places
+        gone = (stride == 0) | same & moved.any(axis=1)
+        yield doc[gone], nth[gone], at[gone], n[gone]
+        kept = np.flatnonzero(~same & (stride > 0))
+        for rows in np.split(kept, np.flatnonzero(np.diff(number[kept])) + 1):
+            if not len(rows):
+                continue
+            if number[rows[0]] != shard:
                 yield from _from_index(held)
-                shard, last, held = row[0], None, []
-            if row[1:3] != last:
-                last = row[1:3]
-                held.append(row)
-            elif row[3:] != held[-1][3:]:
-                yield row[3], row[4], row[5], len(row[2]) // 8 - (DEPTH - 1) * row[1]
+                held, shard = [], number[rows[0]]
+            held.append((_gathered(grams, begin[rows], size[rows]), size[rows], stride[rows], doc[rows], nth[rows], at[rows]))
+        if leader[-1] >= 0:
+            k = leader[-1]
+            first = (number[k], stride[k], size[k], grams[begin[k]:begin[k] + size[k]].copy(), places[k])
     yield from _from_index(held)
 
 
@@ -148,13 +208,14 @@ def _from_index(held: list[tuple]):
     """Index the sequences of one shard, stream their windows against it, and give the intervals above the threshold."""
     if not held:
         return
+    grams, sizes, strides, doc, nth, at = (np.concatenate(c) for c in zip(*held))
     # in order of place, so that the smaller number of a window starts earlier
-    held = sorted(held, key=lambda r: r[3:])
-    grams = np.frombuffer(b"".join([r[2] for r in held]), "<i8")
-    sizes, strides = np.array([len(r[2]) // 8 for r in held]), np.array([r[1] for r in held])
+    order = np.lexsort((at, nth, doc))
+    grams = _gathered(grams, (np.cumsum(sizes) - sizes)[order], sizes[order])
+    sizes, strides, doc, nth, at = (c[order] for c in (sizes, strides, doc, nth, at))
     windows = sizes - (DEPTH - 1) * strides
     base = np.cumsum(windows) - windows
-    seq = np.repeat(np.arange(len(held)), sizes)
+    seq = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(grams)) - (np.cumsum(sizes) - sizes)[seq]
     phase = place % strides[seq]
     none = np.iinfo(np.int64).max
@@ -166,16 +227,15 @@ def _from_index(held: list[tuple]):
     text, order = np.insert(numbers[by_phase] + 1, ends, 0), np.insert(order[by_phase], ends, none)
     index, begins, hits = Index(text, order, DEPTH), np.flatnonzero(order < none), []
     for k in range(0, len(begins), 1 << 17):
-        at = begins[k:k + (1 << 17)]
-        matched, least = index.matching(text[at[:, None] + np.arange(DEPTH)])
-        hits.append(order[at[(matched == DEPTH) & (least < order[at])]])
+        some = begins[k:k + (1 << 17)]
+        matched, least = index.matching(text[some[:, None] + np.arange(DEPTH)])
+        hits.append(order[some[(matched == DEPTH) & (least < order[some])]])
     hit = np.sort(np.concatenate(hits))
     owner = np.searchsorted(base, hit, side="right") - 1
     start = hit - base[owner]
     new = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(start) != 1)]) if len(hit) else hit
-    for b, e in zip(new.tolist(), [*new[1:].tolist(), len(hit)]):
-        _, _, _, doc, nth, at = held[owner[b]]
-        yield doc, nth, at + int(start[b]), e - b
+    who = owner[new]
+    yield doc[who], nth[who], at[who] + start[new], np.diff(np.r_[new, len(hit)])
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -198,21 +258,28 @@ def repeated_windows(texts: DataFrame, hot: int = 20_000, shard_windows: int = 2
     window by window over all shards, as four symbols each. The number of shards follows the number of windows kept.
     """
     spark = texts.sparkSession
-    anchors = in_columns(texts.select("key", "nth", "text"), "anchor bigint, key bigint, nth int, at int, n int", _anchor_columns)
-    sorted_ = anchors.repartition("anchor").sortWithinPartitions("anchor")
-    kept = written(in_columns(sorted_, "key bigint, nth int, at int, n int, hot boolean", _repeated(hot)), "substring-runs")
+    kept = written(_repeated_runs(texts, hot), "substring-runs")
     released(spark)
     windows = kept.agg(F.sum("n")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(windows / shard_windows))
-    lists = kept.groupBy("key", "nth").agg(F.collect_list(F.struct("at", "n", "hot")).alias("runs"))
-    found = texts.select("key", "nth", "text").join(lists, ["key", "nth"])
-    dealt = in_arrow(found, "shard int, stride int, grams binary, key bigint, nth int, at int", _shard_rows(shards), raw=True)
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "stride", "grams", "key", "nth", "at")
-    out = written(in_arrow(dealt, "key bigint, nth int, at int, n int", _searched, flush=20_000), "substring-repeats")
+    out = written(_shard_search(texts, kept, shards), "substring-repeats")
     released(spark)
     return out
 
 
+def _repeated_runs(texts: DataFrame, hot: int) -> DataFrame:
+    anchors = in_columns(texts.select("key", "nth", "text"), "anchor bigint, key bigint, nth int, at int, n int", _anchor_columns)
+    return in_columns(anchors.repartition("anchor").sortWithinPartitions("anchor"), "key bigint, nth int, at int, n int, hot boolean", _repeated(hot))
+
+
+def _shard_search(texts: DataFrame, runs: DataFrame, shards: int) -> DataFrame:
+    lists = runs.groupBy("key", "nth").agg(F.collect_list(F.struct("at", "n", "hot")).alias("runs"))
+    found = texts.select("key", "nth", "text").join(lists, ["key", "nth"])
+    dealt = in_columns(found, "shard int, stride int, grams binary, key bigint, nth int, at int, n int", _shard_columns(shards))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "stride", "grams", "key", "nth", "at")
+    return in_columns(dealt, "key bigint, nth int, at int, n int", _searched)
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 20_000, shard_windows: int = 200_000) -> DataFrame:
     """(id, n_words, n_removed, kept) of every whole text: words covered by a window of 20 that starts earlier too go.
 
