@@ -191,7 +191,9 @@ def strip(text: str) -> str:
     return f"regexp_replace({text}, {q(STRIP)}, '', 'g')"
 
 
-def preview(text: str, n: int = 15) -> str:
+def preview(text: str, n: int = 15, keep_blank: bool = False) -> str:
+    if keep_blank:
+        return f"coalesce(array_to_string(['  ' || s for s in ({lines(text)})[1:{n}]], chr(10)), '')"
     return f"coalesce(array_to_string(['  ' || s for s in ({lines(text)})[1:{n}] if {strip('s')} <> ''], chr(10)), '')"
 
 
@@ -231,8 +233,41 @@ def call(n: int, name: str = "{1}", args: str = "{2}", stripped: bool = False) -
     return f"{name} || '(' || {strip(cut) if stripped else cut} || ')'"
 
 
+def deep(key: str, shape: str, groups, keep: str | None = None) -> str:
+    """Like ``zipped``, in order of the indent (group 1) and then of the text."""
+    made = zipped(key, "{'d': length({1}), 'i': i, 'v': %s}" % shape, groups, keep=keep)
+    return f"[s.v for s in list_sort({made})]"
+
+
+def python_args(args: str) -> str:
+    plain = f"regexp_replace({args}, '{PYTHON_COMMENT}', '', 'g')"
+    for _ in range(2):
+        plain = f"regexp_replace({plain}, {q(PYTHON_BRACKETS)}, '', 'g')"
+    names = f"list_filter([{strip(chr(114) + 'egexp_extract(a, ' + q('^[^:=]*') + ')')} for a in string_split({plain}, ',')], lambda x: x <> '')"
+    cut = f"list_reduce({names}, lambda acc, x: CASE WHEN acc[-1:] = '*' OR x[1] = '*' THEN rtrim(acc, '*') || '*' WHEN x = '/' THEN '' ELSE acc || ',' || x END, '')"
+    positional = f"list_filter(string_split(rtrim({cut}, '*'), ','), lambda x: x <> '')"
+    return f"array_to_string(CASE WHEN len({positional}) > 4 THEN list_append(({positional})[1:4], '...') ELSE {positional} END, ', ')"
+
+
+def python_parses(text: str = "content_preview") -> str:
+    return f"len({ex('python_function_start', 0)}) = len({ex('python_function', 0)})"
+
+
+PYTHON_COMMENT = "#[^\n]*"
+PYTHON_BRACKETS = r"\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}"
+_PY_LISTED = f"string_split(regexp_replace(coalesce({{2}}, '') || coalesce({{4}}, ''), '{PYTHON_COMMENT}|[()\\\\]', '', 'g'), ',')"
+_PY_MODULE = "regexp_replace(coalesce({3}, ''), '^[.]+', '')"
+_PY_NAMES = f"[CASE WHEN {_PY_MODULE} = '' THEN '' ELSE {_PY_MODULE} || '.' END || {strip('regexp_replace(' + strip('n') + ', ' + q('(?s)[ \t]+as[ \t].*$') + ', ' + chr(39) * 2 + ')')} for n in {_PY_LISTED} if {strip('n')} <> '']"
+_PY_CALL = "{3} || '(' || " + python_args("{4}") + " || ')'"
+_PY_MARKS = deep("python_decorators", f"regexp_extract_all({{2}}, {re2(rules.SYMBOL_PATTERNS['python_decorator'])}, 1)", (1, 2))
 _ANY_FUNCTION = r"(async\s)?function\s+(\w+)\s*\(([^)]*)\)"
 KINDS = {
+    "python": {
+        "import": f"flatten({deep('python_import', _PY_NAMES, (1, 2, 3, 4))})", "class": deep("python_class", "{2}", (1, 2)),
+        "function": deep("python_function", _PY_CALL, (1, 2, 3, 4), "coalesce({2}, '') = ''"),
+        "async_function": deep("python_function", _PY_CALL, (1, 2, 3, 4), "coalesce({2}, '') <> ''"),
+        "env": ex("python_env"), "decorator": unique(f"(flatten({_PY_MARKS}))"),
+    },
     "js": {
         "import": ex("js_import"), "export": ex("js_export"), "class": ex("js_class"),
         "async_function": f"list_concat({zipped('js_async_named', call(40))}, {zipped('js_async_arrow', call(40))})",
@@ -271,12 +306,13 @@ KINDS = {
 
 def symbol_lists(lang: str, source: str = "scanned") -> tuple[str, str]:
     columns = ", ".join(f"{expr} AS k_{kind}" for kind, expr in KINDS[lang].items())
+    columns += f", {python_parses() if lang == 'python' else 'true'} AS parsed"
     return (f"lists_{lang}", f"SELECT * FROM (SELECT *, {columns} FROM {source} WHERE extension IN {tup(rules.LANGUAGE_SUFFIXES[lang])} AND content_preview IS NOT NULL)")
 
 
 def symbol_rows(lang: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT project, path, '{lang}' AS lang, '{kind}' AS kind, unnest(range(0, len(k_{kind}))) AS ordinal, unnest(k_{kind}) AS name FROM lists_{lang}"
+        f"SELECT project, path, '{lang}' AS lang, '{kind}' AS kind, unnest(range(0, len(k_{kind}))) AS ordinal, unnest(k_{kind}) AS name FROM lists_{lang} WHERE parsed"
         for kind in KINDS[lang]
     )
 
@@ -311,6 +347,8 @@ def summaries() -> list[tuple[str, str]]:
         sections.append(_section("External / Side Effects", effects("content_preview", lang)))
         sections.append(_section("Potential Risk Areas", risk_words("content_preview")))
         body = f"coalesce(nullif(concat_ws(chr(10) || chr(10), {', '.join(sections)}), ''), {q(rules.NOTHING_FOUND[lang])})"
+        broken = f"'Parse error. Preview:' || chr(10) || {preview('content_preview', 10, keep_blank=True)}"
+        body = f"CASE WHEN parsed THEN {body} ELSE {broken} END"
         parts.append(f"SELECT project, path, '{lang}' AS lang, {header} || {warning} || {body} AS summary FROM lists_{lang} WHERE length(content_preview) > 0")
     known = tuple(s for suffixes in rules.LANGUAGE_SUFFIXES.values() for s in suffixes)
     parts.append(f"""SELECT project, path, NULL AS lang, {header} || {warning} || 'Preview:' || chr(10) || {preview('content_preview')} AS summary
@@ -429,8 +467,12 @@ FROM (SELECT DISTINCT project FROM files) p LEFT JOIN (SELECT * FROM scores WHER
     ]
 
 
-def static_domain() -> list[tuple[str, str]]:
-    return [*tech(), *status(), *evidence("""
+STRUCTURE_CHANNEL = "CASE WHEN contains(summary, 'Classes:') OR contains(summary, 'Functions:') THEN 'structure_symbols' ELSE 'structure_body' END"
+
+
+def whole_domain() -> list[tuple[str, str]]:
+    return [*tech(), *status(), *summaries(), *evidence(f"""
+SELECT project, {STRUCTURE_CHANNEL} AS channel, path, summary AS text FROM summaries UNION ALL
 SELECT DISTINCT project, 'project_name' AS channel, NULL AS path, project AS text FROM files
 UNION ALL SELECT project, 'file_path', path, path FROM status
 UNION ALL SELECT project, 'markdown', path, content_preview FROM scanned WHERE extension = '.md'
@@ -636,12 +678,13 @@ def statements() -> dict[str, str]:
         s[f"symbols_{lang}"] = with_([*scanned(), symbol_lists(lang)], symbol_rows(lang))
     s["top_imports"], s["env_var_usage"], s["route_catalog"] = (symbol_counts(k) for k in ("import", "env", "route"))
     s["structural_summary"] = with_(summaries(), "SELECT project, path, lang, summary FROM summaries")
-    s["domain_evidence"] = with_(static_domain(), EVIDENCE)
-    channel = "CASE WHEN contains(summary, 'Classes:') OR contains(summary, 'Functions:') THEN 'structure_symbols' ELSE 'structure_body' END"
-    s["domain_evidence_structure"] = with_([*summaries(), *evidence(f"SELECT project, {channel} AS channel, path, summary AS text FROM summaries")], EVIDENCE)
-    s["domain_scores"] = with_(static_domain(), "SELECT project, domain, score::BIGINT AS score, strong_count, matched, confidence FROM scores")
-    s["detect_domain"] = with_(static_domain(), "SELECT project, domain, confidence, score::BIGINT AS score, strong_count, matched FROM detected")
-    s["winning_evidence"] = with_(static_domain(), "SELECT project, domain, evidence FROM evidence JOIN detected USING (project, domain)")
+    s["domain_evidence"] = with_(whole_domain(), EVIDENCE)
+    s["structural_summary_all"] = s["structural_summary"]
+    s["domain_evidence_structure"] = with_(whole_domain(), EVIDENCE + " WHERE channel LIKE 'structure%'")
+    s["domain_scores"] = with_(whole_domain(), "SELECT project, domain, score::BIGINT AS score, strong_count, matched, confidence FROM scores")
+    s["detect_domain"] = with_(whole_domain(), "SELECT project, domain, confidence, score::BIGINT AS score, strong_count, matched FROM detected")
+    s["detect_domain_full"] = s["detect_domain"]
+    s["winning_evidence"] = with_(whole_domain(), "SELECT project, domain, evidence FROM evidence JOIN detected USING (project, domain)")
     for table, column in (("documents", "text"), ("pages", "html")):
         s[f"{table[:-1] if table == 'pages' else 'doc'}_indicator_hits"] = with_(
             indicator_hits(f"SELECT lower({column}) AS low FROM {table}"),
@@ -662,7 +705,7 @@ def statements() -> dict[str, str]:
   WHEN mode = 'balanced' THEN 'Balanced Static Architecture Review' ELSE 'Limited Static Architecture Review' END AS analysis_type,
  CASE WHEN {parts} = '' THEN '' ELSE '## Evidence Disclaimer' || chr(10) || chr(10) || {parts} || chr(10) END AS disclaimer FROM resolved""")
     sections = " ".join(f"WHEN '{d}' THEN {q(labels.domain_section_text(d))}" for d in rules.DOMAIN_SECTIONS)
-    s["special_section"] = with_(static_domain(), f"SELECT project, CASE WHEN confidence IN ('medium', 'high') THEN CASE domain {sections} ELSE '' END ELSE '' END AS section FROM detected")
+    s["special_section"] = with_(whole_domain(), f"SELECT project, CASE WHEN confidence IN ('medium', 'high') THEN CASE domain {sections} ELSE '' END ELSE '' END AS section FROM detected")
     s["budget_pack"] = budget(2_000, 60_000)
     s["budget_pack_default"] = f"SELECT source, doc_id, length(preview) AS preview_chars, truncated FROM ({budget(40_000, 500_000)})"
     mark = lambda n: f"CASE WHEN redacted THEN {q(n)} ELSE '' END"

@@ -11,21 +11,17 @@ from sedimenta import rules
 from sedimenta.functions import paths, symbols, text
 from sedimenta.functions.cases import case, sql_string
 
-NATIVE_LANGUAGES = ("js", "go", "rust", "ruby")
-
-
 def with_symbols(scanned: DataFrame, languages: Iterable[str] = tuple(rules.LANGUAGE_SUFFIXES), column: str = "content_preview") -> DataFrame:
-    """Add ``lang``, ``symbols`` and ``parsed`` to each row; only Python text is sent to Python workers."""
-    languages = tuple(languages)
+    """Add ``lang``, ``symbols`` and ``parsed`` to each row."""
     df = scanned.withColumn("lang", symbols.language(F.col("extension")))
-    found = [
-        (F.col("lang") == lang, symbols.native_symbols(F.col(column), lang)) for lang in NATIVE_LANGUAGES if lang in languages
-    ]
-    if "python" in languages:
-        df = df.withColumn("_py", symbols.python_symbols(F.when(F.col("lang") == "python", F.col(column))))
-        found.append((F.col("lang") == "python", F.col("_py")))
+    found = []
+    for lang in languages:
+        test = F.col("lang") == lang
+        if lang == "python":
+            test = test & symbols.python_parses(F.col(column))
+        found.append((test, symbols.native_symbols(F.col(column), lang)))
     df = df.withColumn("symbols", case(found, F.lit(None).cast(symbols.SYMBOL_TYPE)))
-    return df.withColumn("parsed", F.col("symbols").isNotNull()).drop("_py")
+    return df.withColumn("parsed", F.col("symbols").isNotNull())
 
 
 def symbol_rows(described: DataFrame) -> DataFrame:

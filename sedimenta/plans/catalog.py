@@ -224,70 +224,52 @@ def tech_table(spark, sf):
 # --- symbols ---------------------------------------------------------------------------------------
 
 
-def _symbols(lang: str) -> Callable:
-    def query(spark, sf):
-        described = summaries.with_symbols(analysis(spark, sf).scanned, [lang])
-        return summaries.symbol_rows(described)
+def _described(spark, sf, languages) -> DataFrame:
+    """Symbols of files in some languages. The suffix decides before any text is redacted or searched."""
+    suffixes = [s for lang in languages for s in rules.LANGUAGE_SUFFIXES[lang]]
+    chosen = files(spark, sf).filter(paths.suffix(F.col("path")).isin(suffixes))
+    return summaries.with_symbols(Analysis(chosen).scanned, languages)
 
-    return query
 
+def _symbols(lang: str) -> Callable:
+    return lambda spark, sf: summaries.symbol_rows(_described(spark, sf, [lang]))
 
-def _counts(kind: str) -> Callable:
-    def query(spark, sf):
-        described = summaries.with_symbols(analysis(spark, sf).scanned, summaries.NATIVE_LANGUAGES)
-        return summaries.symbol_counts(summaries.symbol_rows(described), kind)
 
-    return query
+def _counts(kind: str) -> Callable:
+    return lambda spark, sf: summaries.symbol_counts(summaries.symbol_rows(_described(spark, sf, list(rules.LANGUAGE_SUFFIXES))), kind)
 
 
 def structural_summary(spark, sf):
-    """Summaries of all languages but Python, for comparison with SQL."""
-    a = analysis(spark, sf)
-    rows = a.selected.filter(F.col("extension") != ".py")
-    return summaries.structural_summaries(rows, summaries.NATIVE_LANGUAGES).select("project", "path", "lang", "summary")
-
-
-def structural_summary_all(spark, sf):
     return analysis(spark, sf).summaries.select("project", "path", "lang", "summary")
 
 
 # --- domain ----------------------------------------------------------------------------------------
 
 
-def _static_evidence(spark, sf) -> tuple[Analysis, DataFrame]:
-    a = analysis(spark, sf, dry_run=True).scanned_once()
-    none = a.projects.select("project", F.lit("").alias("path"), F.lit("").alias("summary")).filter(F.lit(False))
-    return a, domain.domain_evidence(domain.domain_texts(a.projects, a.status, a.scanned, none, a.tech))
+def _evidence(spark, sf) -> tuple[Analysis, DataFrame]:
+    a = analysis(spark, sf).scanned_once()
+    return a, a.evidence
 
 
 def domain_evidence(spark, sf):
-    return _static_evidence(spark, sf)[1].select("project", "domain", "indicator", "is_strong", "channel", "path", "points", "evidence")
+    return _evidence(spark, sf)[1].select("project", "domain", "indicator", "is_strong", "channel", "path", "points", "evidence")
 
 
 def domain_evidence_structure(spark, sf):
-    rows = structural_summary(spark, sf)
-    a = analysis(spark, sf)
-    empty = lambda df: df.filter(F.lit(False))
-    texts = domain.domain_texts(empty(a.projects), empty(a.status), empty(a.scanned), rows, empty(a.tech))
-    return domain.domain_evidence(texts).select("project", "domain", "indicator", "is_strong", "channel", "path", "points", "evidence")
+    return domain_evidence(spark, sf).filter(F.col("channel").startswith("structure"))
 
 
 def domain_scores(spark, sf):
-    return domain.domain_scores(_static_evidence(spark, sf)[1]).withColumn("matched", F.array_join("matched", ", "))
+    return domain.domain_scores(_evidence(spark, sf)[1]).withColumn("matched", F.array_join("matched", ", "))
 
 
 def detect_domain(spark, sf):
-    a, evidence = _static_evidence(spark, sf)
+    a, evidence = _evidence(spark, sf)
     return domain.detect_domain(domain.domain_scores(evidence), a.projects).withColumn("matched", F.array_join("matched", ", "))
 
 
-def detect_domain_full(spark, sf):
-    """With the summaries of all selected files, Python included."""
-    return analysis(spark, sf).scanned_once().domain.withColumn("matched", F.array_join("matched", ", "))
-
-
 def winning_evidence(spark, sf):
-    a, evidence = _static_evidence(spark, sf)
+    a, evidence = _evidence(spark, sf)
     detected = domain.detect_domain(domain.domain_scores(evidence), a.projects)
     return domain.winning_evidence(evidence, detected).select("project", "domain", "evidence")
 
@@ -347,7 +329,7 @@ def evidence_labels(spark, sf):
 
 
 def special_section(spark, sf):
-    a, evidence = _static_evidence(spark, sf)
+    a, evidence = _evidence(spark, sf)
     detected = domain.detect_domain(domain.domain_scores(evidence), a.projects)
     return detected.select("project", labels.special_section(F.col("domain"), F.col("confidence")).alias("section"))
 
@@ -457,13 +439,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         redaction_by_project, redaction_totals, redaction_report, suspicious_content, risk_keywords, side_effects,
         preview_lines, requirement_names, file_keys, scan_stats, priority_topk, enrichment_candidates, dry_run_preview,
         retain_newest, retain_newest_by_source, module_rollup, url_module_rollup, dir_rollup, dir_tree, dir_tree_head,
-        large_file_notes, project_summary, tech_items, tech_table, structural_summary, structural_summary_all,
-        domain_evidence, domain_evidence_structure, domain_scores, detect_domain, detect_domain_full, winning_evidence,
+        large_file_notes, project_summary, tech_items, tech_table, structural_summary,
+        domain_evidence, domain_evidence_structure, domain_scores, detect_domain, winning_evidence,
         doc_indicator_hits, page_indicator_hits, risk_notes, repo_audit, upgrade_plan, resolve_options, evidence_labels, special_section,
         budget_pack, budget_pack_default, context_files, context_redaction, context_rows, report_lines,
         window_request_count, rate_limit_admit, rate_limit_minute, incremental_changed, incremental_refresh,
         stream_redact, stream_rate_limit,
     )
 }
+# names from when Python files were left out of the shorter ones
+QUERIES |= {"structural_summary_all": structural_summary, "detect_domain_full": detect_domain}
 QUERIES |= {f"symbols_{lang}": _symbols(lang) for lang in ("js", "go", "rust", "ruby", "python")}
 QUERIES |= {"top_imports": _counts("import"), "env_var_usage": _counts("env"), "route_catalog": _counts("route")}
