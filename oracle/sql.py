@@ -704,7 +704,7 @@ def statements() -> dict[str, str]:
  CASE WHEN mode = 'deep' AND use_enrichment THEN 'Deep Architecture Review (Static + Ollama)' WHEN mode = 'balanced' AND use_enrichment THEN 'Balanced Architecture Review (Static + Ollama)'
   WHEN mode = 'balanced' THEN 'Balanced Static Architecture Review' ELSE 'Limited Static Architecture Review' END AS analysis_type,
  CASE WHEN {parts} = '' THEN '' ELSE '## Evidence Disclaimer' || chr(10) || chr(10) || {parts} || chr(10) END AS disclaimer FROM resolved""")
-    sections = " ".join(f"WHEN '{d}' THEN {q(labels.domain_section_text(d))}" for d in rules.DOMAIN_SECTIONS)
+    sections = " ".join(f"WHEN '{d}' THEN {q(shown)}" for d, shown in rules.DOMAIN_SECTIONS.items())
     s["special_section"] = with_(whole_domain(), f"SELECT project, CASE WHEN confidence IN ('medium', 'high') THEN CASE domain {sections} ELSE '' END ELSE '' END AS section FROM detected")
     s["budget_pack"] = budget(2_000, 60_000)
     s["budget_pack_default"] = f"SELECT source, doc_id, length(preview) AS preview_chars, truncated FROM ({budget(40_000, 500_000)})"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sedimenta import rules
 from sedimenta.functions.cases import case
+from sedimenta.functions.text import filled
 
 
 def _mode_value(mode: Column, position: int) -> Column:
@@ -51,34 +52,24 @@ def evidence_level(mode: Column, enriched: Column) -> Column:
 
 def analysis_type(mode: Column, enriched: Column) -> Column:
     return (
-        F.when((mode == "deep") & enriched, "Deep Architecture Review (Static + Ollama)")
-        .when((mode == "balanced") & enriched, "Balanced Architecture Review (Static + Ollama)")
-        .when(mode == "balanced", "Balanced Static Architecture Review")
-        .otherwise("Limited Static Architecture Review")
+        F.when((mode == "deep") & enriched, rules.ANALYSIS_DEEP)
+        .when((mode == "balanced") & enriched, rules.ANALYSIS_BALANCED)
+        .when(mode == "balanced", rules.ANALYSIS_BALANCED_STATIC)
+        .otherwise(rules.ANALYSIS_LIMITED)
     )
 
 
 def evidence_disclaimer(enriched: Column, n_files: Column, error: Column) -> Column:
     """Text of the disclaimer block, empty when there is nothing to say."""
     parts = F.array_compact(F.array(
-        F.when(~enriched, F.lit(
-            "Do not claim to have performed a full source-code audit. Base findings only on file tree, "
-            "structural summaries, config previews, and included evidence.")),
-        F.when(n_files < 20, F.lit(
-            "Evidence is limited. Produce a limited architecture and risk review, not a definitive security audit.")),
-        F.when(error.isNotNull() & (error != "") & ~enriched, F.concat(
-            F.lit("Ollama was unavailable: "), error, F.lit(". Static-only analysis was used."))),
+        F.when(~enriched, rules.DISCLAIMER_STATIC),
+        F.when(n_files < 20, rules.DISCLAIMER_FEW_FILES),
+        F.when(error.isNotNull() & (error != "") & ~enriched, filled(rules.DISCLAIMER_ERROR, error)),
     ))
     body = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("> ⚠ "), p)), "\n\n")
     return F.when(F.size(parts) == 0, "").otherwise(F.concat(F.lit("## Evidence Disclaimer\n\n"), body, F.lit("\n")))
 
 
-def domain_section_text(domain: str) -> str:
-    heading, lead, points = rules.DOMAIN_SECTIONS[domain]
-    bullets = "\n".join(f"- {p}" for p in points)
-    return f"## Special Domain Risk: {heading}\n\n{lead}\nPay special attention to:\n\n{bullets}\n"
-
-
 def special_section(domain: Column, confidence: Column) -> Column:
     sure = confidence.isin("medium", "high")
-    return case((((domain == name) & sure, domain_section_text(name)) for name in rules.DOMAIN_SECTIONS), "")
+    return case((((domain == name) & sure, shown) for name, shown in rules.DOMAIN_SECTIONS.items()), "")

@@ -186,3 +186,12 @@ def side_effects(text: Column, language: str, low: Column | None = None) -> Colu
             hit = hit | low.contains(needle)
         labels.append(F.when(hit, F.lit(label)))
     return F.array_compact(F.array(*labels))
+
+
+def filled(template: str, *values: Column | str) -> Column:
+    """A fixed text whose braces are replaced by columns."""
+    parts = template.split("{}")
+    out = [F.lit(parts[0])]
+    for value, part in zip(values, parts[1:]):
+        out += [F.col(value) if isinstance(value, str) else value, F.lit(part)]
+    return F.concat(*out)

@@ -52,7 +52,7 @@ def _per_target(targets: Sequence[str], shape) -> Column:
     ]))
 
 
-def _rows(df: DataFrame, section: str, key: Column, targets: Sequence[str], shape) -> DataFrame:
+def section_rows(df: DataFrame, section: str, key: Column, targets: Sequence[str], shape) -> DataFrame:
     return df.select("project", key.cast("string").alias("line_key"), F.explode_outer(_per_target(targets, shape)).alias("t")).filter(
         F.col("t").isNotNull()
     ).select(
@@ -216,32 +216,32 @@ def context_rows(facts: DataFrame, selected: DataFrame, summaries: DataFrame, no
     ranked = with_summary_rank(summaries)
     uncut = [t for t in targets if rules.TARGET_CAPS[t][3] is None]
     parts = [
-        _rows(facts, "facts", head, targets, _facts),
-        _rows(facts, "project_summary", head, targets, lambda t: F.col("summary")),
-        _rows(facts, "tech_stack", head, targets, lambda t: F.col("tech_table")),
-        _rows(selected, "important_files", _rank_key(), targets, _file_line),
-        _rows(ranked, "file_summaries", _rank_key(), targets, _summary_line),
-        _rows(notes, "risk_notes", F.lpad(F.col("ord").cast("string"), 3, "0"), targets, lambda t: F.concat(F.lit("- "), "note")),
-        _rows(found, "redaction", body, targets, _finding_line),
-        _rows(facts, "metadata", head, targets, lambda t: metadata_text()),
-        _rows(facts, "disclaimer", head, targets, lambda t: F.nullif(
+        section_rows(facts, "facts", head, targets, _facts),
+        section_rows(facts, "project_summary", head, targets, lambda t: F.col("summary")),
+        section_rows(facts, "tech_stack", head, targets, lambda t: F.col("tech_table")),
+        section_rows(selected, "important_files", _rank_key(), targets, _file_line),
+        section_rows(ranked, "file_summaries", _rank_key(), targets, _summary_line),
+        section_rows(notes, "risk_notes", F.lpad(F.col("ord").cast("string"), 3, "0"), targets, lambda t: F.concat(F.lit("- "), "note")),
+        section_rows(found, "redaction", body, targets, _finding_line),
+        section_rows(facts, "metadata", head, targets, lambda t: metadata_text()),
+        section_rows(facts, "disclaimer", head, targets, lambda t: F.nullif(
             labels.evidence_disclaimer(F.col("enriched"), F.col("n_selected"), F.col("enrichment_error")), F.lit(""))),
-        _rows(facts, "domain_risk", head, targets, lambda t: F.nullif(
+        section_rows(facts, "domain_risk", head, targets, lambda t: F.nullif(
             labels.special_section(F.col("domain"), F.col("confidence")), F.lit(""))),
     ]
     empty = {"important_files": "n_selected", "file_summaries": "n_summaries", "risk_notes": "n_notes", "redaction": "n_findings"}
     for section, counter in empty.items():
-        parts.append(_rows(facts, section, head, targets, lambda t, s=section, c=counter: F.when(F.col(c) == 0, _EMPTY[s][t])))
+        parts.append(section_rows(facts, section, head, targets, lambda t, s=section, c=counter: F.when(F.col(c) == 0, _EMPTY[s][t])))
     with_findings = facts.filter(F.col("n_findings") > 0)
     if only(_REDACTION_HEAD):
-        parts.append(_rows(with_findings, "redaction", head, only(_REDACTION_HEAD), lambda t: F.lit(_REDACTION_HEAD[t])))
-        parts.append(_rows(with_findings, "redaction", tail, only(_REDACTION_TAIL), lambda t: F.lit(_REDACTION_TAIL[t])))
+        parts.append(section_rows(with_findings, "redaction", head, only(_REDACTION_HEAD), lambda t: F.lit(_REDACTION_HEAD[t])))
+        parts.append(section_rows(with_findings, "redaction", tail, only(_REDACTION_TAIL), lambda t: F.lit(_REDACTION_TAIL[t])))
     if uncut:
-        parts.append(_rows(tree, "file_tree", F.col("sort_key"), uncut, lambda t: F.col("line")))
+        parts.append(section_rows(tree, "file_tree", F.col("sort_key"), uncut, lambda t: F.col("line")))
     for t in targets:
         if rules.TARGET_CAPS[t][3] is not None:
             cut = tree_head(tree, rules.TARGET_CAPS[t][3])
-            parts.append(_rows(cut, "file_tree", head, [t], lambda _: F.col("tree_head")))
+            parts.append(section_rows(cut, "file_tree", head, [t], lambda _: F.col("tree_head")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

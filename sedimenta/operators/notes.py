@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sedimenta import rules
 from sedimenta.functions import labels, paths
+from sedimenta.functions.text import filled
 from sedimenta.operators.skew import top_rows
 
 
@@ -45,22 +46,14 @@ def risk_notes(projects: DataFrame, stats: DataFrame, found: DataFrame, selected
     has_docker = F.coalesce(F.array_contains("tools", "Docker"), F.lit(False))
     notes = [
         F.when(F.col("n_findings") > 0, F.concat(
-            F.lit("WARNING: "), "n_findings", F.lit(" secret pattern(s) detected and redacted in "), "n_files",
-            F.lit(" file(s): "), "first_files", F.when(F.col("n_files") > 5, "...").otherwise(""))),
-        F.when(~flag("has_env_template") & has_framework, F.lit(
-            "No .env.example file detected — consider adding one to document required environment variables.")),
-        F.when(~flag("has_tests") & ~has_testing, F.lit(
-            "No test files or testing tools detected — consider adding a test suite.")),
-        F.when(~has_docker, F.lit(
-            "No Docker configuration detected — containerization may improve deployment consistency.")),
-        F.when(~flag("has_auth") & has_framework, F.lit(
-            "No explicit authentication/authorization files detected — verify auth implementation.")),
-        F.when(F.col("n_redacted") > 0, F.concat(
-            "n_redacted", F.lit(" source file(s) contained secrets that were redacted before analysis. "
-                                "Review these files and move secrets to environment variables."))),
-        F.when(flag("env_template_skipped"), F.lit(
-            "INFO: .env.example was skipped for safety. "
-            "Environment templates are not read to prevent accidental secret exposure.")),
+            filled(rules.NOTE_SECRETS, "n_findings", "n_files", "first_files"),
+            F.when(F.col("n_files") > rules.NOTE_FILES_SHOWN, "...").otherwise(""))),
+        F.when(~flag("has_env_template") & has_framework, rules.NOTE_NO_ENV_TEMPLATE),
+        F.when(~flag("has_tests") & ~has_testing, rules.NOTE_NO_TESTS),
+        F.when(~has_docker, rules.NOTE_NO_DOCKER),
+        F.when(~flag("has_auth") & has_framework, rules.NOTE_NO_AUTH),
+        F.when(F.col("n_redacted") > 0, filled(rules.NOTE_REDACTED, "n_redacted")),
+        F.when(flag("env_template_skipped"), rules.NOTE_TEMPLATE_SKIPPED),
     ]
     return df.select("project", F.posexplode_outer(F.array_compact(F.array(*notes))).alias("ord", "note")).filter(
         F.col("note").isNotNull()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,19 +24,46 @@ def checked_limit(raw: object, default: int = rules.RATE_LIMIT) -> int:
         return default
 
 
-def decide(times: Iterable[int], admitted: deque[int], limit: int, window_seconds: int) -> list[tuple[bool, int]]:
-    """Admission of ordered times (microseconds); ``admitted`` holds at most ``limit`` times and is updated."""
-    width = window_seconds * MICROS
-    out = []
-    for now in times:
-        while admitted and admitted[0] < now - width:
-            admitted.popleft()
-        if len(admitted) >= limit:
-            out.append((False, max(1, int(window_seconds + 1 - (now - admitted[0]) / MICROS))))
-        else:
-            admitted.append(now)
-            out.append((True, 0))
-    return out
+class Admitted:
+    """The latest ``limit`` admitted times of one key, each in place of the one it has outlived.
+
+    The place of the next admitted time holds the ``limit``-th latest one; an event is admitted if that lies before the
+    window, or if there is none yet.
+    """
+
+    def __init__(self, limit: int, window_seconds: int, times: Sequence[int] = ()):
+        self._limit, self._seconds = limit, window_seconds
+        self._slots, self._count = [*times, *[0] * (limit - len(times))], len(times)
+
+    def walk(self, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(admitted, seconds to wait) of ordered times in microseconds."""
+        limit, slots, width = self._limit, self._slots, self._seconds * MICROS
+        admitted, wait = np.ones(len(times), bool), np.zeros(len(times), np.int64)
+        for i, now in enumerate(times.tolist()):
+            at = self._count % limit
+            if self._count >= limit and slots[at] >= now - width:
+                admitted[i] = False
+                wait[i] = max(1, int(self._seconds + 1 - (now - slots[at]) / MICROS))
+            else:
+                slots[at] = now
+                self._count += 1
+        return admitted, wait
+
+    def times(self) -> list[int]:
+        """Oldest first."""
+        at = self._count % self._limit
+        return self._slots[at:] + self._slots[:at] if self._count >= self._limit else self._slots[:self._count]
+
+
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970. A time without zone is taken as it stands, whatever the zone of the session is."""
+    c = F.col(ts)
+    if isinstance(df.schema[ts].dataType, T.TimestampType):
+        return F.unix_micros(c)
+    c = c.cast("timestamp_ntz")
+    days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint")
+    seconds = (days * 24 + F.hour(c)) * 3600 + F.minute(c) * 60
+    return seconds * MICROS + (F.date_part(F.lit("SECOND"), c) * MICROS).cast("bigint")
 
 
 def _with_runs(events: DataFrame, key: str, event_id: str, window_seconds: int) -> DataFrame:
@@ -66,7 +93,7 @@ def rate_limit_admit(
     batch with at most ``limit`` times kept: neither a key nor a run is ever gathered in memory.
     """
     limit = checked_limit(limit)
-    timed = events.select(key, event_id, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
+    timed = events.select(key, event_id, micros(events, ts).alias("_us"))
     if limit <= 0:
         return timed.select(key, event_id, F.lit(True).alias("admitted"), F.lit(0).cast("bigint").alias("retry_after"))
     ordered = _with_runs(timed, key, event_id, window_seconds).repartition(key, "_run").sortWithinPartitions(
@@ -74,17 +101,17 @@ def rate_limit_admit(
     )
 
     def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, deque()
+        current, state = None, None
         for pdf in batches:
-            rows = []
-            for k, run, us in zip(pdf[key].tolist(), pdf["_run"].tolist(), pdf["_us"].tolist()):
-                if (k, run) != current:
-                    current, state = (k, run), deque()
-                rows += decide([us], state, limit, window_seconds)
-            yield pd.DataFrame({
-                key: pdf[key], event_id: pdf[event_id],
-                "admitted": [a for a, _ in rows], "retry_after": [r for _, r in rows],
-            })
+            keys, runs, us = pdf[key].to_numpy(), pdf["_run"].to_numpy(), pdf["_us"].to_numpy()
+            new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (runs[1:] != runs[:-1])])
+            parts = []
+            for start, end in zip(new, [*new[1:], len(us)]):
+                if (keys[start], runs[start]) != current:
+                    current, state = (keys[start], runs[start]), Admitted(limit, window_seconds)
+                parts.append(state.walk(us[start:end]))
+            admitted, wait = (np.concatenate(c) for c in zip(*parts)) if parts else ([], [])
+            yield pd.DataFrame({key: pdf[key], event_id: pdf[event_id], "admitted": admitted, "retry_after": wait})
 
     schema = T.StructType([
         events.schema[key], events.schema[event_id],
@@ -107,7 +134,7 @@ def window_request_count(
     if cell_width * splits != width:
         raise ValueError("splits must divide the window")
     us, cell = F.col("_us"), F.floor(F.col("_us") / F.lit(cell_width))
-    timed = events.select(key, event_id, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
+    timed = events.select(key, event_id, micros(events, ts).alias("_us"))
     # an event is a data row of its own cell and asks a question in the cell one window earlier
     rows = timed.select(key, event_id, F.explode(F.array(
         F.struct(cell.alias("cell"), us.alias("at"), F.lit(1).alias("is_data")),

@@ -53,8 +53,7 @@ def summary_md(facts: DataFrame, generated_at: str = "N/A", seconds: float = 0.0
     body = _fixed(
         facts, "project_summary", 0, "# Project Summary", "",
         F.concat(F.lit("**Project Path:** `"), "project", F.lit("`")), f"**Scanned At:** {generated_at}", "", "---", "",
-        "## Overview", "", F.coalesce(F.nullif("summary", F.lit("")), F.lit(
-            "_No project summary available. Ollama summarization may have been disabled or unavailable._")),
+        "## Overview", "", F.coalesce(F.nullif("summary", F.lit("")), F.lit(rules.REPORT_NO_SUMMARY)),
         "", "---", "", "## Technology Stack", "", *tech,
         F.when(F.col("is_empty"), F.lit("_No technologies detected._")),
         "", "---", "", "## Scan Statistics", "", "| Metric | Value |", "|---|---|",
@@ -92,7 +91,7 @@ def _finding_rows(found: DataFrame, report: str, block: int, with_placeholder: b
     cells = [F.concat(F.lit("| `"), "path", F.lit("` | "), "finding_type", F.lit(" | "), F.col("count").cast("string"), F.lit(" |"))]
     rows = found
     if with_placeholder:
-        rows = redaction_report(found).join(found.select("project", "path", "finding_type", "ord"), ["project", "path", "finding_type"])
+        rows = redaction_report(found)
         cells.append(F.concat(F.lit(" `"), "placeholder", F.lit("` |")))
     return _listed(rows, report, block, _finding_key(), F.concat(*cells))
 
@@ -101,15 +100,15 @@ def risk_md(facts: DataFrame, notes: DataFrame, found: DataFrame) -> DataFrame:
     some, none = facts.filter(F.col("n_findings") > 0), facts.filter(F.col("n_findings") == 0)
     r = "risk_notes"
     return _union([
-        _fixed(facts, r, 0, "# Risk Notes", "", "_These risk notes were generated based on static analysis and file scanning._", ""),
+        _fixed(facts, r, 0, "# Risk Notes", "", rules.REPORT_RISK_INTRO, ""),
         _listed(notes, r, 1, F.lpad(F.col("ord").cast("string"), 3, "0"), F.concat(F.lit("- "), "note")),
-        _fixed(facts.filter(F.col("n_notes") == 0), r, 1, "_No specific risk notes were generated._"),
+        _fixed(facts.filter(F.col("n_notes") == 0), r, 1, rules.REPORT_RISK_NONE),
         _fixed(facts, r, 2, "", "---", "", "## Redaction Summary", ""),
         _fixed(some, r, 3, F.concat(F.lit("**"), F.col("n_findings").cast("string"), F.lit(" secret pattern(s) were detected and redacted.**")),
                "", "| File | Finding Type | Count |", "|---|---|---|"),
         _finding_rows(found, r, 4, False),
-        _fixed(some, r, 5, "", "> ⚠ Secret values were replaced with placeholders and are NOT included in any output."),
-        _fixed(none, r, 3, "_No secrets were detected or redacted._"),
+        _fixed(some, r, 5, "", rules.REPORT_RISK_REDACTED),
+        _fixed(none, r, 3, rules.REPORT_REDACTED_NONE),
         _footer(facts, r),
     ])
 
@@ -119,10 +118,8 @@ def redaction_md(facts: DataFrame, totals: DataFrame, found: DataFrame) -> DataF
     none = facts.filter(F.col("n_findings") == 0)
     return _union([
         _fixed(facts, r, 0, "# Redaction Report", "",
-               "_This report documents all secrets and sensitive values that were detected and redacted._",
-               "_Secret values are NEVER included in any output file or prompt._", "", "---", ""),
-        _fixed(none, r, 1, "## Result", "", "✓ **No secrets were detected in scanned files.**", "",
-               "_Note: Secret files (.env, .pem, .key, etc.) are always excluded from scanning entirely._"),
+               *rules.REPORT_REDACTION_INTRO, "", "---", ""),
+        _fixed(none, r, 1, "## Result", "", *rules.REPORT_REDACTION_NONE),
         _fixed(totals, r, 1, "## Summary", "",
                F.concat(F.lit("- **Total redactions:** "), F.col("total_redactions").cast("string")),
                F.concat(F.lit("- **Affected files:** "), F.col("affected_files").cast("string")),
@@ -130,10 +127,7 @@ def redaction_md(facts: DataFrame, totals: DataFrame, found: DataFrame) -> DataF
                "", "---", "", "## Findings", "", "| File | Finding Type | Count | Placeholder Used |", "|---|---|---|---|"),
         _finding_rows(found, r, 2, True),
         _fixed(totals, r, 3, "", "---", "", "## Security Notes", "",
-               "- All detected secret values were replaced with placeholders before any summarization.",
-               "- Secret files (.env, .env.*, .pem, .key, .crt, id_rsa, etc.) were excluded from scanning entirely.",
-               "- This tool never uploads any file content to external services.",
-               "- Review your source files to ensure secrets are properly managed (use environment variables, secret managers)."),
+               *rules.REPORT_SECURITY_NOTES),
         _footer(facts, r),
     ])
 

@@ -122,4 +122,4 @@ def redaction_totals(found: DataFrame) -> DataFrame:
 
 def redaction_report(found: DataFrame, secret_rules=rules.SECRET_RULES) -> DataFrame:
     placeholder = case(((F.col("finding_type") == name, shown) for name, _, shown in secret_rules), rules.DEFAULT_PLACEHOLDER)
-    return found.select("project", "path", "finding_type", "count", placeholder.alias("placeholder"))
+    return found.select("project", "path", "finding_type", "ord", "count", placeholder.alias("placeholder"))

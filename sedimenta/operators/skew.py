@@ -45,7 +45,24 @@ def prefix_sum(
     )
 
 
-def top_rows(df: DataFrame, group: Sequence[str], order: Sequence, k: int, name: str = "rank") -> DataFrame:
-    """First ``k`` rows per group. Spark cuts every task to ``k`` rows per group before the shuffle."""
+# Spark cuts a ranking to its first rows before the shuffle up to this number of rows per group
+GROUP_LIMIT = 1000
+
+
+def top_rows(df: DataFrame, group: Sequence[str], order: Sequence, k: int, name: str = "rank", salts: int = 64) -> DataFrame:
+    """First ``k`` rows per group, for any ``k`` without sorting a whole group in one task.
+
+    Up to ``GROUP_LIMIT`` rows every task is cut to ``k`` rows per group before the shuffle by Spark itself. Beyond,
+    each group is dealt over ``salts`` parts that are cut to ``k`` rows first.
+    """
+    if k > GROUP_LIMIT:
+        part = F.pmod(F.xxhash64(*order_columns(df, order)), F.lit(salts))
+        parts = Window.partitionBy(*group, "_part").orderBy(*order)
+        df = df.withColumn("_part", part).withColumn("_nth", F.row_number().over(parts)).filter(F.col("_nth") <= k).drop("_part", "_nth")
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return ranked.filter(F.col(name) <= k)
+
+
+def order_columns(df: DataFrame, order: Sequence) -> list:
+    """Plain columns to deal rows by: all that can be hashed."""
+    return [F.col(f"`{n}`") for n, kind in df.dtypes if not kind.startswith(("map", "variant"))]

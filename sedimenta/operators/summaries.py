@@ -84,12 +84,8 @@ def summary_text(column: str = "content_preview") -> Column:
     )
     tier, kb = paths.size_tier(size), paths.size_kb_text(size, 0)
     warning = (
-        F.when(tier == "critical", F.concat(
-            F.lit("⚠ HIGH PRIORITY ARCHITECTURE RISK: "), path, F.lit(" is "), kb,
-            F.lit(" KB. This likely violates single-responsibility. Recommend splitting into focused modules.\n\n")))
-        .when(tier == "large", F.concat(
-            F.lit("⚠ Large File Risk: "), path, F.lit(" is "), kb,
-            F.lit(" KB. May indicate too many responsibilities. Recommend splitting orchestration, config, and business logic.\n\n")))
+        F.when(tier == "critical", text.filled(rules.SUMMARY_CRITICAL, path, kb))
+        .when(tier == "large", text.filled(rules.SUMMARY_LARGE, path, kb))
         .otherwise("")
     )
     broken = F.concat(F.lit("Parse error. Preview:\n"), text.preview_lines(content, rules.PARSE_ERROR_LINES, keep_blank=True))
@@ -119,14 +115,8 @@ def structural_summaries(selected: DataFrame, languages: Iterable[str] = tuple(r
 
 def large_file_note(path: Column, size: Column) -> Column:
     tier, kb = paths.size_tier(size), paths.size_kb_text(size, 0)
-    return (
-        F.when(tier == "critical", F.concat(
-            F.lit("Large File Risk: "), path, F.lit(" is "), kb,
-            F.lit(" KB. This may indicate too many responsibilities in a single entry point. Recommendation: split "
-                  "orchestration, configuration, runtime loop, and business logic into separate modules.")))
-        .when(tier == "large", F.concat(
-            F.lit("Large File Warning: "), path, F.lit(" is "), kb,
-            F.lit(" KB. Consider splitting into smaller focused modules.")))
+    return F.when(tier == "critical", text.filled(rules.NOTE_CRITICAL, path, kb)).when(
+        tier == "large", text.filled(rules.NOTE_LARGE, path, kb)
     )
 
 
@@ -150,11 +140,7 @@ def project_summary(tech: DataFrame, selected: DataFrame, mode: str = "fast") ->
     notes = large_file_notes(selected).groupBy("project").agg(F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "note"))), lambda r: F.concat(F.lit("- "), r["note"])), "\n"
     ).alias("_notes"))
-    static = F.concat(
-        F.lit(f"Static analysis completed (mode: {mode}, Ollama: disabled). Detected technologies: "), "tech_text",
-        F.lit(". Structural summaries were generated for all important files. "
-              "Review the file tree and structural summaries for architecture insights."),
-    )
+    static = text.filled(rules.STATIC_SUMMARY, F.lit(mode), "tech_text")
     return tech.join(notes, "project", "left").select("project", F.concat(
         static, F.coalesce(F.concat(F.lit("\n\n## Large File Risks\n"), "_notes"), F.lit(""))
     ).alias("summary"))

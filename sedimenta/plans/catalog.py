@@ -349,14 +349,14 @@ def budget_pack_default(spark, sf):
 
 def context_files(spark, sf):
     a = analysis(spark, sf)
-    rows = context._rows(a.selected, "important_files", context._rank_key(), rules.TARGETS, context._file_line)
+    rows = context.section_rows(a.selected, "important_files", context._rank_key(), rules.TARGETS, context._file_line)
     return rows.select("project", "target", "line_key", "text")
 
 
 def context_redaction(spark, sf):
     a = analysis(spark, sf)
     key = F.concat("path", F.lit("|"), F.col("ord"))
-    return context._rows(a.findings, "redaction", key, rules.TARGETS, context._finding_line).select("project", "target", "line_key", "text")
+    return context.section_rows(a.findings, "redaction", key, rules.TARGETS, context._finding_line).select("project", "target", "line_key", "text")
 
 
 def context_rows(spark, sf):

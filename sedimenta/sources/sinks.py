@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.session import written
+
 
 def write_lines(lines: DataFrame, path: str, document: list[str], order: list[str], column: str = "line") -> None:
-    """One folder per document, overwritten on each run.
+    """One folder per document; only the documents that ``lines`` holds are overwritten.
 
     Rows are range-partitioned by document and position: small documents share a task, a very long one is split
-    over several part files whose names are in document order.
+    over several part files whose names are in document order. They are written once before, as the ranges are sampled.
     """
+    lines = written(lines.select(*document, *order, F.col(column).alias("value")), "lines")
     (
         lines.repartitionByRange(*document, *order).sortWithinPartitions(*document, *order)
-        .select(*document, F.col(column).alias("value")).write.mode("overwrite").partitionBy(*document).text(path)
+        .select(*document, "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*document).text(path)
     )
 
 

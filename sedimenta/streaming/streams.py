@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sedimenta import rules
 from sedimenta.functions import paths, text
 from sedimenta.operators.cache import SummaryCache, incremental_changed
-from sedimenta.operators.ratelimit import checked_limit, decide
+from sedimenta.operators.ratelimit import Admitted, checked_limit, micros
 
 
 def stream_redact(files: DataFrame, max_chars: int | None = None) -> DataFrame:
@@ -29,33 +29,38 @@ def stream_admit(
     events: DataFrame, key: str, ts: str, event_id: str, limit: object = rules.RATE_LIMIT,
     window_seconds: int = rules.RATE_WINDOW_SECONDS, delay: str = "10 minutes",
 ) -> DataFrame:
-    """Admission per key on a stream; state is at most ``limit`` times per key.
+    """Admission per key on a stream; state is at most ``limit`` times per key, and goes when the key was idle for a window.
 
-    Events are ordered by (time, id) inside a micro-batch. Rows later than the watermark ``delay`` are dropped; decisions
-    already made are not revised.
+    Events are ordered by (time, id) inside a micro-batch, for which three numbers per event of a key are held; limit
+    the files or offsets of a trigger for keys with very many events. Rows later than the watermark ``delay`` are
+    dropped; decisions already made are not revised.
     """
     limit = checked_limit(limit)
     schema = T.StructType([
         events.schema[key], events.schema[event_id],
         T.StructField("admitted", T.BooleanType()), T.StructField("retry_after", T.LongType()),
     ])
-    timed = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
-    timed = timed.select(key, event_id, "_ts", F.unix_micros("_ts").alias("_us"))
+    timed = events.withColumn("_us", micros(events, ts)).withColumn("_ts", F.timestamp_micros("_us")).withWatermark("_ts", delay)
+    timed = timed.select(key, event_id, "_ts", "_us")
     if limit <= 0:
         return timed.select(key, event_id, F.lit(True).alias("admitted"), F.lit(0).cast("bigint").alias("retry_after"))
 
     def admit(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["_us", event_id])
-        admitted = deque(state.get[0]) if state.exists else deque()
-        decisions = decide(pdf["_us"].tolist(), admitted, limit, window_seconds)
-        state.update((list(admitted),))
-        yield pd.DataFrame({
-            key: pdf[key].to_numpy(), event_id: pdf[event_id].to_numpy(),
-            "admitted": [a for a, _ in decisions], "retry_after": [r for _, r in decisions],
-        })
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = list(batches)
+        us, ids = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("_us", event_id))
+        order = np.lexsort((ids, us))
+        admitted = Admitted(limit, window_seconds, state.get[0] if state.exists else ())
+        decided = admitted.walk(us[order])
+        state.update((admitted.times(),))
+        idle = int(us.max()) // 1000 + 1000 * (window_seconds + 1)
+        state.setTimeoutTimestamp(max(idle, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: keys[0], event_id: ids[order], "admitted": decided[0], "retry_after": decided[1]})
 
     state_schema = T.StructType([T.StructField("admitted", T.ArrayType(T.LongType()))])
-    return timed.groupBy(key).applyInPandasWithState(admit, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    return timed.groupBy(key).applyInPandasWithState(admit, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def incremental_sink(cache: SummaryCache, mode: str, describe: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:

@@ -188,4 +188,4 @@ def test_modes_and_labels(spark):
     df = spark.createDataFrame(rows, "mode string, e boolean")
     got = df.select(labels.evidence_level(F.col("mode"), F.col("e")), labels.uses_enrichment(F.col("mode"), F.col("e"))).collect()
     assert [tuple(r) for r in got] == [("limited", False), ("medium", True), ("medium", False), ("high", True), ("limited", False)]
-    assert labels.domain_section_text("ecommerce").startswith("## Special Domain Risk: E-commerce / Payments\n\n⚠ This")
+    assert rules.DOMAIN_SECTIONS.get("ecommerce").startswith("## Special Domain Risk: E-commerce / Payments\n\n⚠ This")

@@ -231,3 +231,61 @@ def test_dry_run(make_files):
     row = ranking.dry_run_preview(a.selected, a.tech, a.projects).first()
     assert row.files == "[90] README.md\n[85] package.json" and row.estimated_outputs == 11 and "Node.js" in row.detected
     assert a.summaries.count() == 0 and ranking.output_count("claude") == 7
+
+
+def test_times_without_zone_do_not_follow_the_session(spark):
+    """Across the end of daylight saving in New York the answers are those of UTC."""
+    rows = [(i, "u", s) for i, s in enumerate(["2024-11-03 00:30:00", "2024-11-03 01:15:00", "2024-11-03 02:00:00", "2024-11-03 02:45:00.25"])]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    found = {}
+    try:
+        for z in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            events = spark.createDataFrame(rows, "event_id int, user string, s string").selectExpr("event_id", "user", "cast(s as timestamp_ntz) as ts")
+            counts = ratelimit.window_request_count(events, "user", "ts", "event_id", 3600)
+            admitted = ratelimit.rate_limit_admit(events, "user", "ts", "event_id", 1, 3600)
+            found[z] = (sorted(map(tuple, counts.collect())), sorted(map(tuple, admitted.collect())))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found["UTC"] == found["America/New_York"]
+    assert [r[2] for r in found["UTC"][0]] == [1, 2, 2, 2]
+
+
+def test_admission_in_pieces():
+    import numpy as np
+
+    rng = random.Random(2)
+    times = np.sort(np.array([rng.randrange(300) * 500_000 for _ in range(400)]))
+    whole = ratelimit.Admitted(5, 10).walk(times)
+    kept, parts = (), []
+    for k in range(0, 400, 37):
+        state = ratelimit.Admitted(5, 10, kept)
+        parts.append(state.walk(times[k:k + 37]))
+        kept = state.times()
+    assert all((np.concatenate(p) == w).all() for p, w in zip(zip(*parts), whole))
+    latest = []
+    for now, ok in zip(times.tolist(), whole[0].tolist()):
+        inside = [t for t in latest if t >= now - 10_000_000]
+        assert ok == (len(inside) < 5)
+        latest += [now] if ok else []
+
+
+def test_top_rows_beyond_the_group_limit(spark):
+    df = spark.range(3000).selectExpr("id % 2 as g", "cast(id * 7919 % 3001 as int) as v", "id")
+    for k in (1000, 1001, 1400):
+        got = {(r.g, r.id): r["rank"] for r in skew.top_rows(df, ["g"], [F.col("v"), F.col("id")], k).collect()}
+        want = {}
+        for g in (0, 1):
+            rows = sorted((i * 7919 % 3001, i) for i in range(3000) if i % 2 == g)[:k]
+            want |= {(g, i): n + 1 for n, (_, i) in enumerate(rows)}
+        assert got == want
+
+
+def test_manifests_that_are_no_json_object(make_files, spark):
+    from sedimenta.operators.tech import _dependency_names
+
+    texts = ['{"dependencies": {"react": "1", "react": "2"}}', '{"dependencies": {"a": "1"}, "dependencies": {"b": {"x": 1}}}\n',
+             '{"dependencies": {"a": "1"}} x', '{"dependencies": {"a": "1"}', '{"dependencies": ["a"]}', "", None, '{}, {"dependencies": {"a": "1"}}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.n or [] for r in df.orderBy("i").select(_dependency_names(F.col("t"), "dependencies", "devDependencies").alias("n")).collect()]
+    assert got == [["react"], ["b"], [], [], [], [], [], []]
