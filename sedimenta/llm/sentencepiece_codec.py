@@ -15,12 +15,15 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import in_arrow, table, vocabulary, worker_value
+from sedimenta.llm.common import Remembered, in_arrow, in_columns, slices, table, vocabulary, worker_value
 
 MARK = "▁"
 # Kinds of pieces in a model file, kinds of models, what an unknown piece costs and decodes to.
@@ -31,7 +34,7 @@ UNKNOWN_TEXT = " ⁇ "
 
 
 class Codec:
-    """Encoder and decoder of one model file. At most ``keep`` words and pairs are remembered."""
+    """Encoder and decoder of one model file. About ``keep`` words and pairs of pieces are remembered."""
 
     def __init__(self, path: str, keep: int = 500_000):
         import sentencepiece
@@ -56,12 +59,13 @@ class Codec:
         if not all(c in self._ids for c in known):
             raise ValueError("every character of a piece must be a piece")
         self._stranger = re.compile("([^" + re.escape("".join(sorted(known))) + "])")
-        self._longest = max(map(len, self._ids))
+        # ends of pieces, with a score if they are pieces: behind what is no end of any piece no longer piece is found
+        self._suffixes = {p[k:]: self._scores.get(p[k:]) for p in self._ids for k in range(len(p))}
         self._texts = [
             bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace(MARK, " ").encode() if p.type == NORMAL
             else UNKNOWN_TEXT.encode() if p.type == UNKNOWN else b"" for p in proto.pieces
         ]
-        self._keep, self._words, self._pairs = keep, {}, {}
+        self._keep, self._words, self._pairs = keep, Remembered(keep // 2), {}
 
     def _merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging neighbours, the best piece first, the leftmost of equals."""
@@ -84,9 +88,11 @@ class Codec:
     def _forward(self, run: str, end: int, last: list[str], sums: list[float]) -> None:
         """Append the entry for the first ``end`` characters of ``run``."""
         best, best_sum = None, -np.inf
-        for start in range(max(0, end - self._longest), end):
+        for start in range(end - 1, -1, -1):
             piece = run[start:end]
-            score = self._scores.get(piece)
+            score = self._suffixes.get(piece, False)
+            if score is False:
+                break
             if score is None:
                 continue
             if self.kind == BPE:
@@ -120,13 +126,15 @@ class Codec:
     def _strange(self, char: str) -> bytes:
         return np.array([self._bytes[b] for b in char.encode()] if self._bytes else [self._unknown_id], "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Remember the ids of marked words; their first mark is left out in the names."""
+    def _learned(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of marked words; their first mark is left out in the names."""
+        if len(self._pairs) > self._keep:
+            self._pairs.clear()
         # odd places of a split hold the characters outside all pieces
-        split = {w: self._stranger.split(MARK + w) for w in words}
-        found = self._walk(sorted({run for parts in split.values() for run in parts[::2] if run}))
-        for w, parts in split.items():
-            self._words[w] = b"".join(
+        split = [self._stranger.split(MARK + w) for w in words]
+        found = self._walk(sorted({run for parts in split for run in parts[::2] if run}))
+        for w, parts in zip(words, split):
+            yield w, found[parts[0]] if len(parts) == 1 else b"".join(
                 self._strange(part) if k % 2 else found[part] for k, part in enumerate(parts) if part
             )
 
@@ -142,15 +150,23 @@ class Codec:
             return text.split(" ")
         return [w[1:] for w in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, as bytes of little-endian 32-bit numbers."""
-        split = [self.words(t) for t in texts]
-        if len(self._words) > self._keep:
-            self._words.clear()
-        if len(self._pairs) > self._keep:
-            self._pairs.clear()
-        self._learn({w for words in split for w in words if w not in self._words})
-        return [b"".join(map(self._words.__getitem__, words)) for words in split]
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts (non-null strings), one after another, and where each text's ids end."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        odd = pc.or_(pc.match_substring_regex(texts, f"^ |  | \\z|{MARK}"), pc.equal(texts, ""))
+        if pc.any(odd).as_py() or not self._plain:
+            lists = pa.array([self.words(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        index, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        pool = self._words.all(names, self._learned)
+        sizes = np.array([len(p) // 4 for p in pool], np.int64)
+        flat, starts, counts = np.frombuffer(b"".join(pool), "<u4"), np.cumsum(sizes) - sizes, sizes[index]
+        ends = np.r_[0, np.cumsum(counts)]
+        place = np.repeat(starts[index] - ends[:-1], counts) + np.arange(int(ends[-1]))
+        return flat[place], ends[np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; without the space that encoding put before it."""
@@ -158,33 +174,23 @@ class Codec:
         return text.removeprefix(" ")
 
 
-def _coded(batches, model: str, chars: int = 2_000_000):
-    """(other columns, text, ids, codec) for every row, encoded some million characters at a time."""
+def _coded(batches, model: str):
+    """(other columns and texts of some rows, ids of each text, codec)."""
     codec = worker_value(Codec, model)
-
-    def done(held):
-        for row, ids in zip(held, codec.encode([r[-1] for r in held])):
-            yield row, np.frombuffer(ids, "<u4"), codec
-
-    held, size = [], 0
-    for columns in batches:
-        for row in zip(*columns):
-            held.append(row)
-            size += len(row[-1])
-            if size > chars:
-                yield from done(held)
-                held, size = [], 0
-    yield from done(held)
+    for batch in batches:
+        for part in slices(batch, batch.num_columns - 1):
+            ids, ends = codec.encode_all(part.column(batch.num_columns - 1))
+            yield part.columns, np.split(ids, ends[:-1]) if len(ends) else [], codec
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids) of every whole text. Null and empty texts have no ids. Repeated rows stay, other columns go."""
-    def rows(batches):
-        for (i, _), ids, _ in _coded(batches, model):
-            yield i, len(ids), ids.astype(np.int32)
+    def columns(batches):
+        for (keys, _), each, _ in _coded(batches, model):
+            yield keys, [len(ids) for ids in each], [ids.astype(np.int32) for ids in each]
 
     chosen = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return in_arrow(chosen, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens bigint, ids array<int>", rows, flush=500)
+    return in_columns(chosen, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens bigint, ids array<int>", columns)
 
 
 def decode(coded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -203,14 +209,17 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
 
     ``restored`` is false only for texts that hold the mark itself, which decodes to a space, as in the library.
     """
-    def rows(batches):
-        for (i, text), ids, codec in _coded(batches, model):
-            back = codec.decode(ids)
-            yield i, len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == text
+    def columns(batches):
+        for (keys, texts), each, codec in _coded(batches, model):
+            back = [codec.decode(ids) for ids in each]
+            yield (
+                keys, [len(ids) for ids in each], [zlib.crc32(ids.tobytes()) for ids in each],
+                [hashlib.sha256(t.encode()).hexdigest() for t in back], pc.equal(texts, pa.array(back, texts.type)),
+            )
 
     chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    return in_arrow(chosen, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, restored boolean", rows)
+    return in_columns(chosen, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, restored boolean", columns)
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
@@ -221,9 +230,10 @@ def tokenized(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: (doc_id, n_tokens, ids, decoded_sha256), the decoded text being that of the document."""
     model = vocabulary("piece_bpe_32k.model")
 
-    def rows(batches):
-        for (i, _), ids, codec in _coded(batches, model):
-            yield i, len(ids), ids.astype(np.int32), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
+    def columns(batches):
+        for (keys, _), each, codec in _coded(batches, model):
+            digests = [hashlib.sha256(codec.decode(ids).encode()).hexdigest() for ids in each]
+            yield keys, [len(ids) for ids in each], [ids.astype(np.int32) for ids in each], digests
 
     chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return in_arrow(chosen, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, ids array<int>, decoded_sha256 string", rows, flush=500)
+    return in_columns(chosen, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, ids array<int>, decoded_sha256 string", columns)
