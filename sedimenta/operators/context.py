@@ -26,17 +26,20 @@ def budget_pack(
     """Greedy preview budget in ``order`` (a whole number, unique in the group).
 
     Adds ``preview`` and ``truncated``. With c = least(length, per_item) and prev = sum of earlier c, a row takes
-    greatest(0, least(c, total - prev)) characters, so a prefix sum replaces the sequential loop.
+    greatest(0, least(c, total - prev)) characters, so a prefix sum replaces the sequential loop. The sum is taken over
+    lengths only; what comes back to the texts is the few rows that still get characters.
     """
-    measured = rows.withColumn("_c", F.least(F.length(text), F.lit(per_item)).cast("bigint"))
-    packed = prefix_sum(measured, group, order, "_c", "_prev")
-    left = F.lit(total) - F.col("_prev")
+    keys = [*group, order]
+    lengths = rows.select(*keys, F.least(F.length(text), F.lit(per_item)).cast("bigint").alias("_c"))
+    within = prefix_sum(lengths, group, order, "_c", "_prev").filter(F.col("_prev") < total).select(*keys, "_prev")
+    packed = rows.withColumn("_head", F.substring(F.col(text), 1, per_item)).join(within, keys, "left")
+    left = F.coalesce(F.lit(total) - F.col("_prev"), F.lit(0))
     cap = F.least(F.lit(per_item), left).cast("int")
     cut = F.length(text) > cap
     preview = (
         F.when(left <= 0, "(preview omitted: size budget reached)")
-        .when(cut, F.concat(F.substring(F.col(text), F.lit(1), cap), F.lit("\n\n...(preview truncated after "), cap, F.lit(" characters)")))
-        .otherwise(F.col(text))
+        .when(cut, F.concat(F.substring(F.col("_head"), F.lit(1), cap), F.lit("\n\n...(preview truncated after "), cap, F.lit(" characters)")))
+        .otherwise(F.col("_head"))
     )
     return packed.select(*rows.columns, preview.alias("preview"), ((left <= 0) | cut).alias("truncated"))
 
