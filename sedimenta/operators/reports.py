@@ -6,6 +6,8 @@ line_key, line). Sorting by those columns gives the document; the sink writes it
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,23 @@ from sedimenta.functions import labels
 from sedimenta.operators.skew import top_rows
 
 GENERATOR = f"sedimenta {__version__}"
+
+
+@dataclass(frozen=True)
+class ScanInfo:
+    """What a scan knows that its tables do not hold; the caller passes it."""
+
+    scan_id: str = "N/A"
+    scanned_at: str = "N/A"
+    duration_seconds: float = 0.0
+    model: str = "N/A"
+    model_available: bool = False
+    model_wanted: bool = False
+    error: str | None = None
+    assumptions: tuple[str, ...] = ()
+    options: tuple[tuple[str, str], ...] = ()
+
+
 REPORT_COLUMNS = ["project", "report", "block", "line_key", "line"]
 
 
@@ -44,7 +63,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def summary_md(facts: DataFrame, generated_at: str = "N/A", seconds: float = 0.0) -> DataFrame:
+def summary_md(facts: DataFrame, info: ScanInfo = ScanInfo()) -> DataFrame:
     tech = [
         F.when(F.size(c) > 0, F.concat(F.lit(f"- **{label}:** "), F.array_join(c, ", ")))
         for c, label in list(zip(rules.TECH_CATEGORIES, rules.TECH_TABLE_LABELS))[:7]
@@ -52,16 +71,18 @@ def summary_md(facts: DataFrame, generated_at: str = "N/A", seconds: float = 0.0
     count = lambda name, column: F.concat(F.lit(f"| {name} | "), F.col(column).cast("string"), F.lit(" |"))
     body = _fixed(
         facts, "project_summary", 0, "# Project Summary", "",
-        F.concat(F.lit("**Project Path:** `"), "project", F.lit("`")), f"**Scanned At:** {generated_at}", "", "---", "",
+        F.concat(F.lit("**Project Path:** `"), "project", F.lit("`")), f"**Scanned At:** {info.scanned_at}", f"**Scan ID:** `{info.scan_id}`", "", "---", "",
         "## Overview", "", F.coalesce(F.nullif("summary", F.lit("")), F.lit(rules.REPORT_NO_SUMMARY)),
         "", "---", "", "## Technology Stack", "", *tech,
         F.when(F.col("is_empty"), F.lit("_No technologies detected._")),
         "", "---", "", "## Scan Statistics", "", "| Metric | Value |", "|---|---|",
         count("Files Scanned", "files_scanned"), count("Files Skipped", "files_skipped"), count("Files Redacted", "files_redacted"),
         F.concat(F.lit("| Ollama Used | "), F.initcap(F.col("enriched").cast("string")), F.lit(" |")),
-        f"| Duration | {seconds:.1f}s |",
+        f"| Ollama Model | {info.model} |", f"| Duration | {info.duration_seconds:.1f}s |",
+        *(["", "---", "", rules.REPORT_ERROR_NOTE.format(info.error)] if info.error else []),
     )
-    return _union([body, _footer(facts, "project_summary")])
+    closing = _fixed(facts, "project_summary", 100, *rules.REPORT_LOCAL_ONLY)
+    return _union([body, _footer(facts, "project_summary"), closing])
 
 
 def tree_md(facts: DataFrame, tree: DataFrame) -> DataFrame:
@@ -81,7 +102,8 @@ def tech_md(facts: DataFrame) -> DataFrame:
     ]
     return _union([
         _fixed(facts, "tech_stack", 0, "# Detected Technology Stack", "", "| Category | Detected Technologies |", "|---|---|", *rows),
-        _footer(facts, "tech_stack"),
+        _fixed(facts, "tech_stack", 1, "", "---", "", "## Detection Method", "", *rules.REPORT_DETECTION_METHOD, ""),
+        _fixed(facts, "tech_stack", 2, f"_Generated by {GENERATOR}_"),
     ])
 
 
@@ -132,8 +154,8 @@ def redaction_md(facts: DataFrame, totals: DataFrame, found: DataFrame) -> DataF
     ])
 
 
-def scan_report(facts: DataFrame, totals: DataFrame, selected: DataFrame, notes: DataFrame, options: dict | None = None) -> DataFrame:
-    """One JSON object per project. Findings have no bound and are written as JSON lines of their own
+def scan_report(facts: DataFrame, totals: DataFrame, selected: DataFrame, notes: DataFrame, info: ScanInfo = ScanInfo()) -> DataFrame:
+    """One JSON object per project. Findings and affected files have no bound and are written as JSON lines of their own
     (``scan_report_findings``); every other part is bounded and nested here."""
     first = top_rows(selected.drop("rank"), ["project"], [F.col("priority_score").desc(), F.col("path")], rules.REPORT_FILES)
     files = first.groupBy("project").agg(F.transform(
@@ -145,19 +167,24 @@ def scan_report(facts: DataFrame, totals: DataFrame, selected: DataFrame, notes:
     df = facts.join(totals, "project", "left").join(files, "project", "left").join(texts, "project", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     report = F.struct(
-        F.col("project").alias("project_path"),
-        F.create_map(*[F.lit(x) for pair in (options or {}).items() for x in map(str, pair)]).alias("options") if options
-        else F.lit("default").alias("options"),
+        F.lit(info.scan_id).alias("scan_id"), F.lit(info.scanned_at).alias("scanned_at"), F.col("project").alias("project_path"),
+        (F.create_map(*[F.lit(str(x)) for pair in info.options for x in pair]) if info.options else F.expr("cast(map() as map<string,string>)")).alias("options"),
         F.struct("mode", labels.evidence_level(F.col("mode"), F.col("enriched")).alias("evidence_level"),
                  F.col("domain").alias("detected_domain"), F.col("confidence").alias("domain_confidence"),
                  F.col("score").alias("domain_score")).alias("analysis"),
-        F.struct(F.col("files_found").alias("total_files_found"), "files_scanned", "files_skipped", "files_redacted").alias("statistics"),
+        F.struct(F.col("files_found").alias("total_files_found"), "files_scanned", "files_skipped", "files_redacted",
+                 F.lit(info.duration_seconds).alias("duration_seconds")).alias("statistics"),
+        F.struct(F.col("enriched").alias("used"), F.lit(info.model_available).alias("available"), F.lit(info.model).alias("model"),
+                 F.lit(info.error).cast("string").alias("error"),
+                 F.when(F.col("enriched"), "completed").otherwise("skipped_unavailable" if info.model_wanted else "skipped_disabled").alias("summarization_status"),
+                 ).alias("ollama"),
         F.struct(*rules.TECH_CATEGORIES[:7]).alias("tech_stack"),
         F.struct(zero(F.col("finding_rows")).alias("total_findings"), zero(F.col("total_redactions")).alias("total_redactions"),
-                 zero(F.col("affected_files")).alias("affected_files")).alias("redaction"),
+                 zero(F.col("affected_files")).alias("n_affected_files")).alias("redaction"),
         F.coalesce("important_files", F.array().cast("array<struct<path:string,priority_score:int,size:bigint,redacted:boolean>>")).alias("important_files"),
         F.coalesce("risk_notes", F.array().cast("array<string>")).alias("risk_notes"),
-        F.lit(GENERATOR).alias("generator"),
+        F.array(*[F.lit(a) for a in info.assumptions]).cast("array<string>").alias("assumptions"),
+        F.lit(GENERATOR).alias("generator"), F.lit(rules.REPORT_SECURITY_NOTE).alias("security_note"),
     )
     return df.select("project", F.to_json(report).alias("report"))
 
@@ -168,11 +195,23 @@ def scan_report_findings(found: DataFrame) -> DataFrame:
     )).alias("line"))
 
 
-def report_lines(facts: DataFrame, tree: DataFrame, notes: DataFrame, found: DataFrame, totals: DataFrame, scan_json: DataFrame | None = None) -> DataFrame:
-    parts = [summary_md(facts), tree_md(facts, tree), tech_md(facts), risk_md(facts, notes, found), redaction_md(facts, totals, found)]
+def affected_files(found: DataFrame) -> DataFrame:
+    return found.select("project", "path").distinct().select(
+        "project", F.col("path").alias("line_key"), F.to_json(F.struct(F.col("path").alias("affected_file"))).alias("line")
+    )
+
+
+def report_lines(
+    facts: DataFrame, tree: DataFrame, notes: DataFrame, found: DataFrame, totals: DataFrame, scan_json: DataFrame | None = None,
+    info: ScanInfo = ScanInfo(),
+) -> DataFrame:
+    parts = [summary_md(facts, info), tree_md(facts, tree), tech_md(facts), risk_md(facts, notes, found), redaction_md(facts, totals, found)]
     if scan_json is not None:
         parts.append(_listed(scan_json, "scan_report", 0, F.lit("0"), F.col("report")))
         parts.append(scan_report_findings(found).select(
             "project", F.lit("scan_report").alias("report"), F.lit(1).alias("block"), "line_key", "line"
         ))
+        parts.append(affected_files(found).select(
+            "project", F.lit("scan_report").alias("report"), F.lit(2).alias("block"), "line_key", "line"
+        ))
     return _union(parts).select(*REPORT_COLUMNS)

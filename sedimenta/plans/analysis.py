@@ -132,6 +132,6 @@ class Analysis:
     def context(self, target: str = "all") -> DataFrame:
         return context.context_rows(self.facts, self.selected, self.summaries, self.risk_notes, self.findings, self.tree, target)
 
-    def report_lines(self) -> DataFrame:
-        as_json = reports.scan_report(self.facts, self.totals, self.selected, self.risk_notes)
-        return reports.report_lines(self.facts, self.tree, self.risk_notes, self.findings, self.totals, as_json)
+    def report_lines(self, info: reports.ScanInfo = reports.ScanInfo()) -> DataFrame:
+        as_json = reports.scan_report(self.facts, self.totals, self.selected, self.risk_notes, info)
+        return reports.report_lines(self.facts, self.tree, self.risk_notes, self.findings, self.totals, as_json, info)

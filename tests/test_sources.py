@@ -63,6 +63,10 @@ def test_reports_are_complete_documents(spark, folder, tmp_path):
     report = lines.filter("report = 'scan_report'").orderBy("block", "line_key").collect()
     head = json.loads(report[0].line)
     assert head["statistics"]["files_skipped"] == 2 and head["redaction"]["total_redactions"] == 1
+    assert head["scan_id"] == "N/A" and head["ollama"]["summarization_status"] == "skipped_disabled" and head["security_note"]
+    assert json.loads(report[-1].line) == {"affected_file": "with space/c d.ts"}
+    stack = [r.line for r in lines.filter("report = 'tech_stack'").orderBy("block", "line_key").collect()]
+    assert "## Detection Method" in stack and stack[-1].startswith("_Generated")
     assert json.loads(report[1].line) == {"file_path": "with space/c d.ts", "finding_type": "PASSWORD", "count": 1}
     assert {r.report for r in lines.select("report").distinct().collect()} == {
         "project_summary", "file_tree", "tech_stack", "risk_notes", "redaction_report", "scan_report"}
