@@ -556,6 +556,85 @@ UNION ALL SELECT DISTINCT project, '', [0], project || '/' FROM files"""),
     ]
 
 
+def report_documents() -> list[tuple[str, str]]:
+    """All report documents as lines, written out line by line."""
+    from sedimenta.operators.reports import GENERATOR
+
+    def fixed(report: str, block: int, parts: list, source: str = "facts_row") -> str:
+        items = "list_filter([" + ", ".join(x if x.startswith(("(", "CASE")) else q(x) for x in parts) + "], lambda x: x IS NOT NULL)"
+        return f"""SELECT project, '{report}' AS report, {block} AS block, lpad(unnest(range(0, len(a)))::VARCHAR, 4, '0') AS line_key, unnest(a) AS line
+ FROM (SELECT project, {items} AS a FROM {source})"""
+
+    footer = lambda report: fixed(report, 99, ["", "---", "", f"_Generated by {GENERATOR}_"])
+    key = "path || chr(1) || ord"
+    holders = " ".join(f"WHEN '{n}' THEN {q(p)}" for n, _, p in rules.SECRET_RULES)
+    found = "'| `' || path || '` | ' || finding_type || ' | ' || count || ' |'"
+    some, none = "(SELECT * FROM facts_row WHERE n_findings > 0)", "(SELECT * FROM facts_row WHERE n_findings = 0)"
+    shown = list(zip(rules.TECH_CATEGORIES, rules.TECH_TABLE_LABELS))
+    tech_rows = [f"('| {label} | ' || coalesce({c}, '_None detected_') || ' |')" for c, label in [*shown[:6], ("testing_tools", "Testing Tools")]]
+    lists = ", ".join(f"'{c}': coalesce({c}_list, [])" for c in rules.TECH_CATEGORIES[:7])
+    report = f"""to_json({{'scan_id': 'N/A', 'scanned_at': 'N/A', 'project_path': project, 'options': '{{}}'::JSON,
+ 'analysis': {{'mode': 'fast', 'evidence_level': 'limited', 'detected_domain': domain, 'domain_confidence': confidence, 'domain_score': score::BIGINT}},
+ 'statistics': {{'total_files_found': files_found, 'files_scanned': files_scanned, 'files_skipped': files_skipped, 'files_redacted': files_redacted, 'duration_seconds': 0.0::DOUBLE}},
+ 'ollama': {{'used': false, 'available': false, 'model': 'N/A', 'summarization_status': 'skipped_disabled'}}, 'tech_stack': {{{lists}}},
+ 'redaction': {{'total_findings': n_findings, 'total_redactions': coalesce(total_redactions, 0), 'n_affected_files': coalesce(n_affected, 0)}},
+ 'important_files': coalesce(files_list, []), 'risk_notes': coalesce(notes_list, []), 'assumptions': '[]'::JSON, 'generator': {q(GENERATOR)}, 'security_note': {q(rules.REPORT_SECURITY_NOTE)}}})::VARCHAR"""
+    part = "CASE WHEN i = len(parts) AND NOT is_dir THEN '1' ELSE '0' END || lower(parts[i]) || chr(2) || parts[i]"
+    parts = [
+        fixed("project_summary", 0, [
+            "# Project Summary", "", "('**Project Path:** `' || project || '`')", "**Scanned At:** N/A", "**Scan ID:** `N/A`", "", "---", "", "## Overview", "",
+            "(summary)", "", "---", "", "## Technology Stack", "", *[f"CASE WHEN {c} IS NOT NULL THEN '- **{label}:** ' || {c} END" for c, label in shown[:7]],
+            "CASE WHEN all_detected = '' THEN '_No technologies detected._' END", "", "---", "", "## Scan Statistics", "", "| Metric | Value |", "|---|---|",
+            *[f"('| {label} | ' || {c} || ' |')" for label, c in (("Files Scanned", "files_scanned"), ("Files Skipped", "files_skipped"), ("Files Redacted", "files_redacted"))],
+            "| Ollama Used | False |", "| Ollama Model | N/A |", "| Duration | 0.0s |",
+        ]), footer("project_summary"), fixed("project_summary", 100, list(rules.REPORT_LOCAL_ONLY)),
+        fixed("file_tree", 0, ["# File Tree", "", "```"]), fixed("file_tree", 2, ["```"]), footer("file_tree"),
+        f"""SELECT project, 'file_tree', 1, CASE WHEN path = '' THEN '' ELSE array_to_string([{part} for i in range(1, len(parts) + 1)], chr(1)) END, line
+ FROM (SELECT t.*, coalesce(w.is_dir, true) AS is_dir, string_split(t.path, '/') AS parts FROM tree t LEFT JOIN walk w USING (project, path))""",
+        fixed("tech_stack", 0, ["# Detected Technology Stack", "", "| Category | Detected Technologies |", "|---|---|", *tech_rows]),
+        fixed("tech_stack", 1, ["", "---", "", "## Detection Method", "", *rules.REPORT_DETECTION_METHOD, ""]), fixed("tech_stack", 2, [f"_Generated by {GENERATOR}_"]),
+        fixed("risk_notes", 0, ["# Risk Notes", "", rules.REPORT_RISK_INTRO, ""]),
+        "SELECT project, 'risk_notes', 1, lpad(ord::VARCHAR, 3, '0'), '- ' || note FROM notes",
+        fixed("risk_notes", 1, [rules.REPORT_RISK_NONE], "(SELECT * FROM facts_row WHERE n_notes = 0)"),
+        fixed("risk_notes", 2, ["", "---", "", "## Redaction Summary", ""]),
+        fixed("risk_notes", 3, ["('**' || n_findings || ' secret pattern(s) were detected and redacted.**')", "", "| File | Finding Type | Count |", "|---|---|---|"], some),
+        f"SELECT project, 'risk_notes', 4, {key}, {found} FROM findings",
+        fixed("risk_notes", 5, ["", rules.REPORT_RISK_REDACTED], some), fixed("risk_notes", 3, [rules.REPORT_REDACTED_NONE], none), footer("risk_notes"),
+        fixed("redaction_report", 0, ["# Redaction Report", "", *rules.REPORT_REDACTION_INTRO, "", "---", ""]),
+        fixed("redaction_report", 1, ["## Result", "", *rules.REPORT_REDACTION_NONE], none),
+        fixed("redaction_report", 1, ["## Summary", "", "('- **Total redactions:** ' || total_redactions)", "('- **Affected files:** ' || n_affected)",
+                                      "('- **Finding types:** ' || finding_types)", "", "---", "", "## Findings", "",
+                                      "| File | Finding Type | Count | Placeholder Used |", "|---|---|---|---|"], some),
+        f"SELECT project, 'redaction_report', 2, {key}, {found} || ' `' || CASE finding_type {holders} ELSE '[REDACTED_SECRET]' END || '` |' FROM findings",
+        fixed("redaction_report", 3, ["", "---", "", "## Security Notes", "", *rules.REPORT_SECURITY_NOTES], some), footer("redaction_report"),
+        f"SELECT project, 'scan_report', 0, '0', {report} FROM facts_row",
+        f"SELECT project, 'scan_report', 1, {key}, to_json({{'file_path': path, 'finding_type': finding_type, 'count': count}})::VARCHAR FROM findings",
+        "SELECT DISTINCT project, 'scan_report', 2, path, to_json({'affected_file': path})::VARCHAR FROM findings",
+    ]
+    lists_cte = ", ".join(f"list(item ORDER BY ord) FILTER (category = '{c}') AS {c}_list" for c in rules.TECH_CATEGORIES[:7])
+    return [
+        *whole_domain(), *risk_notes(), *tree(),
+        ("stats", STATS), ("summary_text", PROJECT_SUMMARY),
+        ("totals", """SELECT project, sum(count)::BIGINT AS total_redactions, count(DISTINCT path) AS n_affected, count(*) AS found_rows,
+ array_to_string(list_sort(list(DISTINCT finding_type)), ', ') AS finding_types FROM findings GROUP BY project"""),
+        ("facts_row", f"""SELECT p.project, s.* EXCLUDE (project), t.* EXCLUDE (project), x.* EXCLUDE (project), d.* EXCLUDE (project), y.summary, l.* EXCLUDE (project),
+ coalesce(found_rows, 0) AS n_findings, coalesce(n.n_notes, 0) AS n_notes, n.notes_list, k.files_list
+FROM (SELECT DISTINCT project FROM files) p JOIN stats s USING (project) JOIN tech_wide t USING (project) LEFT JOIN totals x USING (project) JOIN detected d USING (project)
+JOIN summary_text y USING (project) LEFT JOIN (SELECT project, {lists_cte} FROM tech GROUP BY project) l USING (project)
+LEFT JOIN (SELECT project, count(*) AS n_notes, list(note ORDER BY ord) AS notes_list FROM notes GROUP BY project) n USING (project)
+LEFT JOIN (SELECT project, list({{'path': path, 'priority_score': priority_score, 'size': size, 'redacted': redacted}} ORDER BY rank) AS files_list FROM selected WHERE rank <= {rules.REPORT_FILES} GROUP BY project) k USING (project)"""),
+        ("lines", " UNION ALL ".join(parts)),
+    ]
+
+
+STATS = """SELECT project, count(*) AS files_found, count(*) FILTER (skipped_reason IS NULL) AS files_scanned, count(*) FILTER (skipped_reason IS NOT NULL) AS files_skipped,
+ count(*) FILTER (redacted) AS files_redacted, coalesce(bool_or(skipped_reason = 'env_file' AND contains(path, '.env.example')), false) AS env_template_skipped FROM scanned GROUP BY project"""
+PROJECT_SUMMARY = f"""SELECT project, 'Static analysis completed (mode: fast, Ollama: disabled). Detected technologies: ' || tech_text ||
+ '. Structural summaries were generated for all important files. Review the file tree and structural summaries for architecture insights.' ||
+ coalesce(chr(10) || chr(10) || '## Large File Risks' || chr(10) || notes, '') AS summary FROM tech_wide LEFT JOIN (SELECT project, string_agg('- ' || {LARGE_NOTE}, chr(10) ORDER BY rank) AS notes
+ FROM selected WHERE length(content_preview) > 0 AND size >= 51200 GROUP BY project) USING (project)"""
+
+
 def per_target(lines_by_target: dict[str, str], caps: dict[str, str] | None = None, source: str = "selected", key: str = "lpad(rank::VARCHAR, 6, '0')") -> str:
     return " UNION ALL ".join(
         f"SELECT project, '{t}' AS target, {key} AS line_key, {line} AS text FROM {source}" + (f" WHERE {caps[t]}" if caps else "")
@@ -648,8 +727,7 @@ def statements() -> dict[str, str]:
     s["requirement_names"] = f(REQUIREMENTS)
     stamp = "path || ':' || size || ':' || (1704067200 + doc_id * 60) * 1000000"
     s["file_keys"] = f(f"SELECT project, path, substr(sha256(path), 1, 12) AS path_hash, substr(sha256({stamp}), 1, 16) AS key FROM files")
-    s["scan_stats"] = with_(scanned(), """SELECT project, count(*) AS files_found, count(*) FILTER (skipped_reason IS NULL) AS files_scanned, count(*) FILTER (skipped_reason IS NOT NULL) AS files_skipped,
- count(*) FILTER (redacted) AS files_redacted, coalesce(bool_or(skipped_reason = 'env_file' AND contains(path, '.env.example')), false) AS env_template_skipped FROM scanned GROUP BY project""")
+    s["scan_stats"] = with_(scanned(), STATS)
     s["priority_topk"] = with_(selected(), "SELECT project, path, priority_score, size, redacted, rank FROM selected")
     s["enrichment_candidates"] = with_(selected(80), f"""SELECT * FROM (SELECT project, path, priority_score, row_number() OVER (PARTITION BY project ORDER BY priority_score DESC, path) AS rank
  FROM selected WHERE NOT ({excluded} OR size > 20480)) WHERE rank <= 20""")
@@ -668,10 +746,8 @@ def statements() -> dict[str, str]:
     s["dir_tree_head"] = with_(tree(), """SELECT project, CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '...[truncated]' ELSE t END AS tree_head
  FROM (SELECT project, string_agg(line, chr(10) ORDER BY place) AS t FROM tree GROUP BY project)""", recursive=True)
     s["large_file_notes"] = with_(selected(), f"SELECT project, path, rank, {LARGE_NOTE} AS note FROM selected WHERE length(content_preview) > 0 AND size >= 51200")
-    s["project_summary"] = with_([*selected(), *tech()], f"""SELECT project, 'Static analysis completed (mode: fast, Ollama: disabled). Detected technologies: ' || tech_text ||
- '. Structural summaries were generated for all important files. Review the file tree and structural summaries for architecture insights.' ||
- coalesce(chr(10) || chr(10) || '## Large File Risks' || chr(10) || notes, '') AS summary FROM tech_wide LEFT JOIN (SELECT project, string_agg('- ' || {LARGE_NOTE}, chr(10) ORDER BY rank) AS notes
- FROM selected WHERE length(content_preview) > 0 AND size >= 51200 GROUP BY project) USING (project)""")
+    s["project_summary"] = with_([*selected(), *tech()], PROJECT_SUMMARY)
+    s["report_lines"] = with_(report_documents(), "SELECT project, report, block, line_key, line FROM lines", recursive=True)
     s["tech_items"] = with_(tech(), "SELECT project, category, item, sources, ord FROM tech")
     s["tech_table"] = with_(tech(), "SELECT project, all_detected, tech_text, tech_table, all_detected = '' AS is_empty FROM tech_wide")
     for lang in KINDS:

@@ -118,7 +118,7 @@ def redaction_totals(spark, sf):
 
 
 def redaction_report(spark, sf):
-    return scan.redaction_report(analysis(spark, sf).findings)
+    return scan.redaction_report(analysis(spark, sf).findings).drop("ord")
 
 
 def suspicious_content(spark, sf):
