@@ -25,11 +25,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def in_arrow(df: DataFrame, schema: str, rows: Callable[[Iterable], Iterable[tuple]], flush: int = 4000, raw: bool = False) -> DataFrame:
+def in_arrow(df: DataFrame, schema: str, rows: Callable[[Iterable], Iterable[tuple]], flush: int = 4000) -> DataFrame:
     """``rows`` turns one partition's stream of record lists into output tuples, sent on in Arrow batches.
 
-    ``rows`` gets the columns of each incoming batch as Python lists, so at most one incoming batch and ``flush``
-    output rows are held. The output columns and types are those of ``schema``. With ``raw`` it gets Arrow batches.
+    ``rows`` gets the columns of some rows at a time as Python lists, so at most one incoming batch and ``flush``
+    output rows are held. The output columns and types are those of ``schema``.
     """
     kind = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -43,7 +43,9 @@ def in_arrow(df: DataFrame, schema: str, rows: Callable[[Iterable], Iterable[tup
             held.clear()
             return out
 
-        for row in rows(batches if raw else ([c.to_pylist() for c in b.columns] for b in batches)):
+        # a few hundred rows at a time become Python objects
+        parts = (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500))
+        for row in rows([c.to_pylist() for c in p.columns] for p in parts):
             held.append(row)
             if len(held) >= flush:
                 yield sent()

@@ -114,13 +114,17 @@ def _from_postings(long_list: int):
             size = np.diff(np.r_[first, len(key)])
             two = first[size == 2]
             near = two[_bits(prints[two] ^ prints[two + 1]) <= BITS]
-            yield prints[near + 1], prints[near]
-            for f, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
-                members = prints[f:f + n]
-                if n > long_list:
-                    yield members, [None] * n
-                elif found := _groups(members):
-                    yield tuple(np.array(found, "<i8").T)
+            # one output batch, however many lists there are
+            a, b = [prints[near + 1]], [prints[near]]
+            crowded = np.repeat(size > long_list, size)
+            for f, n in zip(first[(size > 2) & (size <= long_list)].tolist(), size[(size > 2) & (size <= long_list)].tolist()):
+                if found := _groups(prints[f:f + n]):
+                    members, roots = np.array(found, "<i8").T
+                    a.append(members)
+                    b.append(roots)
+            yield np.concatenate(a), np.concatenate(b)
+            if crowded.any():
+                yield prints[crowded], [None] * int(crowded.sum())
 
     return columns
 
