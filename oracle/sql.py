@@ -589,8 +589,7 @@ def report_documents() -> list[tuple[str, str]]:
             "| Ollama Used | False |", "| Ollama Model | N/A |", "| Duration | 0.0s |",
         ]), footer("project_summary"), fixed("project_summary", 100, list(rules.REPORT_LOCAL_ONLY)),
         fixed("file_tree", 0, ["# File Tree", "", "```"]), fixed("file_tree", 2, ["```"]), footer("file_tree"),
-        f"""SELECT project, 'file_tree', 1, CASE WHEN path = '' THEN '' ELSE array_to_string([{part} for i in range(1, len(parts) + 1)], chr(1)) END, line
- FROM (SELECT t.*, coalesce(w.is_dir, true) AS is_dir, string_split(t.path, '/') AS parts FROM tree t LEFT JOIN walk w USING (project, path))""",
+        "SELECT project, 'file_tree', 1, line_key, line FROM tree_lines",
         fixed("tech_stack", 0, ["# Detected Technology Stack", "", "| Category | Detected Technologies |", "|---|---|", *tech_rows]),
         fixed("tech_stack", 1, ["", "---", "", "## Detection Method", "", *rules.REPORT_DETECTION_METHOD, ""]), fixed("tech_stack", 2, [f"_Generated by {GENERATOR}_"]),
         fixed("risk_notes", 0, ["# Risk Notes", "", rules.REPORT_RISK_INTRO, ""]),
@@ -623,10 +622,77 @@ FROM (SELECT DISTINCT project FROM files) p JOIN stats s USING (project) JOIN te
 JOIN summary_text y USING (project) LEFT JOIN (SELECT project, {lists_cte} FROM tech GROUP BY project) l USING (project)
 LEFT JOIN (SELECT project, count(*) AS n_notes, list(note ORDER BY ord) AS notes_list FROM notes GROUP BY project) n USING (project)
 LEFT JOIN (SELECT project, list({{'path': path, 'priority_score': priority_score, 'size': size, 'redacted': redacted}} ORDER BY rank) AS files_list FROM selected WHERE rank <= {rules.REPORT_FILES} GROUP BY project) k USING (project)"""),
+        ("tree_lines", f"""SELECT project, place, CASE WHEN path = '' THEN '' ELSE array_to_string([{part} for i in range(1, len(parts) + 1)], chr(1)) END AS line_key, line
+ FROM (SELECT t.*, coalesce(w.is_dir, true) AS is_dir, string_split(t.path, '/') AS parts FROM tree t LEFT JOIN walk w USING (project, path))"""),
         ("lines", " UNION ALL ".join(parts)),
     ]
 
 
+def context_documents(files: dict[str, str], found: dict[str, str]) -> list[tuple[str, str]]:
+    """All rows of the context documents, from the lines of files and findings per target."""
+    from sedimenta.operators import context
+
+    def rows(section: str, key: str, text: dict[str, str], source: str = "facts_row") -> list[str]:
+        order = context.SECTION_ORDER.index(section)
+        return [f"SELECT project, '{t}' AS target, '{section}' AS section, {order} AS section_ord, {key} AS line_key, x AS text FROM (SELECT *, {expr} AS x FROM {source}) WHERE x IS NOT NULL" for t, expr in text.items()]
+
+    every = lambda expr: {t: expr for t in rules.TARGETS}
+    nl = "chr(10)"
+    counts = ("files_scanned", "files_skipped", "files_redacted")
+    path = "'`' || project || '`'"
+    labelled = {
+        "chatgpt": ("| ", " | ", " |", path, ("Project Path", "Files Scanned", "Files Skipped", "Files Redacted", "Ollama Used")),
+        "claude": ("- ", ": ", "", "project", ("Project path", "Files scanned", "Files skipped", "Files with redacted secrets", "Ollama summarization used")),
+        "gemini": ("- ", ": ", "", "project", ("Project Path", "Files Scanned", "Files Skipped", "Files with Redacted Secrets", "Ollama Summarization Used")),
+    }
+    facts = {t: [f"'{a}{n}{b}' || {v} || '{c}'" for n, v in zip(names, (p, *counts, "'False'"))] for t, (a, b, c, p, names) in labelled.items()}
+    facts["claude"] += ["'- Detected languages: ' || languages", "'- Detected frameworks: ' || frameworks",
+                        "CASE WHEN n_findings > 0 THEN '- Secret patterns found and redacted: ' || n_findings || ' finding(s)' END"]
+    facts["minimax"] = [f"'**Project:** ' || {path}", "'**Files:** ' || files_scanned || ' scanned, ' || files_skipped || ' skipped'", "'**Ollama Used:** False'"]
+    facts["generic"] = [f"'**Project Path:** ' || {path}"]
+    heads = {"claude": "'[' || path || ']' || chr(10)", "gemini": "'**`' || path || '`**' || chr(10)", "minimax": "'[' || path || '] '"}
+    summary = {}
+    for t, (_, shown, chars, _) in rules.TARGET_CAPS.items():
+        body = f"CASE WHEN length(summary) > {chars} THEN substr(summary, 1, {chars}) || '...' ELSE summary END" if chars else "summary"
+        end = "" if t == "minimax" else " || chr(10)"
+        summary[t] = f"CASE WHEN summary_rank <= {shown} THEN {heads.get(t, chr(39) + '### `' + chr(39) + ' || path || ' + chr(39) + '`' + chr(39) + ' || chr(10)')} || {body}{end} END"
+    field = lambda name, value: f"'| {name} | ' || {value} || ' |' || chr(10)"
+    metadata = " || ".join([
+        q("## Analysis Metadata\n\n| Field | Value |\n|---|---|\n"), field("Analysis Type", q(rules.ANALYSIS_LIMITED)), field("Evidence Level", "'Limited'"),
+        field("Full Source Audit", "'No'"), field("Ollama Used", "'False'"), field("Included File Evidence Count", "n_selected"),
+        field("Skipped Files Count", "files_skipped"), field("Mode", "'fast'"), field("Detected Domain", "domain"), field("Domain Confidence", "confidence"),
+        f"CASE WHEN domain <> 'generic' THEN {field('Domain Score', 'score')} ELSE '' END",
+        f"CASE WHEN domain <> 'generic' AND matched <> '' THEN {field('Domain Indicators', 'matched')} ELSE '' END",
+    ])
+    disclaimer = f"'## Evidence Disclaimer' || {nl} || {nl} || '> ⚠ ' || {q(rules.DISCLAIMER_STATIC)} || CASE WHEN n_selected < 20 THEN {nl} || {nl} || '> ⚠ ' || {q(rules.DISCLAIMER_FEW_FILES)} ELSE '' END || {nl}"
+    special = "CASE WHEN confidence IN ('medium', 'high') THEN CASE domain " + " ".join(f"WHEN '{d}' THEN {q(t)}" for d, t in rules.DOMAIN_SECTIONS.items()) + " END END"
+    some = "(SELECT * FROM facts_row WHERE n_findings > 0)"
+    head = "'0'"
+    parts = [
+        *rows("facts", head, {t: f"concat_ws({nl}, {', '.join(lines_)})" for t, lines_ in facts.items()}),
+        *rows("project_summary", head, every("summary")), *rows("tech_stack", head, every("tech_table")),
+        *rows("important_files", "lpad(rank::VARCHAR, 6, '0')", {t: f"CASE WHEN rank <= {rules.TARGET_CAPS[t][0]} THEN {x} END" for t, x in files.items()}, "selected"),
+        *rows("file_summaries", "lpad(rank::VARCHAR, 6, '0')", summary, "ranked_summaries"),
+        *rows("risk_notes", "lpad(ord::VARCHAR, 3, '0')", every("'- ' || note"), "notes"),
+        *rows("redaction", "'1' || path || chr(1) || ord", found, "findings"),
+        *rows("metadata", head, every(metadata)), *rows("disclaimer", head, every(disclaimer)), *rows("domain_risk", head, every(special)),
+        *[r for section, n in (("important_files", "n_selected"), ("file_summaries", "n_summaries"), ("risk_notes", "n_notes"), ("redaction", "n_findings"))
+          for r in rows(section, head, {t: f"CASE WHEN {n} = 0 THEN {q(x)} END" for t, x in context._EMPTY[section].items()})],
+        *rows("redaction", head, {t: q(x) for t, x in context._REDACTION_HEAD.items()}, some),
+        *rows("redaction", "'2'", {t: q(x) for t, x in context._REDACTION_TAIL.items()}, some),
+        *rows("file_tree", "line_key", {t: "line" for t, c in rules.TARGET_CAPS.items() if c[3] is None}, "tree_lines"),
+        *[r for t, c in rules.TARGET_CAPS.items() if c[3] for r in rows("file_tree", head, {
+            t: f"CASE WHEN length(t) > {c[3]} THEN substr(t, 1, {c[3]}) || '...[truncated]' ELSE t END"}, "(SELECT project, string_agg(line, chr(10) ORDER BY place) AS t FROM tree_lines GROUP BY project)")],
+    ]
+    base = [c for c in report_documents() if c[0] != "lines"]
+    return [
+        *[(n, x.replace("k.files_list", "k.files_list, coalesce(k.n_selected, 0) AS n_selected, coalesce(k.n_summaries, 0) AS n_summaries").replace(
+            "ORDER BY rank) AS files_list FROM selected", "ORDER BY rank) AS files_list, count(*) AS n_selected, count(*) FILTER (length(content_preview) > 0) AS n_summaries FROM selected") if n == "facts_row" else x) for n, x in base],
+        ("ranked_summaries", "SELECT s.*, r.rank, row_number() OVER (PARTITION BY s.project ORDER BY r.rank) AS summary_rank FROM summaries s JOIN selected r USING (project, path)"),
+        ("context", " UNION ALL ".join(parts)),
+    ]
+
+
 STATS = """SELECT project, count(*) AS files_found, count(*) FILTER (skipped_reason IS NULL) AS files_scanned, count(*) FILTER (skipped_reason IS NOT NULL) AS files_skipped,
  count(*) FILTER (redacted) AS files_redacted, coalesce(bool_or(skipped_reason = 'env_file' AND contains(path, '.env.example')), false) AS env_template_skipped FROM scanned GROUP BY project"""
 PROJECT_SUMMARY = f"""SELECT project, 'Static analysis completed (mode: fast, Ollama: disabled). Detected technologies: ' || tech_text ||
@@ -801,6 +867,7 @@ def statements() -> dict[str, str]:
         "generic": "'- `' || path || '`: ' || finding_type || ' (' || count || ' occurrence(s))'",
     }
     s["context_redaction"] = with_(scanned(), per_target(found, None, "findings", "path || '|' || ord"))
+    s["context_rows"] = with_(context_documents(listed, found), "SELECT project, target, section, section_ord, line_key, text FROM context", recursive=True)
     s["window_request_count"] = """SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW) AS n_requests FROM events"""
     s["rate_limit_admit"] = admitted(2, 86_400)
     s["rate_limit_minute"] = admitted(60, 60)
