@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -111,9 +112,14 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished steps now, not at the driver's next collection of garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop shuffle files of finished steps now, not at the driver's next collection of garbage.
+
+    The driver's handles go with Python's, and the shuffles with the handles, so this takes two rounds.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 @lru_cache(maxsize=4)

@@ -200,7 +200,7 @@ def op6_language_id(spark, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-def of_known_language(spark, docs: DataFrame, sf_dir: str, min_score: float = 0.4) -> DataFrame:
+def of_known_language(spark, docs: DataFrame, sf_dir: str, min_score: float = 0.3) -> DataFrame:
     """Pipeline stage: documents without a language go, that is without letters or with a chance below ``min_score``."""
     known = docs.filter(~held_out("doc_id")).filter("text is not null and lang is not null")
     found = predicted(docs, train(known, "doc_id", "text", "lang"))
