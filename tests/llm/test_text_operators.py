@@ -224,3 +224,34 @@ def test_pipeline(spark):
         assert out.columns == columns
         assert {r.doc_id: r.text for r in rows} == left
         docs = spark.createDataFrame(rows, docs.schema)
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, repeated rows, a very long text, more columns with clashing names, and no rows at all."""
+    spark.createDataFrame([(1, ITEM), (None, None)], BENCH).write.parquet(str(tmp_path / "benchmark.parquet"))
+    german, french = "der und die ist schön zwei drei", "le et la est où deux trois déjà"
+    rows = [(k, f"{german if k % 2 else french} {k}", "de" if k % 2 else "fr", "s", 30) for k in range(40)]
+    rows += [(100, None, None, None, None), (None, german, None, None, None), (101, "", "de", "s", 0), (102, "schön token = abcdefgh1 " * 20_000, "de", "s", 1)]
+    rows += [rows[0], (103, f"und {ITEM}", None, "s", None)]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, lang_pred string, component_id bigint, id string"
+    docs = spark.createDataFrame([(*r, "x", "y", 7, "z") for r in rows], names)
+    for empty in (True, False):
+        now = docs.limit(0) if empty else docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, str(tmp_path))
+            found = out.collect()
+            if name == "sentencepiece":
+                break
+            assert out.columns == docs.columns
+            now = spark.createDataFrame(found, docs.schema)
+        assert bool(found) != empty
+    assert None in {r.doc_id for r in found} and {100, 101, 103}.isdisjoint({r.doc_id for r in found})
+
+
+def test_run_is_the_stages_in_order(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    got = {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame((df := stage(spark, docs, sf_dir)).collect(), df.schema)
+    assert got == {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in docs.collect()} and got
