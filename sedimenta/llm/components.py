@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.session import written
+from sedimenta.session import removed, scratch_path, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -30,11 +30,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     many neighbours is split by adaptive execution. Loops and repeated edges are allowed; no edges give no rows.
     """
     a, b = F.greatest("a", "b"), F.least("a", "b")
-    now, before = written(edges.filter("a <> b").select(a.alias("a"), b.alias("b")).distinct(), name), None
+    spark, path = edges.sparkSession, scratch_path(edges.sparkSession, name)
+    now, before = written(edges.filter("a <> b").select(a.alias("a"), b.alias("b")).distinct(), name, path), None
     # a sum of hashes without overflow tells whether the edges have changed
     mark = F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)).cast("decimal(38,0)"))
     while True:
         state = now.agg(F.count("*"), mark).first()
         if state == before or state[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before, now = state, written(_small(_large(now)), name)
+        before, last, path = state, path, scratch_path(spark, name)
+        now = written(_small(_large(now)), name, path)
+        removed(spark, last)
