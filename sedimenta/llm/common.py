@@ -52,6 +52,7 @@ def in_arrow(df: DataFrame, schema: str, rows: Callable[[Iterable], Iterable[tup
                 yield sent()
         if held:
             yield sent()
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -64,6 +65,7 @@ def in_columns(df: DataFrame, schema: str, columns: Callable[[Iterable], Iterabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in columns(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind)], schema=kind)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -122,7 +124,7 @@ def released(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def worker_value(make: Callable, *args):
     """A costly object that a Python worker builds once and keeps between tasks."""
     return make(*args)

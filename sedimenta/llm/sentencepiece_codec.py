@@ -36,7 +36,7 @@ UNKNOWN_TEXT = " ⁇ "
 class Codec:
     """Encoder and decoder of one model file. About ``keep`` words and pairs of pieces are remembered."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 150_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -178,7 +178,7 @@ def _coded(batches, model: str):
     """(other columns and texts of some rows, ids of each text, codec)."""
     codec = worker_value(Codec, model)
     for batch in batches:
-        for part in slices(batch, batch.num_columns - 1):
+        for part in slices(batch, batch.num_columns - 1, 3_000_000):
             ids, ends = codec.encode_all(part.column(batch.num_columns - 1))
             yield part.columns, np.split(ids, ends[:-1]) if len(ends) else [], codec
 
