@@ -158,7 +158,8 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
             for _, lang, text in zip(*columns):
                 counts = gram_counts(text, letters)
                 if counts is not None:
-                    examples.append((*weighted(counts, idf), languages.index(lang)))
+                    used, values = weighted(counts, idf)
+                    examples.append((used.astype(np.int32), values.astype(np.float32), languages.index(lang)))
         kept = [e for k, e in enumerate(examples) if k % 5]
         weights = follow_the_leader(kept, len(languages))
         rest = examples[::5]
