@@ -81,32 +81,44 @@ def _groups(members: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(batches):
-    """Arrays (key columns..., fingerprint) whose runs of equal keys are whole; a run is held until its end comes."""
-    held = None
+def _runs(batches, run_length: int = 1 << 16):
+    """Arrays (key columns..., fingerprint) whose runs of equal keys are whole, and whether they are part of a long run.
+
+    A run is held until its end comes. One of more than ``run_length`` rows is passed on in parts, each told to be long up
+    to the key's change and each with the run's first row in front.
+    """
+    held, long = None, False
     for batch in batches:
         now = [c.to_numpy(zero_copy_only=False).astype("<i8") for c in batch.columns]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now)]
         if not len(now[0]):
             continue
+        if long:
+            other = np.logical_or.reduce([c != c[0] for c in now[:-1]])
+            lead = int(np.argmax(other)) if other.any() else len(other)
+            if lead > 1:
+                yield [c[:lead] for c in now], True
+            if lead == len(other):
+                held = [c[:1] for c in now]
+                continue
+            now, long = [c[lead:] for c in now], False
         same = np.logical_and.reduce([c == c[-1] for c in now[:-1]])
         cut = len(same) - np.argmin(same[::-1]) if not same.all() else 0
         if cut:
             yield [c[:cut] for c in now], False
         held = [c[cut:] for c in now]
-        if len(held[0]) > (1 << 16):
-            # a very long run is passed on in parts, each told to be long
+        if len(held[0]) > run_length:
             yield held, True
-            held = [c[:1] for c in held]
-    if held is not None and len(held[0]):
+            held, long = [c[:1] for c in held], True
+    if held is not None and len(held[0]) and not long:
         yield held, False
 
 
-def _from_postings(long_list: int):
-    """Links within posting lists: (a, b); members of lists longer than ``long_list``: (a, null)."""
+def _from_postings(long_list: int, run_length: int = 1 << 16):
+    """Links within posting lists: (a, b); members of lists longer than ``long_list`` or ``run_length``: (a, null)."""
     def columns(batches):
-        for (choice, key, prints), long in _runs(batches):
+        for (choice, key, prints), long in _runs(batches, run_length):
             if long:
                 yield prints, [None] * len(prints)
                 continue

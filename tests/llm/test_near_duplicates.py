@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from sedimenta.llm import sketches, substrings
 from sedimenta.llm.components import components
 from sedimenta.llm.fm_index import Index
-from sedimenta.llm.simhash import fingerprint, links, near_duplicates, one_of_each_group
+from sedimenta.llm.simhash import _from_middles, _from_postings, fingerprint, links, near_duplicates, one_of_each_group
 
 
 def plain_fingerprint(text):
@@ -72,6 +73,22 @@ def test_links_of_crowded_fingerprints(spark, long_list):
             assert (label[a] == label[b]) == (want[a] == want[b])
 
 
+@pytest.mark.parametrize("size", [70_000, 65_537, 1_000_000])
+def test_rest_of_a_long_list_is_crowded(size):
+    """More members than a run holds, then a tail shorter than ``long_list``, then other lists."""
+    head, tail = np.arange(70_000) << 16, (np.arange(5) << 16) + (70_000 << 16)
+    key = np.r_[np.full(70_005, 7), [8, 8, 9]]
+    prints = np.r_[head, tail, [3, 2, 1]]
+    cuts = [(k, k + size) for k in range(0, 70_000, size)] + [(70_000, 70_003), (70_003, 70_008)]
+    batches = [pa.record_batch([pa.array(c[a:min(b, 70_000) if a < 70_000 else b]) for c in (np.zeros_like(key), key, prints)], names=["c", "k", "f"]) for a, b in cuts]
+    found = [(int(a), None if b is None else int(b)) for xs, ys in _from_postings(4096)(batches) for a, b in zip(xs, ys)]
+    assert {a for a, b in found if b is None} == set(head.tolist()) | set(tail.tolist())
+    assert [(a, b) for a, b in found if b is not None] == [(2, 3)]
+    middles = [pa.record_batch([b.column(1), b.column(2)], names=["m", "a"]) for b in batches]
+    linked = {(int(a), int(b)) for xs, ys in _from_middles(middles) for a, b in zip(xs, ys)}
+    assert linked == {(int(a), 0) for a in [*head[1:], *tail]} | {(2, 3)}
+
+
 def test_simhash_edge_cases(spark):
     rows = [(5, None), (4, ""), (9, " \t"), (2, "One word"), (3, "one WORD"), (3, "one WORD"), (None, "alone and new"), (8, "É x"), (7, "é x")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, fingerprint string")
