@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.common import in_arrow, in_columns, table
 from sedimenta.llm.components import components
+from sedimenta.llm.similar import similar_documents
 from sedimenta.session import written
 
 BITS = 4
@@ -195,8 +196,8 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of every group of near-duplicates the document with the smallest id stays, with all columns.
 
-    Of repeated rows with that id all stay; a group without any id stays as well.
+    Near-duplicates are those of ``similar``: five-word shingles, similarity 0.8 or more. Of repeated rows with that id all stay; a group without any id stays as well.
     """
-    keep = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    keep = similar_documents(docs).filter("doc_id = component_id").select("doc_id").distinct()
     lost = docs.filter("doc_id is null")
     return docs.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(lost)

@@ -13,6 +13,7 @@ from sedimenta.llm import sketches, substrings
 from sedimenta.llm.components import components
 from sedimenta.llm.fm_index import Index
 from sedimenta.llm.simhash import _from_middles, _from_postings, fingerprint, links, near_duplicates, one_of_each_group
+from sedimenta.llm.similar import similar_documents
 
 
 def plain_fingerprint(text):
@@ -104,6 +105,43 @@ def test_simhash_edge_cases(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 4, 7, 8]
 
 
+def jaccard_groups(texts):
+    """id -> smallest id reachable over pairs of five-word Jaccard 0.8 or more, over all pairs with a common shingle."""
+    sets, root, having = {}, {i: i for i in texts}, {}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sorted(texts):
+        words = texts[i].encode().lower().split()
+        sets[i] = {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else {()}
+        for j in {j for s in sets[i] for j in having.get(s, ())}:
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+        for s in sets[i]:
+            having.setdefault(s, []).append(i)
+    return {i: find(i) for i in texts}
+
+
+def test_stage_keeps_one_of_each_group_by_similarity(spark):
+    """On a table with pairs of Jaccard 0.8 or more that differ in more than four bits, and chains of edited copies."""
+    sf_dir = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rng = random.Random(8)
+    for k in range(40):
+        words = [f"v{rng.randrange(10_000)}" for _ in range(rng.randint(5, 300))]
+        for n in range(8):
+            rows.append((1_000_000 + 10 * k + n, " ".join(words)))
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10_000)}"
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    want = jaccard_groups(dict(rows))
+    assert {r.doc_id: r.component_id for r in similar_documents(docs).collect()} == want
+    assert {r.doc_id for r in one_of_each_group(spark, docs, "").collect()} == set(want.values())
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (301, 300), (300, 301)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
