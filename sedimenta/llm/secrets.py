@@ -44,6 +44,8 @@ MORE = (
     Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
 )
 RULES = BASE + MORE
+# Where a key ends that the header of kind private_key begins; no kind of its own.
+FOOTER = Rule("private_key_end", r"-----END [A-Z ]*PRIVATE KEY-----")
 
 
 class _Graph:
@@ -263,29 +265,55 @@ def spelled(spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> str:
     return ",".join(f"{rules[k].kind}:{s}:{e}" for s, k, e in spans)
 
 
+def whole_keys(spans: list[tuple[int, int, int]], rules: tuple[Rule, ...], length: int) -> list[tuple[int, int, int]]:
+    """Each header of a private key joined with the next footer into one span, up to the text's end where there is none.
+
+    Headers inside such a span are part of it; footers are no spans of their own.
+    """
+    ends = [e for _, k, e in spans if rules[k] == FOOTER]
+    out, open_to, n = [], 0, 0
+    for start, k, end in spans:
+        if rules[k] == FOOTER:
+            continue
+        if rules[k].kind == "private_key":
+            if start < open_to:
+                continue
+            while n < len(ends) and ends[n] <= end:
+                n += 1
+            end = open_to = ends[n] if n < len(ends) else length
+        out.append((start, k, end))
+    return sorted(out)
+
+
 def _scanned(batches, scanner: Scanner, size: int = 4_000_000):
-    """(other columns, text, spans) of every row, some million characters at a time. Null texts as empty."""
+    """(row, spans) of every row, some million characters at a time, private keys whole. Null texts as empty."""
     held, chars = [], 0
+
+    def scanned():
+        texts = [r[-1] or "" for r in held]
+        return zip(held, (whole_keys(s, scanner.rules, len(t)) for s, t in zip(scanner.spans(texts), texts)))
+
     for columns in batches:
         for row in zip(*columns):
             held.append(row)
             chars += len(row[-1] or "")
             if chars > size:
-                yield from zip(held, scanner.spans([r[-1] or "" for r in held]))
+                yield from scanned()
                 held, chars = [], 0
-    yield from zip(held, scanner.spans([r[-1] or "" for r in held]))
+    yield from scanned()
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[Rule, ...] = MORE) -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans) of every whole text.
 
     Spans are ``kind:start:end`` in code points, end exclusive, ordered by start and then as the rules are listed, for
-    each rule leftmost and without overlaps; ``base_sha256`` covers the base kinds only. Null texts count as empty and
+    each rule leftmost and without overlaps; a private key is one span from its header to the end of its footer, or of the
+    text where there is none; ``base_sha256`` covers the base kinds only. Null texts count as empty and
     have none. Repeated rows stay, a null id stays null, other columns are ignored.
     """
     rules = BASE + more
     # compiled once, on the driver; its size depends on the rules only
-    scanner = worker_value(Scanner, rules)
+    scanner = worker_value(Scanner, (*rules, FOOTER))
 
     def rows(batches):
         for (i, _), spans in _scanned(batches, scanner):
@@ -316,7 +344,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ..
 
 def without_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets are replaced in the texts, ``n_chars`` follows; every document and column stays."""
-    scanner = worker_value(Scanner, RULES)
+    scanner = worker_value(Scanner, (*RULES, FOOTER))
 
     def rows(batches):
         for (row, text), spans in _scanned(batches, scanner):

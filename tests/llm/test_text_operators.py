@@ -194,6 +194,26 @@ def test_secret_operator(spark):
     assert secrets.find_secrets(docs.limit(0)).collect() == []
 
 
+def test_private_keys_go_whole(spark):
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "q7Rz/+" * 8] * 5)
+    key = f"{head}\n{body}\n{foot}"
+    texts = [
+        f"é {key} then {key}\nend", f"{foot} a\n{head}\n{body}", f"{head}\n{body}\n{head}\n{body}\n{foot} token = abcdefgh1", f"only {foot}",
+        f"secret={head}\ntoken = abcdefgh1\n{'f' * 40}\n{foot}!", f"-----BEGIN PUBLIC KEY-----\n{body}",
+    ]
+    docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+    clean = {r.doc_id: r.text for r in secrets.without_secrets(spark, docs, "").collect()}
+    assert clean == {
+        0: "é [private_key] then [private_key]\nend", 1: f"{foot} a\n[private_key]", 2: "[private_key] [assign]", 3: texts[3],
+        4: "[assign]!", 5: texts[5],
+    }
+    spans = {r.doc_id: (r.n_assign, r.n_hex, r.spans) for r in secrets.find_secrets(docs).collect()}
+    n = len(key)
+    assert spans[0] == (0, 0, f"private_key:2:{2 + n},private_key:{8 + n}:{8 + 2 * n}")
+    assert spans[4][:2] == (2, 1) and spans[3] == spans[5] == (0, 0, "")
+
+
 def test_pipeline(spark):
     """Every stage keeps the columns of documents; what goes is what each operator reports on the stage's own input."""
     sf_dir = "/root/testdata/sf0.001"
