@@ -55,6 +55,10 @@ def _template(words: Column) -> Column:
     return F.transform(words, placeholder)
 
 
+def _lower(words: Column) -> Column:
+    return F.transform(words, F.lower)
+
+
 def _starts(template: Column) -> Column:
     return F.when(F.size(template) >= WINDOW, F.sequence(F.lit(1), F.size(template) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
 
@@ -81,30 +85,48 @@ def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str
     return found.join(sizes, F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
 
 
+def plain_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(hash, item_id, n_places, place) of every window of an item as it is written, in lower case."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), _lower(bare_words(F.col(text_col))).alias("words"))
+    places = items.withColumn("place", F.explode(_starts(F.col("words"))))
+    found = places.select(F.xxhash64(F.slice("words", F.col("place"), WINDOW)).alias("hash"), "item_id", "place").distinct()
+    sizes = found.groupBy(F.col("item_id").alias("_item")).agg(F.countDistinct("place").alias("n_places"))
+    return found.join(sizes, F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text",
+    item_text_col: str = "text", plain: bool = False,
 ) -> DataFrame:
     """(id, item_id, shared_windows, n_windows, reworded): documents that hold a benchmark item, one row per pair.
 
-    A pair is reported if the document shares at least ``SHARED`` windows of the item, or all of them, each with
-    consistent placeholders. ``reworded``: some value behind a placeholder differs. Null texts hold nothing; rows of
-    one id count as one document, a null id too; repeated rows change nothing; empty tables give no rows; other columns
-    are ignored.
+    A pair is reported if the document shares at least ``SHARED`` windows of the item's template, or all of them, each
+    with consistent placeholders. ``reworded``: some value behind a placeholder differs. With ``plain`` a pair is also
+    reported if it shares as many of all windows of the item, each in its template or word by word whatever the case
+    (so copies in other case, and items of names and numbers only, are found); its counts are then of all windows.
+    Null texts hold nothing; rows of one id count as one document, a null id too; repeated rows change nothing; empty
+    tables give no rows; other columns are ignored.
 
     Only hashes go through the first join, whose small side is the distinct hashes of the items. Words are looked at
-    again only in documents with a hit; that join's small side is written first, so its size is known to the planner.
+    again only in documents with a hit. The small sides of both joins are written first, so the planner knows their size.
     """
     items = written(item_windows(benchmark, item_col, item_text_col), "benchmark-windows")
+    wanted = items.select(F.lit(False).alias("plain"), "hash")
+    if plain:
+        whole = written(plain_windows(benchmark, item_col, item_text_col), "benchmark-plain")
+        wanted = wanted.unionByName(whole.select(F.lit(True).alias("plain"), "hash"))
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     text_hash = F.xxhash64("text").alias("version")
-    templates = chosen.select("id", text_hash, _template(bare_words(F.col("text"))).alias("template"))
-    hashes = F.transform(_starts(F.col("template")), lambda at: F.xxhash64(F.slice("template", at, WINDOW)))
-    windows = templates.select("id", "version", F.posexplode(hashes).alias("at", "hash"))
-    hits = windows.join(items.select("hash").distinct(), "hash", "left_semi")
+    texts = chosen.select("id", text_hash, bare_words(F.col("text")).alias("words"))
+    forms = [(False, _template(F.col("words"))), *([(True, _lower(F.col("words")))] if plain else [])]
+    texts = texts.select("id", "version", F.explode(F.array(*[F.struct(F.lit(p).alias("plain"), w.alias("words")) for p, w in forms])).alias("f"))
+    texts = texts.select("id", "version", "f.plain", "f.words")
+    hashes = F.transform(_starts(F.col("words")), lambda at: F.xxhash64(F.slice("words", at, WINDOW)))
+    windows = texts.select("id", "version", "plain", F.posexplode(hashes).alias("at", "hash"))
+    hits = windows.join(written(wanted.distinct(), "benchmark-hashes"), ["plain", "hash"], "left_semi")
     hits = written(hits.distinct(), "benchmark-hits")
 
-    lists = hits.groupBy("id", "version").agg(F.collect_list(F.struct("hash", "at")).alias("hits"))
+    lists = hits.filter("not plain").groupBy("id", "version").agg(F.collect_list(F.struct("hash", "at")).alias("hits"))
     versions = chosen.withColumn("version", F.xxhash64("text")).alias("d")
     with_hits = versions.join(lists.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.version") == F.col("h.version")))
     words = with_hits.select("d.id", "h.hits", bare_words(F.col("text")).alias("words"))
@@ -116,6 +138,21 @@ def contaminated(
     same = (count(pairs) == count(F.col("values"))) & (count(pairs) == count(F.col("slots")))
     matched = each.join(items, "hash").filter(same)
     per_place = matched.groupBy("id", "item_id", "n_windows", "place").agg(F.min(F.col("values") != F.col("slots")).alias("other"))
+    if plain:
+        exact = hits.filter("plain").select("id", "hash").distinct().join(whole, "hash").select("id", "item_id", "place", F.lit(True).alias("exact"))
+        sizes = whole.select(F.col("item_id").alias("_item"), "n_places").distinct()
+        per_place = per_place.withColumn("exact", F.lit(False)).unionByName(exact.distinct(), allowMissingColumns=True)
+        per_place = per_place.groupBy("id", "item_id", "place").agg(F.max("n_windows").alias("n_windows"), F.max("other").alias("other"), F.max("exact").alias("exact"))
+        per_pair = per_place.groupBy("id", "item_id").agg(
+            F.max("n_windows").alias("n_windows"), F.count("n_windows").alias("in_template"), F.count("*").alias("in_all"), F.max("other").alias("other"),
+            F.max(F.col("other") & ~F.col("exact")).alias("other_in_all"),
+        ).join(sizes, F.col("item_id").eqNullSafe(F.col("_item")))
+        template = F.coalesce(F.col("in_template") >= F.least(F.lit(SHARED), F.col("n_windows")), F.lit(False))
+        return per_pair.filter(template | (F.col("in_all") >= F.least(F.lit(SHARED), F.col("n_places")))).select(
+            F.col("id").alias(id_col), "item_id", F.when(template, F.col("in_template")).otherwise(F.col("in_all")).alias("shared_windows"),
+            F.when(template, F.col("n_windows")).otherwise(F.col("n_places")).alias("n_windows"),
+            F.when(template, F.col("other")).otherwise(F.coalesce("other_in_all", F.lit(False))).alias("reworded"),
+        )
     return (
         per_place.groupBy("id", "item_id", "n_windows")
         .agg(F.count("*").alias("shared_windows"), F.max("other").alias("reworded"))
@@ -125,12 +162,13 @@ def contaminated(
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
+    """By templates only, as ``SQL`` states it."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def without_benchmarks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go; the others stay with all columns."""
-    found = written(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
+    """Pipeline stage: documents that hold a benchmark item, by template or word by word, go; the others stay with all columns."""
+    found = written(contaminated(docs, table(spark, sf_dir, "benchmark"), plain=True).select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_found"]), "left_anti")
 
 

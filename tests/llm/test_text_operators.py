@@ -103,6 +103,23 @@ def test_decontamination_edge_cases(spark):
     assert benchmarks.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_plain_windows_find_copies_without_a_template(spark, tmp_path):
+    title = "The Quick Brown Fox Jumps Over The Lazy Dog And Then Sleeps All Day Long"
+    numbers = "7 12 19 33 Anna 51 70 and 84 99 105 Peter 120 131 in 140"
+    spark.createDataFrame([(1, ITEM), (2, title), (3, numbers), (4, "Berlin Paris Rome Madrid London Vienna Oslo Prague"), (5, None)], BENCH).write.parquet(str(tmp_path / "benchmark.parquet"))
+    bench = spark.read.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [ITEM, ITEM.lower(), ITEM.upper(), ITEM.title(), f"so: {title}!", title.lower(), f"a {numbers} b", "x berlin paris rome madrid london vienna oslo prague",
+             title.replace("Fox", "Cat").replace("And", "Or"), numbers.replace("33", "34").replace("105", "106"), "Berlin Paris Rome Madrid London Vienna Oslo Bonn", None, ITEM.replace("Anna", "Maria")]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, title), (None, None)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in benchmarks.contaminated(docs, bench, plain=True).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3), (7, 4), (12, 1), (None, 2)}
+    assert got[4, 2].shared_windows == got[4, 2].n_windows == 8 and not got[1, 1].reworded and got[12, 1].reworded
+    base = {(r.doc_id, r.item_id): r for r in benchmarks.contaminated(docs, bench).collect()}
+    assert all(got[k] == r for k, r in base.items())
+    kept = [r.doc_id for r in benchmarks.without_benchmarks(spark, docs, str(tmp_path)).collect()]
+    assert sorted(k for k in kept if k is not None) == [8, 9, 10, 11] and None not in kept
+
+
 def test_language_id_on_a_table(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = language_id.op6_language_id(spark, sf_dir).collect()
