@@ -17,7 +17,7 @@ from sedimenta.session import written
 WINDOW = 8
 # words of a window that must not be placeholders
 LITERALS = 4
-# windows of an item that a document must share (13 words in a row), or all if the item has fewer
+# windows of an item that a document must share, anywhere and in any order, or all if the item has fewer
 SHARED = 6
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 # Units of measure and money that are no common words.
