@@ -194,10 +194,17 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every group of near-duplicates the document with the smallest id stays, with all columns.
+    """Pipeline stage: of every group of near-duplicates one document stays, with all columns.
 
-    Near-duplicates are those of ``similar``: five-word shingles, similarity 0.8 or more. Of repeated rows with that id all stay; a group without any id stays as well.
+    Near-duplicates are those of ``similar``: five-word shingles, similarity 0.8 or more. The document with the smallest
+    id stays, of texts with that id the one with the smallest hash; null ids come last. Of repeated rows with that id and
+    text all stay, without an id one.
     """
-    keep = similar_documents(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    lost = docs.filter("doc_id is null")
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(lost)
+    row = F.struct(F.col("doc_id").isNull().alias("lost"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("version"))
+    keyed = docs.select(F.struct("*").alias("doc"), row.alias("_row"), "text")
+    groups = similar_documents(keyed, "_row", "text").filter(F.col("_row").eqNullSafe(F.col("component_id")))
+    keep = written(groups.select(F.col("_row.id").alias("keep_id"), F.col("_row.version").alias("keep_version")).distinct(), "similar-kept")
+    same = F.col("_row.id").eqNullSafe(F.col("keep_id")) & (F.col("_row.version") == F.col("keep_version"))
+    kept = keyed.join(keep, same, "left_semi")
+    lost = kept.filter("_row.lost").dropDuplicates(["_row"])
+    return kept.filter("not _row.lost").unionByName(lost).select("doc.*")

@@ -142,6 +142,18 @@ def test_stage_keeps_one_of_each_group_by_similarity(spark):
     assert {r.doc_id for r in one_of_each_group(spark, docs, "").collect()} == set(want.values())
 
 
+def test_stage_keeps_one_row_without_id(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(None, a), (None, a), (None, a + " end"), (None, b), (5, b + " end"), (7, "alone"), (7, "alone"), (8, "alone"), (3, b), (3, b + " more"), (None, "x"), (None, None)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, key string")
+    kept = one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sum(t is not None and t.startswith("a0 ") for _, t in got) == 1
+    assert [i for i, t in got if t is not None and t.startswith("b0 ")] == [3]
+    assert sorted((i or 0, t or "") for i, t in got if t is None or t[1:2] != "0") == [(0, ""), (0, "x"), (7, "alone"), (7, "alone")]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (301, 300), (300, 301)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
