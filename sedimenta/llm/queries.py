@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sedimenta.llm import benchmarks, chats
+from sedimenta.llm import benchmarks, chats, fill_in_middle
 from sedimenta.llm.benchmarks import op8_decontamination
 from sedimenta.llm.chats import op4_chats
+from sedimenta.llm.fill_in_middle import op11_fill_in_middle
 from sedimenta.llm.language_id import op6_language_id
 from sedimenta.llm.secrets import op9_secrets
 from sedimenta.llm.sentencepiece_codec import op2_sentencepiece
@@ -25,6 +26,11 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_token_counts": op10_token_counts,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
-ORACLE_SQL = {"op4_chats": chats.SQL, "op8_decontamination": benchmarks.SQL}
+ORACLE_SQL = {
+    "op4_chats": chats.SQL,
+    "op8_decontamination": benchmarks.SQL,
+    "op11_fill_in_middle": fill_in_middle.SQL,
+}
