@@ -5,6 +5,7 @@ from __future__ import annotations
 from sedimenta.llm import benchmarks, chats, fill_in_middle
 from sedimenta.llm.benchmarks import op8_decontamination
 from sedimenta.llm.chats import op4_chats
+from sedimenta.llm.conversation_repair import op13_conversation_repair
 from sedimenta.llm.fill_in_middle import op11_fill_in_middle
 from sedimenta.llm.language_id import op6_language_id
 from sedimenta.llm.secrets import op9_secrets
@@ -12,6 +13,7 @@ from sedimenta.llm.sentencepiece_codec import op2_sentencepiece
 from sedimenta.llm.simhash import op1_simhash
 from sedimenta.llm.sketches import op5_sketches
 from sedimenta.llm.substrings import op7_substrings
+from sedimenta.llm.super_minhash import op12_minhash
 from sedimenta.llm.token_counts import op10_token_counts
 from sedimenta.llm.token_files import op3_token_files
 
@@ -27,6 +29,8 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_token_counts": op10_token_counts,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_minhash": op12_minhash,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {
