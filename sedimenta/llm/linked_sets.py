@@ -59,55 +59,62 @@ def _sifted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_pairs(count: Column, key: Column) -> Column:
-    """Block pairs (i, j), i <= j, in which a member of a band with ``count`` members takes part; its block is i or j."""
+    """Block pairs (i, j), i <= j, in which a member of a band with ``count`` members takes part, and its own block (i or j)."""
     blocks = F.ceil(count / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64(key), blocks).cast("int")
-    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"), own.alias("own")))
 
 
 def _across_roots(percent: int):
-    """Pairs of a band's members with different roots that their sketches allow; each group comes sorted and whole."""
-    def pairs(root, key, n, sketch):
+    """Pairs of a band's members with different roots that their sketches allow; each group comes sorted and whole.
+
+    A group of two blocks gives pairs across them only, and a pair that shares several bands is given by the first of them.
+    """
+    def pairs(band, two, own, root, key, n, sketch, bands):
         names, root = np.unique(root, return_inverse=True)
         if len(names) < 2:
             return
         rest = np.flatnonzero(root != np.bincount(root).argmax())
         done = np.zeros(len(root), bool)
+        bands = np.array(bands)
         # members by length of their sketches, so that each length is one array
         length = np.array([len(s) for s in sketch])
         parts = [(p := np.flatnonzero(length == w), np.frombuffer(b"".join(sketch[k] for k in p), "<u8").reshape(len(p), -1)) for w in np.unique(length)]
         for k in rest:
             done[k] = True
+            before = int(np.flatnonzero(bands[k] == band)[0])
             for at, rows in parts:
                 # the members outside the largest root meet once
                 other = (root[at] != root[k]) & ~done[at]
+                if two:
+                    other &= own[at] != own[k]
                 if other.any():
                     chosen = at[other]
-                    for o in chosen[may_be_similar(sketch[k], int(n[k]), rows[other], n[chosen], percent)]:
+                    chosen = chosen[may_be_similar(sketch[k], int(n[k]), rows[other], n[chosen], percent)]
+                    for o in chosen[~(bands[chosen, :before] == bands[k, :before]).any(axis=1)]:
                         yield int(key[k]), int(key[o])
 
     def columns(batches):
         held, last = None, None
         for batch in batches:
-            group = batch.select(["band", "i", "j"])
-            ids = [c.to_numpy(zero_copy_only=False) for c in group.columns]
+            ids = [c.to_numpy(zero_copy_only=False) for c in batch.select(["band", "i", "j"]).columns]
             change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in ids])) + 1
             found = []
             for start, end in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
                 if start == end:
                     continue
                 name = tuple(int(c[start]) for c in ids)
-                part = [c.slice(start, end - start) for c in batch.select(["root", "key", "n", "sketch"]).columns]
-                part = [*(c.to_numpy(zero_copy_only=False) for c in part[:3]), part[3].to_pylist()]
+                part = [c.slice(start, end - start) for c in batch.select(["own", "root", "key", "n", "sketch", "bands"]).columns]
+                part = [*(c.to_numpy(zero_copy_only=False) for c in part[:4]), *(c.to_pylist() for c in part[4:])]
                 if name == last:
-                    held = [*(np.concatenate(x) for x in zip(held[:3], part[:3])), held[3] + part[3]]
+                    held = [*(np.concatenate(x) for x in zip(held[:4], part[:4])), *(x + y for x, y in zip(held[4:], part[4:]))]
                 else:
                     if held is not None:
-                        found += pairs(*held)
+                        found += pairs(last[0], last[1] != last[2], *held)
                     held, last = part, name
             if found:
                 yield tuple(zip(*found))
-        if held is not None and (found := list(pairs(*held))):
+        if held is not None and (found := list(pairs(last[0], last[1] != last[2], *held))):
             yield tuple(zip(*found))
 
     return columns
@@ -149,8 +156,8 @@ def linked(nodes: DataFrame, sets_of, percent: int, name: str) -> DataFrame:
     placed = members.join(roots, members["key"] == roots["node"], "left").select("band", "key", "members", F.coalesce("root", "key").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
     split = placed.join(mixed, "band", "left_semi").select("band", "key", "root", F.explode(_block_pairs(F.col("members"), F.col("key"))).alias("to"))
-    dealt = split.select("band", "to.i", "to.j", "root", "key").join(nodes.select("key", "n", "sketch"), "key").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    across = in_columns(dealt.select("band", "i", "j", "root", "key", "n", "sketch"), "a bigint, b bigint", _across_roots(percent))
+    dealt = split.select("band", "to.i", "to.j", "to.own", "root", "key").join(nodes.select("key", "n", "sketch", "bands"), "key").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    across = in_columns(dealt.select("band", "i", "j", "own", "root", "key", "n", "sketch", "bands"), "a bigint, b bigint", _across_roots(percent))
     more = verified(across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "second")
     out = components(links.unionByName(more), f"{name}-components")
     for path in owned:
