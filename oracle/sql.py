@@ -203,8 +203,20 @@ LANG = "CASE " + " ".join(f"WHEN extension IN {tup(s)} THEN {q(lang)}" for lang,
 # --- symbols ---------------------------------------------------------------------------------------
 
 
+# Python by line patterns: less than what the library reads (doc strings, brackets of any depth), the same on these tables
+PATTERNS = rules.SYMBOL_PATTERNS | {
+    "python_import": r"(?m)^([ \t]*)(?:import[ \t]+([^\n#;(]+)|from[ \t]+([.\w]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n#;(]+))",
+    "python_class": r"(?m)^([ \t]*)class[ \t]+(\w+)[ \t]*[(:]",
+    "python_function": r"(?m)^([ \t]*)(async[ \t]+)?def[ \t]+(\w+)[ \t]*\(\s*((?:[^\s():][^()]*(?:\([^()]*\)[^()]*)*)?)\)",
+    "python_function_start": r"(?m)^[ \t]*(?:async[ \t]+)?def\b",
+    "python_decorators": r"(?m)^([ \t]*)(@[^\n]*\n(?:[ \t]*@[^\n]*\n)*)[ \t]*(?:async[ \t]+)?def[ \t]",
+    "python_decorator": r"(?m)^[ \t]*@([\w.]+)",
+    "python_env": r"(?:\.get|getenv)[ \t]*\(\s*['\"]([^'\"\n]*)['\"]",
+}
+
+
 def ex(key: str, group: int = 1, text: str = "content_preview", pattern: str | None = None) -> str:
-    return f"regexp_extract_all({text}, {re2(pattern or rules.SYMBOL_PATTERNS[key])}, {group})"
+    return f"regexp_extract_all({text}, {re2(pattern or PATTERNS[key])}, {group})"
 
 
 def zipped(key: str, shape: str, groups=(1, 2), pattern: str | None = None, keep: str | None = None) -> str:
@@ -259,7 +271,7 @@ _PY_LISTED = f"string_split(regexp_replace(coalesce({{2}}, '') || coalesce({{4}}
 _PY_MODULE = "regexp_replace(coalesce({3}, ''), '^[.]+', '')"
 _PY_NAMES = f"[CASE WHEN {_PY_MODULE} = '' THEN '' ELSE {_PY_MODULE} || '.' END || {strip('regexp_replace(' + strip('n') + ', ' + q('(?s)[ \t]+as[ \t].*$') + ', ' + chr(39) * 2 + ')')} for n in {_PY_LISTED} if {strip('n')} <> '']"
 _PY_CALL = "{3} || '(' || " + python_args("{4}") + " || ')'"
-_PY_MARKS = deep("python_decorators", f"regexp_extract_all({{2}}, {re2(rules.SYMBOL_PATTERNS['python_decorator'])}, 1)", (1, 2))
+_PY_MARKS = deep("python_decorators", f"regexp_extract_all({{2}}, {re2(PATTERNS['python_decorator'])}, 1)", (1, 2))
 _ANY_FUNCTION = r"(async\s)?function\s+(\w+)\s*\(([^)]*)\)"
 KINDS = {
     "python": {
@@ -831,6 +843,11 @@ def statements() -> dict[str, str]:
         s[f"{table[:-1] if table == 'pages' else 'doc'}_indicator_hits"] = with_(
             indicator_hits(f"SELECT lower({column}) AS low FROM {table}"),
             f"SELECT domain, indicator, count(*) AS n_{'pages' if table == 'pages' else 'docs'} FROM hits GROUP BY ALL")
+    planted = "[" + ", ".join(q(w) for w in dict.fromkeys(w.lower() for pair in rules.DOMAIN_INDICATORS.values() for words_ in pair for w in words_)) + "]"
+    s["planted_indicator_hits"] = with_(
+        indicator_hits(f"""SELECT lower(text) || CASE WHEN doc_id % 7 < 4 THEN ' ' || word || '.' WHEN doc_id % 7 = 4 THEN ' x' || word ELSE ' ' || word || 'x' END AS low
+  FROM (SELECT doc_id, text, {planted}[1 + doc_id % len({planted})] AS word FROM documents)"""),
+        "SELECT domain, indicator, count(*) AS n_docs FROM hits GROUP BY ALL")
     s["risk_notes"] = with_(risk_notes(), "SELECT project, ord, note FROM notes")
     s["repo_audit"] = with_(audit(), "SELECT * FROM audit")
     head = "'# Project Upgrade Plan (' || project || ')' || chr(10) || " + q("\n".join(rules.UPGRADE_PLAN_LINES) + "\n")

@@ -136,6 +136,11 @@ def indicator_pattern(indicator: str) -> str:
     return f"(?<![{WORD}]){indicator}(?![{WORD}])"
 
 
+def is_whole_word(indicator: str) -> bool:
+    """Short alphabetic indicators match whole words only."""
+    return len(indicator) <= 4 and indicator.isalpha()
+
+
 def indicator_test(low: str, indicator: str) -> str:
     """SQL condition on a column of lower-cased text: short alphabetic indicators match whole words, all others
     match as substrings. The substring test is cheap and rejects nearly every text before the pattern runs."""
@@ -143,7 +148,7 @@ def indicator_test(low: str, indicator: str) -> str:
     if not word:
         return "false"
     test = f"contains({low}, {sql_string(word)})"
-    if len(word) <= 4 and word.isalpha():
+    if is_whole_word(word):
         return f"({test} AND {low} RLIKE {sql_string(indicator_pattern(word))})"
     return test
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta import rules
 from sedimenta.functions.cases import case, sql_string
 from sedimenta.functions import text
+from sedimenta.functions.dialect import WORD
 from sedimenta.operators.skew import salted_join
 
 
@@ -37,16 +40,62 @@ def domain_texts(projects: DataFrame, status: DataFrame, scanned: DataFrame, sum
     return out
 
 
+# letters from rare to frequent; what is not listed is rarer still
+_FREQUENT = "qjxzkwvybgpfmuhdclnrsoiaet-. "
+_LEAST_FRAGMENT = 3
+
+
+def _fragment(word: str) -> str:
+    """The end of a word from its rarest letter on, three letters at least: any text with the word has it."""
+    starts = range(max(1, len(word) - _LEAST_FRAGMENT + 1))
+    return word[min(starts, key=lambda i: (_FREQUENT.find(word[i]), i)):]
+
+
+def _escaped(word: str) -> str:
+    return "".join(c if c.isalnum() or c in " _" else "\\" + c for c in word)
+
+
+def _found_words(low: str, words: list[str], pattern: str, group: int, behind: Callable[[str], str]) -> str:
+    """SQL array of what stands ``behind`` each different match of a pattern."""
+    cases = " ".join(f"WHEN {sql_string(w)} THEN {behind(w)}" for w in words)
+    return f"flatten(transform(array_distinct(regexp_extract_all({low}, {sql_string(pattern)}, {group})), w -> CASE w {cases} END))"
+
+
 def indicator_hits(low: str, indicators=rules.DOMAIN_INDICATORS) -> Column:
-    """Array of (domain, indicator, is_strong) found in a column of lower-cased text; no rule table is joined."""
-    hits = [
-        f"CASE WHEN {text.indicator_test(low, word)} THEN named_struct('domain', {sql_string(domain)}, "
-        f"'indicator', {sql_string(word)}, 'is_strong', {is_strong}) END"
-        for domain, (strong, weak) in indicators.items()
-        for words, is_strong in ((strong, "true"), (weak, "false"))
-        for word in words
-    ]
-    return F.expr("array_compact(array(" + ", ".join(hits) + "))")
+    """Array of (domain, indicator, is_strong) found in a column of lower-cased text; no rule table is joined.
+
+    Two passes over a text find everything. One takes out the whole-word indicators. The other takes out fragments of the
+    rest at every place, overlapping ones too: a fragment begins with a word's rarest letter, so most places are given
+    up at their first character, and the words are searched for only behind a fragment that was found.
+    """
+    rows: dict[str, list[str]] = {}
+    for domain, (strong, weak) in indicators.items():
+        for words, is_strong in ((strong, "true"), (weak, "false")):
+            for word in words:
+                if word:
+                    rows.setdefault(word.lower(), []).append(
+                        f"named_struct('domain', {sql_string(domain)}, 'indicator', {sql_string(word)}, 'is_strong', {is_strong})"
+                    )
+    whole = [w for w in rows if text.is_whole_word(w)]
+    # of fragments that begin at one place the longest is found, which stands for those that it begins with
+    fragments = sorted({_fragment(w) for w in rows if w not in whole}, key=lambda f: (-len(f), f))
+    first = lambda ws: "(?=[" + "".join(_escaped(c) for c in sorted({w[0] for w in ws})) + "])"
+
+    def tests(fragment: str) -> str:
+        near = [w for w in rows if w not in whole and fragment.startswith(_fragment(w))]
+        return "array_compact(array(" + ", ".join(f"IF(contains({low}, {sql_string(w)}), {row}, NULL)" for w in near for row in rows[w]) + "))"
+
+    parts = []
+    if whole:
+        pattern = f"{first(whole)}(?<![{WORD}])(?:{'|'.join(whole)})(?![{WORD}])"
+        parts.append(_found_words(low, whole, pattern, 0, lambda w: f"array({', '.join(rows[w])})"))
+    if fragments:
+        # by first letter, so that few alternatives are tried at a place
+        letters = {c: [_escaped(f[1:]) for f in fragments if f[0] == c] for c in sorted({f[0] for f in fragments})}
+        pattern = f"{first(fragments)}(?=({'|'.join(_escaped(c) + '(?:' + '|'.join(ends) + ')' for c, ends in letters.items())}))"
+        parts.append(f"array_distinct({_found_words(low, fragments, pattern, 1, tests)})")
+    none = "filter(array(named_struct('domain', '', 'indicator', '', 'is_strong', false)), x -> false)"
+    return F.expr(f"coalesce(concat({', '.join(parts)}), {none})" if parts else none)
 
 
 def _points() -> Column:

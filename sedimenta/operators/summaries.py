@@ -12,14 +12,15 @@ from sedimenta.functions import paths, symbols, text
 from sedimenta.functions.cases import case, sql_string
 
 def with_symbols(scanned: DataFrame, languages: Iterable[str] = tuple(rules.LANGUAGE_SUFFIXES), column: str = "content_preview") -> DataFrame:
-    """Add ``lang``, ``symbols`` and ``parsed`` to each row."""
+    """Add ``lang``, ``symbols`` and ``parsed`` to each row. Only Python texts go to Python workers, the others are null there."""
     df = scanned.withColumn("lang", symbols.language(F.col("extension")))
     found = []
     for lang in languages:
-        test = F.col("lang") == lang
+        own = F.col("lang") == lang
         if lang == "python":
-            test = test & symbols.python_parses(F.col(column))
-        found.append((test, symbols.native_symbols(F.col(column), lang)))
+            found.append((own, symbols.python_symbols(F.when(own, F.col(column)))))
+        else:
+            found.append((own, symbols.native_symbols(F.col(column), lang)))
     df = df.withColumn("symbols", case(found, F.lit(None).cast(symbols.SYMBOL_TYPE)))
     return df.withColumn("parsed", F.col("symbols").isNotNull())
 

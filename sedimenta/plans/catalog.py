@@ -280,6 +280,16 @@ def doc_indicator_hits(spark, sf):
     return hits.groupBy("h.domain", "h.indicator").agg(F.count("*").alias("n_docs"))
 
 
+def planted_indicator_hits(spark, sf):
+    """Documents with an indicator behind each text: by itself, or as the end or the start of a longer word."""
+    words = list(dict.fromkeys(w.lower() for kinds in rules.DOMAIN_INDICATORS.values() for ws in kinds for w in ws))
+    word = F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("doc_id") % len(words) + 1).cast("int"))
+    form = F.when(F.col("doc_id") % 7 < 4, F.format_string(" %s.", word)).when(F.col("doc_id") % 7 == 4, F.concat(F.lit(" x"), word)).otherwise(F.concat(F.lit(" "), word, F.lit("x")))
+    docs = corpus.documents(spark, sf).select("doc_id", F.concat(F.lower("content"), form).alias("low"))
+    hits = docs.select(F.explode_outer(domain.indicator_hits("low")).alias("h")).filter(F.col("h").isNotNull())
+    return hits.groupBy("h.domain", "h.indicator").agg(F.count("*").alias("n_docs"))
+
+
 def page_indicator_hits(spark, sf):
     low = corpus.pages(spark, sf).select(F.lower("content").alias("low"))
     hits = low.select(F.explode_outer(domain.indicator_hits("low")).alias("h")).filter(F.col("h").isNotNull())
@@ -441,7 +451,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         retain_newest, retain_newest_by_source, module_rollup, url_module_rollup, dir_rollup, dir_tree, dir_tree_head,
         large_file_notes, project_summary, tech_items, tech_table, structural_summary,
         domain_evidence, domain_evidence_structure, domain_scores, detect_domain, winning_evidence,
-        doc_indicator_hits, page_indicator_hits, risk_notes, repo_audit, upgrade_plan, resolve_options, evidence_labels, special_section,
+        doc_indicator_hits, planted_indicator_hits, page_indicator_hits, risk_notes, repo_audit, upgrade_plan, resolve_options, evidence_labels, special_section,
         budget_pack, budget_pack_default, context_files, context_redaction, context_rows, report_lines,
         window_request_count, rate_limit_admit, rate_limit_minute, incremental_changed, incremental_refresh,
         stream_redact, stream_rate_limit,
