@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from sedimenta import rules
 from sedimenta.operators.skew import salted_join
+from sedimenta.session import written
 
 MICROS = 1_000_000
 
@@ -66,58 +68,182 @@ def micros(df: DataFrame, ts: str) -> Column:
     return seconds * MICROS + (F.date_part(F.lit("SECOND"), c) * MICROS).cast("bigint")
 
 
-def _with_runs(events: DataFrame, key: str, event_id: str, window_seconds: int) -> DataFrame:
-    """Add ``_run``: stretches of a key's events with no empty window between them.
+# cells of a window by which events are counted and blocks are cut
+CELLS = 16
+# windows before a block whose events a guess of its entering state looks at
+WARM_UP = 2
+BLOCK_EVENTS = 200_000
+ROUNDS = 6
 
-    After an idle window nothing admitted earlier counts, so runs are independent and one busy key can be worked
-    on in parallel. Runs come from the distinct (key, window number) cells, whose number is bounded by time.
+
+def _cells(timed: DataFrame, key: str, window_seconds: int, block_events: int) -> DataFrame:
+    """(key, _cell, _run, _block, _next): runs have no empty window inside, blocks hold about ``block_events`` events.
+
+    After an idle window nothing admitted earlier counts, so runs are independent. ``_next`` is the first cell of the
+    block behind. All of it comes from pre-aggregated counts of the (key, cell) pairs there are.
     """
-    width = window_seconds * MICROS
-    cell = F.floor(F.col("_us") / F.lit(width))
-    placed = events.withColumn("_cell", cell)
+    cells = timed.groupBy(key, "_cell").agg(F.count("*").alias("_n"))
     order = Window.partitionBy(key).orderBy("_cell")
-    cells = placed.select(key, "_cell").distinct().withColumn(
-        "_new", F.coalesce(F.col("_cell") - F.lag("_cell").over(order) > 1, F.lit(True)).cast("int")
-    )
-    runs = cells.select(key, "_cell", F.sum("_new").over(order).alias("_run"))
-    return salted_join(placed, runs, [key, "_cell"], [event_id]).drop("_cell")
+    # nothing for a whole window between the end of one cell and the start of the next
+    new = F.coalesce(F.col("_cell") - F.lag("_cell").over(order) > CELLS, F.lit(True)).cast("int")
+    runs = cells.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
+    inside = Window.partitionBy(key, "_run").orderBy("_cell")
+    before = F.coalesce(F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = runs.withColumn("_block", F.floor(before / F.lit(block_events)))
+    # one row a block, so that the block behind is the next row
+    starts = blocks.groupBy(key, "_run", "_block").agg(F.min("_cell").alias("_start"))
+    starts = starts.withColumn("_next", F.lead("_start").over(Window.partitionBy(key, "_run").orderBy("_block")))
+    starts = starts.withColumn("_follows", F.row_number().over(Window.partitionBy(key, "_run").orderBy("_block")))
+    return blocks.join(starts.drop("_start"), [key, "_run", "_block"]).select(key, "_cell", "_run", F.col("_follows").alias("_block"), "_next")
 
 
-def rate_limit_admit(
+def _walk_blocks(key: str, event_id: str, limit: int, window_seconds: int):
+    """Decisions of sorted blocks of events, and a row for each block with the states it was entered and left in.
+
+    Rows of one block: those before it (``_warm``) or the state it is entered in (``_enter``), then its events.
+    """
+    width = window_seconds * MICROS
+
+    def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, entered, first, mark = None, None, None, None, None
+
+        def summary() -> pd.DataFrame:
+            return pd.DataFrame({
+                key: [current[0]], "_run": [current[1]], "_block": [current[2]], event_id: [mark], "_us": [first], "admitted": [None], "retry_after": [None],
+                "_first": [first], "_entered": [entered], "_left": [state.times()],
+            })
+
+        for pdf in batches:
+            parts = [pdf[c].to_numpy() for c in (key, "_run", "_block")]
+            new = np.flatnonzero(np.r_[True, np.logical_or.reduce([p[1:] != p[:-1] for p in parts])]) if len(pdf) else []
+            us, warm, enter = pdf["_us"].to_numpy(), pdf["_warm"].to_numpy(), pdf["_enter"]
+            for start, end in zip(new, [*new[1:], len(pdf)]):
+                name = tuple(p[start] for p in parts)
+                if name != current:
+                    if current is not None and first is not None:
+                        yield summary()
+                    current, entered, first = name, None, None
+                    state = Admitted(limit, window_seconds)
+                if enter.iloc[start] is not None:
+                    state = Admitted(limit, window_seconds, [int(t) for t in enter.iloc[start]])
+                    start += 1
+                own = start + int(np.argmin(warm[start:end])) if start < end and not warm[start:end].all() else end
+                if own > start:
+                    state.walk(us[start:own])
+                if own == end:
+                    continue
+                if first is None:
+                    first, mark = int(us[own]), pdf[event_id].iloc[own]
+                    entered = [t for t in state.times() if t >= first - width]
+                admitted, wait = state.walk(us[own:end])
+                out = pdf.iloc[own:end][[key, "_run", "_block", event_id, "_us"]]
+                none = np.full(len(out), None)
+                yield out.assign(admitted=admitted, retry_after=wait, _first=none, _entered=none, _left=none)
+        if current is not None and first is not None:
+            yield summary()
+
+    return admit
+
+
+@dataclass
+class Admission:
+    """Decisions, and what finding them took: rounds, blocks run again, and runs that were finished in one piece."""
+
+    rows: DataFrame
+    rounds: int = 0
+    reruns: int = 0
+    in_sequence: int = 0
+
+
+def admission(
     events: DataFrame, key: str, ts: str, event_id: str, limit: object = rules.RATE_LIMIT,
-    window_seconds: int = rules.RATE_WINDOW_SECONDS,
-) -> DataFrame:
+    window_seconds: int = rules.RATE_WINDOW_SECONDS, block_events: int = BLOCK_EVENTS, rounds: int = ROUNDS,
+) -> Admission:
     """(key, event_id, admitted, retry_after): admit while fewer than ``limit`` admitted events lie in the window.
 
-    Each decision depends on earlier ones, so a run of events is read in order by one task. It is streamed batch by
-    batch with at most ``limit`` times kept: neither a key nor a run is ever gathered in memory.
+    Each decision depends on earlier ones, so a run of events without an idle window is one sequence. Runs of more than
+    ``block_events`` events are cut into blocks that start from a guess, the state after the two windows before them
+    taken by themselves. A block whose guess is not the state its predecessor left is run again from that state, until
+    all agree; what still differs after ``rounds`` rounds is read in order, one task a run. At most ``limit`` times
+    are held, and events are streamed; a key is never gathered. Events without key or time get no decision.
     """
     limit = checked_limit(limit)
     timed = events.select(key, event_id, micros(events, ts).alias("_us"))
     if limit <= 0:
-        return timed.select(key, event_id, F.lit(True).alias("admitted"), F.lit(0).cast("bigint").alias("retry_after"))
-    ordered = _with_runs(timed, key, event_id, window_seconds).repartition(key, "_run").sortWithinPartitions(
-        key, "_run", "_us", event_id
+        return Admission(timed.select(key, event_id, F.lit(True).alias("admitted"), F.lit(0).cast("bigint").alias("retry_after")))
+    width = window_seconds * MICROS
+    timed = timed.withColumn("_cell", F.floor(F.col("_us") / F.lit(width // CELLS)))
+    cells = _cells(timed, key, window_seconds, block_events)
+    cut = cells.filter(F.col("_next").isNotNull()).limit(1).count() > 0
+    placed = salted_join(timed, cells, [key, "_cell"], [event_id])
+    own = F.struct(F.col("_block"), F.lit(False).alias("warm"))
+    ahead = F.struct((F.col("_block") + 1).alias("_block"), F.lit(True).alias("warm"))
+    near = F.col("_next") - F.col("_cell") <= WARM_UP * CELLS
+    copies = F.explode(F.when(near, F.array(own, ahead)).otherwise(F.array(own))) if cut else F.explode(F.array(own))
+    rows = placed.select(key, "_run", event_id, "_us", copies.alias("c")).select(
+        key, "_run", F.col("c._block").alias("_block"), event_id, "_us", F.col("c.warm").alias("_warm"), F.lit(None).cast("array<bigint>").alias("_enter")
     )
-
-    def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for pdf in batches:
-            keys, runs, us = pdf[key].to_numpy(), pdf["_run"].to_numpy(), pdf["_us"].to_numpy()
-            new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (runs[1:] != runs[:-1])])
-            parts = []
-            for start, end in zip(new, [*new[1:], len(us)]):
-                if (keys[start], runs[start]) != current:
-                    current, state = (keys[start], runs[start]), Admitted(limit, window_seconds)
-                parts.append(state.walk(us[start:end]))
-            admitted, wait = (np.concatenate(c) for c in zip(*parts)) if parts else ([], [])
-            yield pd.DataFrame({key: pdf[key], event_id: pdf[event_id], "admitted": admitted, "retry_after": wait})
-
     schema = T.StructType([
-        events.schema[key], events.schema[event_id],
-        T.StructField("admitted", T.BooleanType()), T.StructField("retry_after", T.LongType()),
+        events.schema[key], T.StructField("_run", T.LongType()), T.StructField("_block", T.LongType()), T.StructField(event_id, events.schema[event_id].dataType),
+        T.StructField("_us", T.LongType()), T.StructField("admitted", T.BooleanType()), T.StructField("retry_after", T.LongType()),
+        T.StructField("_first", T.LongType()), T.StructField("_entered", T.ArrayType(T.LongType())), T.StructField("_left", T.ArrayType(T.LongType())),
     ])
-    return ordered.mapInPandas(admit, schema)
+    names = [key, "_run", "_block"]
+    walk = _walk_blocks(key, event_id, limit, window_seconds)
+    # a state comes before the events of its block
+    in_order = lambda df: df.repartition(*names).sortWithinPartitions(*names, F.col("_enter").isNull(), "_us", event_id).mapInPandas(walk, schema)
+    decided = lambda df: df.filter("admitted IS NOT NULL")
+    out = [key, event_id, "admitted", "retry_after"]
+    if not cut:
+        return Admission(decided(in_order(rows)).select(*out))
+
+    done = Admission(None)
+    tables = [written(in_order(rows), "admitted")]
+    states = written(tables[0].filter("_first IS NOT NULL").select(*names, event_id, "_first", "_entered", "_left"), "admission-states")
+    latest = states.select(*names, F.lit(0).alias("_round"))
+    while True:
+        before = states.select(key, "_run", (F.col("_block") + 1).alias("_block"), F.col("_left").alias("_came"))
+        came = F.filter("_came", lambda t: t >= F.col("_first") - width)
+        met = states.join(before, names).withColumn("_enter", came)
+        wrong = written(met.filter(F.col("_enter") != F.col("_entered")).select(*names, event_id, "_enter"), "admission-wrong")
+        n = wrong.count()
+        if not n:
+            break
+        done.rounds += 1
+        last = done.rounds > rounds
+        if last:
+            # all from the first wrong block of a run on, as one block that is entered in a state that is known
+            wrong = wrong.groupBy(key, "_run").agg(F.min(F.struct("_block", event_id, "_enter")).alias("w")).select(key, "_run", "w.*")
+            again = tables[0].filter("admitted IS NOT NULL").select(*names, event_id, "_us").join(wrong.select(key, "_run", F.col("_block").alias("_from")), [key, "_run"]).filter("_block >= _from")
+            again = again.drop("_block").withColumnRenamed("_from", "_block")
+            done.in_sequence = wrong.count()
+        else:
+            again = tables[0].filter("admitted IS NOT NULL").select(*names, event_id, "_us").join(wrong.select(*names), names)
+            done.reruns += n
+        again = again.select(*names, event_id, "_us", F.lit(False).alias("_warm"), F.lit(None).cast("array<bigint>").alias("_enter"))
+        heads = wrong.select(*names, event_id, F.lit(0).cast("bigint").alias("_us"), F.lit(False).alias("_warm"), "_enter")
+        tables.append(written(in_order(again.unionByName(heads)), "admitted"))
+        if last:
+            first = wrong.select(key, "_run", F.col("_block").alias("_from"))
+            kept = latest.join(first, [key, "_run"], "left").filter("_from IS NULL OR _block < _from").drop("_from")
+            latest = kept.unionByName(wrong.select(*names, F.lit(done.rounds).alias("_round")))
+            break
+        fresh = tables[-1].filter("_first IS NOT NULL").select(*names, event_id, "_first", "_entered", "_left")
+        states = written(states.join(wrong.select(*names), names, "left_anti").unionByName(fresh), "admission-states")
+        latest = written(latest.join(wrong.select(*names), names, "left_anti").unionByName(wrong.select(*names, F.lit(done.rounds).alias("_round"))), "admission-latest")
+    parts = [decided(t).join(latest.filter(F.col("_round") == k).select(*names), names, "left_semi").select(*out) for k, t in enumerate(tables)]
+    done.rows = parts[0]
+    for part in parts[1:]:
+        done.rows = done.rows.unionByName(part)
+    return done
+
+
+def rate_limit_admit(
+    events: DataFrame, key: str, ts: str, event_id: str, limit: object = rules.RATE_LIMIT,
+    window_seconds: int = rules.RATE_WINDOW_SECONDS, block_events: int = BLOCK_EVENTS,
+) -> DataFrame:
+    """The decisions of ``admission`` alone."""
+    return admission(events, key, ts, event_id, limit, window_seconds, block_events).rows
 
 
 def window_request_count(

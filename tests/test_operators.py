@@ -102,6 +102,30 @@ def test_admission_equals_loop(spark, limit, window):
     assert got == (plain_admit(rows, limit, window) if limit else {i: (True, 0) for _, _, i in rows})
 
 
+@pytest.mark.parametrize("limit,window,block_events,rounds", [(1, 10, 40, 6), (3, 60, 100, 6), (60, 60, 150, 6), (2, 7, 30, 1), (3, 60, 1, 0)])
+def test_one_key_that_is_never_idle(spark, limit, window, block_events, rounds):
+    """All events of one key without an empty window: worked on in blocks, equal to the loop."""
+    rng = random.Random(limit)
+    at, rows = 0.0, []
+    for i in range(2500):
+        at += rng.choice([0, 0.25, 0.5, 1, 2, 4])
+        rows.append((1, at, i))
+    rows += [(2, float(k), 5000 + k) for k in range(5)]
+    done = ratelimit.admission(events(spark, rows).repartition(4), "user", "ts", "id", limit, window, block_events, rounds)
+    got = done.rows.collect()
+    assert len(got) == len(rows) and {r.id: (r.admitted, r.retry_after) for r in got} == plain_admit(rows, limit, window)
+    assert done.rounds <= rounds + 1 and (done.in_sequence <= 1)
+    if rounds == 0:
+        assert done.in_sequence == 1 and done.reruns == 0
+
+
+def test_blocks_that_agree_are_not_run_again(spark):
+    """Nothing is refused, so the guess from the windows before a block is right and one round does."""
+    rows = [(1, float(k), k) for k in range(3000)]
+    done = ratelimit.admission(events(spark, rows), "user", "ts", "id", 60, 50, 100)
+    assert done.rows.filter("admitted").count() == 3000 and (done.rounds, done.reruns, done.in_sequence) == (0, 0, 0)
+
+
 def test_malformed_limit():
     assert ratelimit.checked_limit("abc") == 60 and ratelimit.checked_limit(None) == 60 and ratelimit.checked_limit("3") == 3
 
