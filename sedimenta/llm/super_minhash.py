@@ -92,13 +92,13 @@ def _key(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes())
 
 
-def described_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def described_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
     """(id, version, key, n, bands, sketch) of every text; key, bands and sketch are null for texts without words."""
     def columns(batches):
         hashes = worker_value(Hashes)
         # the larger part of a text's memory are its words' hashes, several times over
         for batch in (part for b in batches for part in slices(b, 2, 2_000_000)):
-            found, sizes = shingle_sets(batch.column(2), hashes)
+            found, sizes = shingle_sets(batch.column(2), hashes, words)
             some = sizes > 0
             ends = np.cumsum(sizes)
             parts = [found[e - n:e] for e, n in zip(ends, sizes) if n]
@@ -127,7 +127,7 @@ def _bitmap(versions: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, text_col: str, bits: int):
+def sets_of(docs: DataFrame, nodes: DataFrame, text_col: str, bits: int = FILTER_BITS, words: int = WORDS):
     """Function from keys to (key, hashes): a second pass over the texts, of which a bitmap lets few through."""
     def of(keys: DataFrame) -> DataFrame:
         spark = docs.sparkSession
@@ -146,7 +146,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, text_col: str, bits: int):
                 seen.update(versions[k] for k in fresh)
                 if not fresh:
                     continue
-                found, sizes = shingle_sets(batch.column(1).take(pa.array(fresh, pa.int64())), hashes)
+                found, sizes = shingle_sets(batch.column(1).take(pa.array(fresh, pa.int64())), hashes, words)
                 parts = [p for p in np.split(found, np.cumsum(sizes)[:-1]) if len(p)]
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in parts])], pa.int32()), pa.array(found.view(np.int64), pa.int64()))
                 yield np.array([_key(p) for p in parts], np.uint64).view(np.int64), lists
@@ -158,6 +158,13 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, text_col: str, bits: int):
     return of
 
 
+def distinct_sets(each: DataFrame, id_col: str) -> DataFrame:
+    """One row for each different set of ``described_sets``, with the smallest id that has it (``least``)."""
+    return each.filter("key is not null").groupBy("key").agg(
+        F.min(id_col).alias("least"), F.min("version").alias("version"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+    )
+
+
 def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per document: (id, n_shingles, component_id, kept), linked at a Jaccard similarity of ``percent`` or more.
 
@@ -168,11 +175,8 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     then. An empty table gives an empty result; other columns are ignored.
     """
     each = written(described_sets(docs, id_col, text_col), "minhash")
-    some = each.filter("key is not null")
-    nodes = written(some.groupBy("key").agg(
-        F.min(id_col).alias("least"), F.min("version").alias("version"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
-    ), "minhash-nodes")
-    roots = linked(nodes, _sets_of(docs, nodes, text_col, filter_bits), percent, "minhash")
+    nodes = written(distinct_sets(each, id_col), "minhash-nodes")
+    roots = linked(nodes, sets_of(docs, nodes, text_col, filter_bits), percent, "minhash")
     placed = nodes.select("key", "least").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     group_of = placed.join(least, "root").select("key", "component_id")

@@ -231,6 +231,22 @@ def test_private_keys_go_whole(spark):
     assert spans[4][:2] == (2, 1) and spans[3] == spans[5] == (0, 0, "")
 
 
+def jaccard_groups(texts):
+    """id -> smallest id that can be reached over pairs of a similarity of 0.8 or more, by all pairs."""
+    sets = {}
+    for i, text in texts.items():
+        words = (text or "").encode().lower().split()
+        sets[i] = {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))}
+    group = {i: i for i in texts}
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if g == old else g for i, g in group.items()}
+    return group
+
+
 def test_pipeline(spark):
     """Every stage keeps the columns of documents; what goes is what each operator reports on the stage's own input."""
     sf_dir = "/root/testdata/sf0.001"
@@ -242,9 +258,9 @@ def test_pipeline(spark):
         if name == "language_id":
             gone = set()
         elif name == "simhash_near_dedup":
-            from sedimenta.llm.simhash import near_duplicates
-
-            gone = {r.doc_id for r in near_duplicates(docs).collect() if r.doc_id != r.component_id}
+            # plain Jaccard similarity of five-word shingles
+            kept = jaccard_groups(left)
+            gone = {i for i in left if kept[i] != i}
             assert gone
         elif name == "benchmark_decontamination":
             gone = {r.doc_id for r in benchmarks.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
