@@ -740,18 +740,18 @@ def budget(per_item: int, total: int) -> str:
 FROM (SELECT *, coalesce(sum(least(length(text), {per_item})) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prev FROM documents)"""
 
 
-def admitted(limit: int, window: int) -> str:
+def admitted(limit: int, window: int, source: str = "events", columns: str = "user_id, event_id") -> str:
     w = window * 1_000_000
     alive = f"list_filter(a.taken, lambda x: x >= o.us - {w})"
     wait = f"greatest(1, trunc({window + 1} - (o.us - ({alive})[1]) / 1000000.0::DOUBLE)::BIGINT)"
     return with_([
-        ("ordered", "SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events"),
+        ("ordered", "SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM " + source),
         ("walk", f"""SELECT user_id, event_id, rn, [us] AS taken, true AS admitted, 0::BIGINT AS retry_after FROM ordered WHERE rn = 1
 UNION ALL SELECT o.user_id, o.event_id, o.rn,
   CASE WHEN len({alive}) < {limit} THEN list_append({alive}, o.us) ELSE {alive} END, len({alive}) < {limit},
   CASE WHEN len({alive}) < {limit} THEN 0 ELSE {wait} END
 FROM walk a JOIN ordered o ON o.user_id = a.user_id AND o.rn = a.rn + 1"""),
-    ], "SELECT user_id, event_id, admitted, retry_after FROM walk", recursive=True)
+    ], f"SELECT {columns}, admitted, retry_after FROM walk", recursive=True)
 
 
 def retained(source: str, keys: str, newest: str, max_rows: int, batch: int, columns: str) -> str:
@@ -888,7 +888,13 @@ def statements() -> dict[str, str]:
     s["window_request_count"] = """SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW) AS n_requests FROM events"""
     s["rate_limit_admit"] = admitted(2, 86_400)
     s["rate_limit_minute"] = admitted(60, 60)
+    s["rate_limit_one_key"] = admitted(50, 86_400, "(SELECT 0 AS user_id, event_id, ts FROM events)", "event_id")
     s["stream_rate_limit"] = s["rate_limit_admit"]
+    kept = """SELECT source AS project, substr(sha256(doc_id || '.md'), 1, 12) AS path_hash, substr(sha256(doc_id || '.md:' || (n_chars + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) || ':0'), 1, 16) AS key,
+ CASE WHEN doc_id % 2 = 0 THEN 'second' ELSE 'first' END AS summary FROM documents SEMI JOIN labels USING (doc_id)"""
+    s["summary_cache"] = kept
+    s["clear_cache"] = f"""WITH kept AS ({kept}), n AS (SELECT project, count(*) AS rows_before FROM kept GROUP BY project)
+SELECT project, rows_before, CASE WHEN project < 'src2' THEN 0 ELSE rows_before END AS rows_after, (SELECT coalesce(sum(rows_before), 0)::BIGINT FROM n WHERE project < 'src2') AS removed FROM n"""
     s["incremental_changed"] = """SELECT source AS project, doc_id || '.md' AS path, doc_id, substr(sha256(doc_id || '.md'), 1, 12) AS path_hash
  FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
     s["incremental_refresh"] = """SELECT source AS project, doc_id || '.md' AS path, CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) THEN 'cached' ELSE 'fresh' END AS summary FROM documents d"""

@@ -11,12 +11,13 @@ from sedimenta import rules
 from sedimenta.functions import labels, paths, symbols, text
 from sedimenta.operators import cache, context, domain, notes, ranking, ratelimit, scan, summaries, tech, tree
 from sedimenta.plans.analysis import Analysis
-from sedimenta.session import scratch_path
+from sedimenta.session import scratch_path, written
 from sedimenta.sources import corpus
 from sedimenta.streaming import streams
 
 DAY = 86_400
 RATE_LIMIT_PER_DAY = 2
+ONE_KEY_LIMIT = 50
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
@@ -392,6 +393,13 @@ def rate_limit_admit(spark, sf):
     return ratelimit.rate_limit_admit(_events(spark, sf), "user_id", "ts", "event_id", RATE_LIMIT_PER_DAY, DAY)
 
 
+def rate_limit_one_key(spark, sf):
+    """All events under one key, so that it is never idle, in blocks of a fortieth of them."""
+    events = _events(spark, sf).select(F.lit(0).alias("user_id"), "ts", "event_id")
+    block = max(1, events.count() // 40)
+    return ratelimit.rate_limit_admit(events, "user_id", "ts", "event_id", ONE_KEY_LIMIT, DAY, block).select("event_id", "admitted", "retry_after")
+
+
 def rate_limit_minute(spark, sf):
     """The default: 60 requests in 60 seconds."""
     return ratelimit.rate_limit_admit(_events(spark, sf), "user_id", "ts", "event_id")
@@ -415,6 +423,31 @@ def incremental_refresh(spark, sf):
     return cache.refresh(docs, _labelled_cache(spark, sf, docs), "fast", describe).select("project", "path", "summary")
 
 
+def _kept_cache(spark, sf) -> cache.SummaryCache:
+    """A cache in which the labelled documents were described, and of those every second one once more after a change."""
+    store = cache.SummaryCache(spark, scratch_path(spark, "summary-cache"))
+    docs = corpus.documents(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id"), "doc_id", "left_semi")
+    store.save(cache.with_cache_key(docs, "fast").withColumn("summary", F.lit("first")))
+    later = docs.filter("doc_id % 2 = 0").withColumn("size", F.col("size") + 1)
+    store.save(cache.incremental_changed(later, store.read(), "fast").withColumn("summary", F.lit("second")))
+    return store
+
+
+def summary_cache(spark, sf):
+    return _kept_cache(spark, sf).read().select("project", "path_hash", "key", "summary")
+
+
+def clear_cache(spark, sf):
+    """Rows that clearing the sources before 'src2' removed, and those that are left, by source."""
+    store = _kept_cache(spark, sf)
+    before = store.read().groupBy("project").agg(F.count("*").alias("rows_before"))
+    before = written(before, "cache-before")
+    first = [r.project for r in before.select("project").filter("project < 'src2'").collect()]
+    removed = store.clear(first) if first else 0
+    after = store.read().groupBy("project").agg(F.count("*").alias("rows_after"))
+    return before.join(after, "project", "left").select("project", "rows_before", F.coalesce("rows_after", F.lit(0)).cast("bigint").alias("rows_after"), F.lit(removed).cast("bigint").alias("removed"))
+
+
 def _drained(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over everything that has arrived and read back what it wrote."""
     spark = stream.sparkSession
@@ -453,7 +486,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         domain_evidence, domain_evidence_structure, domain_scores, detect_domain, winning_evidence,
         doc_indicator_hits, planted_indicator_hits, page_indicator_hits, risk_notes, repo_audit, upgrade_plan, resolve_options, evidence_labels, special_section,
         budget_pack, budget_pack_default, context_files, context_redaction, context_rows, report_lines,
-        window_request_count, rate_limit_admit, rate_limit_minute, incremental_changed, incremental_refresh,
+        window_request_count, rate_limit_admit, rate_limit_minute, rate_limit_one_key, incremental_changed, incremental_refresh, summary_cache, clear_cache,
         stream_redact, stream_rate_limit,
     )
 }

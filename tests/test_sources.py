@@ -90,6 +90,40 @@ def test_incremental_cache(spark, make_files, tmp_path):
     assert store.clear() == 2 and store.read().count() == 0
 
 
+def test_cache_rewrites_touched_buckets_only(spark, make_files, tmp_path):
+    store = cache.SummaryCache(spark, str(tmp_path / "cache"), buckets=8)
+    describe = lambda df, s: cache.with_cache_key(df, "fast").withColumn("summary", F.lit(s))
+    many = {f"f{k}.py": "x" * k for k in range(60)}
+    store.save(describe(make_files(many, "one").unionByName(make_files(many, "two")), "old"))
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "cache" / "rows").rglob("*.parquet")}
+    before = files()
+    store.save(describe(make_files({"f7.py": "changed"}, "one"), "new"))
+    after = files()
+    # one bucket of one project has new files, all others the same ones
+    folder = lambda names: {n.rpartition("/")[0] for n in names}
+    assert len(folder(set(after) - set(before))) == 1 and folder(set(before) - set(after)) == folder(set(after) - set(before))
+    rows = store.read().groupBy("project", "summary").count().collect()
+    assert {(r.project, r.summary, r["count"]) for r in rows} == {("one", "old", 59), ("one", "new", 1), ("two", "old", 60)}
+    assert store.clear(["one"]) == 60 and {n: t for n, t in after.items() if n in files()} == files()
+    assert store.read().count() == 60 and store.clear(["one", "three"]) == 0
+
+
+def test_cache_after_a_job_that_died(spark, make_files, tmp_path, monkeypatch):
+    store = cache.SummaryCache(spark, str(tmp_path / "cache"))
+    describe = lambda df, s: cache.with_cache_key(df, "fast").withColumn("summary", F.lit(s))
+    store.save(describe(make_files({f"{k}.py": "x" for k in range(20)}), "old"))
+    # laid down, but the buckets not replaced, and one of them already gone
+    with monkeypatch.context() as m:
+        m.setattr(cache.SummaryCache, "_finish", lambda self: self._remove(next(str(p) for p in (tmp_path / "cache" / "rows").glob("part=*/bucket=*"))))
+        store.save(describe(make_files({f"{k}.py": "changed" for k in range(20)} | {"n.py": ""}), "new"))
+    found = cache.SummaryCache(spark, str(tmp_path / "cache")).read().groupBy("summary").count().collect()
+    assert {(r.summary, r["count"]) for r in found} == {("new", 21)}
+    # a half laid down save was never promised
+    (tmp_path / "cache" / "_ahead").mkdir()
+    (tmp_path / "cache" / "_ahead" / "part-0.parquet").write_bytes(b"half")
+    assert store.read().count() == 21 and store.clear() == 21 and store.read().count() == 0
+
+
 def drain(stream, tmp_path, name):
     out = str(tmp_path / name)
     query = stream.writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out)
@@ -114,6 +148,25 @@ def test_stream_admit_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in done.collect()} == {tuple(r) for r in batch.collect()}
 
 
+def test_stream_admit_of_a_hot_key(spark, tmp_path):
+    """One key with all events in each trigger, in chunks of a few rows and out of order."""
+    rows = [(1, 1000 + ((k * 7919) % 4000) / 4, k) for k in range(4000)] + [(2, 1005.0, 9000), (2, 1900.0, 9001)]
+    df = spark.createDataFrame(rows, "user int, at double, id int").select("user", "id", F.timestamp_micros((F.col("at") * 1_000_000).cast("bigint")).alias("ts"))
+    for part in (df.filter("ts < timestamp_seconds(1400)"), df.filter("ts >= timestamp_seconds(1400)")):
+        part.repartition(3).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, 100)
+    try:
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+        done = drain(streams.stream_admit(stream, "user", "ts", "id", 3, 60, delay="1 day"), tmp_path, "hot")
+    finally:
+        spark.conf.set(name, old)
+    batch = rate_limit_admit(df, "user", "ts", "id", 3, 60)
+    got = [tuple(r) for r in done.collect()]
+    assert len(got) == len(rows) and set(got) == {tuple(r) for r in batch.collect()}
+
+
 def test_incremental_stream(spark, folder, tmp_path):
     store = cache.SummaryCache(spark, str(tmp_path / "cache"))
     sink = streams.incremental_sink(store, "fast", lambda df: df.withColumn("summary", F.lit("s")))
