@@ -3,23 +3,53 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta import rules
 from sedimenta.functions import paths
+from sedimenta.operators import scan
 from sedimenta.operators.skew import top_rows
+from sedimenta.session import written
 
 
 def with_priority(scanned: DataFrame) -> DataFrame:
     return scanned.withColumn("priority_score", paths.priority_score(F.col("path")))
 
 
+def _best(paths_of: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` rows per project by score, ties by path. The rows carry no text."""
+    return top_rows(with_priority(paths_of), ["project"], [F.col("priority_score").desc(), F.col("path")], k)
+
+
 def top_files(scanned: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` readable files per project, ties by path."""
-    readable = with_priority(scanned.filter(F.col("skipped_reason").isNull()))
-    return top_rows(readable, ["project"], [F.col("priority_score").desc(), F.col("path")], k)
+    """Best ``k`` readable files per project of a scan, ties by path.
+
+    Only paths are ranked; the winners are then joined to their rows by project and path, which name a file.
+    """
+    rows = scanned.filter(F.col("skipped_reason").isNull())
+    best = _best(rows.select("project", "path"), k)
+    return rows.join(_renamed(best), _same_file(rows)).drop("_project", "_path")
+
+
+def top_files_of(files: DataFrame, k: int, exclude: Sequence[str] = (), max_chars: int | None = None) -> DataFrame:
+    """The rows of ``top_files`` over ``scan`` straight from files: ranked by path first, so that only the texts of at
+    most ``k`` files per project are truncated and redacted."""
+    # written, so that the plan of the files stands once in what follows
+    best = written(_best(scan.readable(files, exclude), k), "winners")
+    given = best.select(F.col("project").alias("_project"), F.col("given").alias("_path"))
+    rows = scan.scanned_files(files.join(given, _same_file(files), "left_semi"), exclude, max_chars)
+    return rows.join(_renamed(best.drop("given")), _same_file(rows)).drop("_project", "_path")
+
+
+def _renamed(best: DataFrame) -> DataFrame:
+    return best.withColumnsRenamed({"project": "_project", "path": "_path"})
+
+
+def _same_file(rows: DataFrame):
+    return rows["project"].eqNullSafe(F.col("_project")) & (rows["path"] == F.col("_path"))
 
 
 def enrichment_candidates(selected: DataFrame, k: int) -> DataFrame:

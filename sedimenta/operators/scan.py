@@ -37,6 +37,14 @@ def pruned_folders(files: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def readable(files: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
+    """(project, given, path) of the files whose text is kept; ``given`` is the path as the table has it."""
+    located = files.select("project", F.col("path").alias("given"), paths.normalized(F.col("path")).alias("path"), F.col("content").isNotNull().alias("_there"))
+    return located.filter(
+        F.col("_there") & (paths.ignored_prefix(F.col("path"), exclude) == "") & paths.skip_reason(F.col("path")).isNull()
+    ).drop("_there")
+
+
 def scan(
     files: DataFrame,
     exclude: Sequence[str] = (),
@@ -49,6 +57,16 @@ def scan(
     files is dropped before any pattern runs. ``max_chars=None`` keeps whole texts; a mode's limit keeps head
     and tail. A file whose content is null could not be read and becomes a ``read_error`` row.
     """
+    none_found = F.array().cast("array<struct<ord:int,finding_type:string,count:bigint>>")
+    folders = pruned_folders(files, exclude).select(
+        "*", F.lit(None).cast("string").alias("content_preview"), F.lit(False).alias("redacted"),
+        none_found.alias("findings"),
+    )
+    return scanned_files(files, exclude, max_chars, secret_rules).unionByName(folders)
+
+
+def scanned_files(files: DataFrame, exclude: Sequence[str] = (), max_chars: int | None = None, secret_rules=None) -> DataFrame:
+    """The rows of ``scan`` that are files, without those of pruned folders."""
     located = files.withColumn("path", paths.normalized(F.col("path")))
     located = located.filter(paths.ignored_prefix(F.col("path"), exclude) == "")
     message = F.coalesce("read_error", F.lit("unreadable")) if "read_error" in files.columns else F.lit("unreadable")
@@ -61,16 +79,10 @@ def scan(
         F.col("skipped_reason").isNull(), text.head_tail_truncate(F.col("content"), max_chars)
     )).drop("content")
     kept = text.with_redaction(kept, "_content", secret_rules)
-    none_found = F.array().cast("array<struct<ord:int,finding_type:string,count:bigint>>")
-    kept = kept.select(
+    return kept.select(
         "project", "path", "extension", "size", "skipped_reason",
         F.col("redacted_text").alias("content_preview"), (F.size("findings") > 0).alias("redacted"), "findings",
     )
-    folders = pruned_folders(files, exclude).select(
-        "*", F.lit(None).cast("string").alias("content_preview"), F.lit(False).alias("redacted"),
-        none_found.alias("findings"),
-    )
-    return kept.unionByName(folders)
 
 
 def findings(scanned: DataFrame) -> DataFrame:

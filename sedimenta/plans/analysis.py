@@ -78,7 +78,10 @@ class Analysis:
 
     @cached_property
     def selected(self) -> DataFrame:
-        return ranking.top_files(self.scanned, self.max_files)
+        # a scan that is written anyway is read for its winners; else only the winners are scanned
+        if self.prepared is not None:
+            return ranking.top_files(self.scanned, self.max_files)
+        return ranking.top_files_of(self.files, self.max_files, self.exclude, self.max_chars)
 
     @cached_property
     def tech_items(self) -> DataFrame:
