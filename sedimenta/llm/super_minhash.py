@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import in_columns, slices, table, words_of, worker_value
+from sedimenta.llm.common import in_columns, slices, table, words_of
 from sedimenta.llm.linked_sets import linked, parity_sketch
-from sedimenta.llm.sketches import Hashes, mixed
+from sedimenta.llm.sketches import mixed
 from sedimenta.session import written
 
 WORDS, PERCENT = 2, 80
@@ -69,13 +69,15 @@ def bands_of(hashes: np.ndarray, sizes: np.ndarray, at_once: int = 2048) -> np.n
     )])
 
 
-def shingle_sets(texts: pa.Array, hashes: dict, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(distinct hashes of each text's word shingles one text after the other, sizes); A-Z in lower case.
 
     A text with fewer words than a shingle is one shingle; a text without words has an empty set.
     """
+    import xxhash
+
     numbers, ends, names = words_of(pc.ascii_lower(texts))
-    coded = np.fromiter((hashes[w.encode()] for w in names), np.uint64, len(names))[numbers] if len(names) else np.zeros(0, np.uint64)
+    coded = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))[numbers] if len(names) else np.zeros(0, np.uint64)
     h, left = np.zeros(len(coded), np.uint64), np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(len(coded))
     for k in range(words):
         more = np.r_[coded[k:], np.zeros(min(k, len(coded)), np.uint64)]
@@ -95,10 +97,9 @@ def _key(hashes: np.ndarray) -> int:
 def described_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
     """(id, version, key, n, bands, sketch) of every text; key, bands and sketch are null for texts without words."""
     def columns(batches):
-        hashes = worker_value(Hashes)
         # the larger part of a text's memory are its words' hashes, several times over
         for batch in (part for b in batches for part in slices(b, 2, 2_000_000)):
-            found, sizes = shingle_sets(batch.column(2), hashes, words)
+            found, sizes = shingle_sets(batch.column(2), words)
             some = sizes > 0
             ends = np.cumsum(sizes)
             parts = [found[e - n:e] for e, n in zip(ends, sizes) if n]
@@ -134,7 +135,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, text_col: str, bits: int = FILTER
         bitmap = spark.sparkContext.broadcast(_bitmap(nodes.join(keys, "key", "left_semi").select("version"), bits))
 
         def columns(batches):
-            hashes, seen = worker_value(Hashes), set()
+            seen = set()
             for batch in (part for b in batches for part in slices(b, 1, 2_000_000)):
                 at = np.mod(batch.column(0).to_numpy(), bits)
                 there = np.flatnonzero((bitmap.value[at >> 3] >> (at & 7)) & 1)
@@ -146,7 +147,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, text_col: str, bits: int = FILTER
                 seen.update(versions[k] for k in fresh)
                 if not fresh:
                     continue
-                found, sizes = shingle_sets(batch.column(1).take(pa.array(fresh, pa.int64())), hashes, words)
+                found, sizes = shingle_sets(batch.column(1).take(pa.array(fresh, pa.int64())), words)
                 parts = [p for p in np.split(found, np.cumsum(sizes)[:-1]) if len(p)]
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in parts])], pa.int32()), pa.array(found.view(np.int64), pa.int64()))
                 yield np.array([_key(p) for p in parts], np.uint64).view(np.int64), lists

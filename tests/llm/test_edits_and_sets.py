@@ -13,7 +13,6 @@ from sedimenta.llm import conversation_repair as repair
 from sedimenta.llm import fill_in_middle as fim
 from sedimenta.llm import linked_sets
 from sedimenta.llm import super_minhash as minhash
-from sedimenta.llm.sketches import Hashes
 
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
@@ -184,7 +183,7 @@ def test_minhash_query(spark, sf_dir):
 
 
 def test_shingles_of_short_texts():
-    found, sizes = minhash.shingle_sets(pa.array(["A b c a B", "", "x", " \t", "a  b"]), Hashes())
+    found, sizes = minhash.shingle_sets(pa.array(["A b c a B", "", "x", " \t", "a  b"]))
     assert sizes.tolist() == [3, 0, 1, 0, 1] and found[-1] in found[:3]
 
 
