@@ -21,6 +21,19 @@ def decode_text(content: Column) -> Column:
     return F.regexp_replace(valid, "\r\n?", "\n")
 
 
+# objects of names and versions in the manifests that are read
+MANIFEST_FIELDS = ("dependencies", "devDependencies", "require", "require-dev")
+
+
+def parse_manifest(content: Column, fields: Sequence[str] = MANIFEST_FIELDS) -> Column:
+    """Struct of maps from the named objects of a JSON manifest; of a key that occurs twice the last one counts.
+
+    Null for text that is not one whole JSON object: inside brackets it would not be a list of one element.
+    """
+    whole = (F.json_array_length(F.concat(F.lit("["), content, F.lit("]"))) == 1) & F.trim(F.regexp_replace(content, r"\s+$", "")).endswith("}")
+    return F.when(whole, F.from_json(content, ", ".join(f"`{f}` map<string,string>" for f in fields)))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, STRIP, "")
 

@@ -23,7 +23,7 @@ def budget_pack(
     rows: DataFrame, group: Sequence[str], order: str, text: str = "text",
     per_item: int = rules.PREVIEW_ITEM_CHARS, total: int = rules.PREVIEW_TOTAL_CHARS,
 ) -> DataFrame:
-    """Greedy preview budget in ``order`` (a whole number, unique in the group).
+    """Greedy preview budget in ``order`` (unique in the group).
 
     Adds ``preview`` and ``truncated``. With c = least(length, per_item) and prev = sum of earlier c, a row takes
     greatest(0, least(c, total - prev)) characters, so a prefix sum replaces the sequential loop. The sum is taken over

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimenta.session import written
+
 
 def salted_join(
     rows: DataFrame, per_key: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner", salts: int = 16
@@ -23,25 +25,28 @@ def salted_join(
 
 
 def prefix_sum(
-    df: DataFrame, group: Sequence[str], order: str, value: str, name: str, block_rows: int = 50_000
+    df: DataFrame, group: Sequence[str], order: str | Sequence[str], value: str, name: str, parts: int | None = None
 ) -> DataFrame:
     """Add ``name`` = sum of ``value`` over the earlier rows of the group, without one task per group.
 
-    ``order`` is a whole number, unique in the group. Blocks of consecutive numbers get their totals first
-    (pre-aggregated on the map side), a window over the few block rows turns those into offsets, and the rows
-    only need a running sum inside their own block. One hot group is thus spread over all its blocks.
+    ``order`` may be any columns that can be sorted: sparse or negative numbers, text, times; rows of equal order follow
+    each other in some order. Rows are dealt into ``parts`` ranges of (group, order), and written, so that a row's range is
+    fixed. The sums of a group's ranges, at most as many as there are ranges, become offsets; rows only need a running
+    sum inside their own range. One hot group is thus spread over its ranges, however its numbers lie.
     """
-    block = F.floor(F.col(order) / block_rows)
-    rows = df.withColumn("_block", block)
-    totals = rows.groupBy(*group, "_block").agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    order = [order] if isinstance(order, str) else list(order)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(parts, *group, *order).withColumn("_range", F.spark_partition_id()), "prefix-sum")
+    totals = rows.groupBy(*group, "_range").agg(F.sum(value).alias("_total"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(g).alias(f"_of_{g}") for g in group], F.col("_range").alias("_of"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group]
     return (
         rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(offsets, [*group, "_block"])
+        .join(offsets, [F.col("_range") == F.col("_of"), *same])
         .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_block", "_inside", "_offset")
+        .drop("_range", "_inside", "_offset", "_of", *[f"_of_{g}" for g in group])
     )
 
 

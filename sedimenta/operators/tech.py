@@ -33,14 +33,9 @@ def _with(prefix: str, vocabulary: Iterable[str]) -> list[str]:
 
 
 def _dependency_names(content: Column, *fields: str) -> Column:
-    """Keys of the named objects of a JSON manifest; of a key that occurs twice the last one counts.
-
-    Text that is not one whole JSON object gives an empty array: inside brackets it would not be a list of one element.
-    """
-    whole = (F.json_array_length(F.concat(F.lit("["), content, F.lit("]"))) == 1) & F.trim(F.regexp_replace(content, r"\s+$", "")).endswith("}")
-    parsed = F.from_json(content, ", ".join(f"`{f}` map<string,string>" for f in fields))
-    keys = [F.coalesce(F.map_keys(parsed[f]), F.array().cast("array<string>")) for f in fields]
-    return F.when(whole, F.array_distinct(F.concat(*keys))).otherwise(F.array().cast("array<string>"))
+    """Keys of the named objects of a JSON manifest, each once."""
+    parsed = text.parse_manifest(content, fields)
+    return F.array_distinct(F.concat(*[F.coalesce(F.map_keys(parsed[f]), F.array().cast("array<string>")) for f in fields]))
 
 
 def _kept(names: Column, prefix: str, vocabulary: set[str]) -> Column:

@@ -9,7 +9,6 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sedimenta.functions import paths
 from sedimenta.functions.text import decode_text
@@ -20,14 +19,6 @@ MANIFESTS = (
     "build.gradle.kts", "docker-compose.yml", "docker-compose.yaml",
 )
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-DEPENDENCIES = T.MapType(T.StringType(), T.StringType())
-MANIFEST_SCHEMA = T.StructType([
-    T.StructField("name", T.StringType()), T.StructField("dependencies", DEPENDENCIES),
-    T.StructField("devDependencies", DEPENDENCIES), T.StructField("require", DEPENDENCIES),
-    T.StructField("require-dev", DEPENDENCIES),
-])
-
-
 def _qualified(spark: SparkSession, root: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
@@ -133,11 +124,6 @@ def stream_files(spark: SparkSession, root: str, many_projects: bool = False, ma
     )
 
 
-def parse_manifest(content: Column) -> Column:
-    """Known fields of a JSON manifest; null fields for malformed input."""
-    return F.from_json(content, MANIFEST_SCHEMA)
-
-
 def checked_root(path: str) -> str:
     if not path or not path.strip():
         raise ValueError("a folder is required")

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sedimenta.functions import text
 from sedimenta.operators import cache, scan
 from sedimenta.operators.ratelimit import rate_limit_admit
 from sedimenta.plans.analysis import Analysis
@@ -45,9 +46,9 @@ def test_unreadable_file_is_a_row(spark, folder, monkeypatch):
 
 
 def test_parse_manifest(spark):
-    df = spark.createDataFrame([('{"dependencies": {"a": "1"}, "x": 2}',), ("{bad",), ("[]",)], "c string")
-    got = [r[0] for r in df.select(source.parse_manifest(F.col("c"))["dependencies"]).collect()]
-    assert got == [{"a": "1"}, None, None]
+    df = spark.createDataFrame([('{"dependencies": {"a": "1"}, "x": 2}',), ("{bad",), ("[]",), ("{} {}",)], "c string")
+    got = [r[0] for r in df.select(text.parse_manifest(F.col("c"))["dependencies"]).collect()]
+    assert got == [{"a": "1"}, None, None, None]
 
 
 def test_reports_are_complete_documents(spark, folder, tmp_path):
