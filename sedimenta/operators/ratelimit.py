@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -38,18 +39,31 @@ class Admitted:
         self._slots, self._count = [*times, *[0] * (limit - len(times))], len(times)
 
     def walk(self, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(admitted, seconds to wait) of ordered times in microseconds."""
-        limit, slots, width = self._limit, self._slots, self._seconds * MICROS
-        admitted, wait = np.ones(len(times), bool), np.zeros(len(times), np.int64)
-        for i, now in enumerate(times.tolist()):
-            at = self._count % limit
-            if self._count >= limit and slots[at] >= now - width:
-                admitted[i] = False
-                wait[i] = max(1, int(self._seconds + 1 - (now - slots[at]) / MICROS))
+        """(admitted, seconds to wait) of ordered times in microseconds. A stretch of refused events is one step."""
+        limit, slots, width, count = self._limit, self._slots, self._seconds * MICROS, self._count
+        at, n, i = times.tolist(), len(times), 0
+        first, behind, holding = [], [], []
+        while i < n:
+            now, place = at[i], count % limit
+            if count >= limit and slots[place] >= now - width:
+                first.append(i)
+                holding.append(slots[place])
+                i = bisect_right(at, slots[place] + width, i + 1)
+                behind.append(i)
             else:
-                slots[at] = now
-                self._count += 1
-        return admitted, wait
+                slots[place] = now
+                count += 1
+                i += 1
+        self._count = count
+        wait = np.zeros(n, np.int64)
+        if not first:
+            return np.ones(n, bool), wait
+        edges = np.zeros(n + 1, np.int8)
+        edges[first], edges[behind] = 1, -1
+        refused = np.cumsum(edges[:n], dtype=np.int8).astype(bool)
+        held = np.repeat(np.array(holding, np.int64), np.subtract(behind, first))
+        wait[refused] = np.maximum(1, (self._seconds + 1 - (times[refused] - held) / MICROS).astype(np.int64))
+        return ~refused, wait
 
     def times(self) -> list[int]:
         """Oldest first."""
@@ -97,35 +111,68 @@ def _cells(timed: DataFrame, key: str, window_seconds: int, block_events: int) -
     return blocks.join(starts.drop("_start"), [key, "_run", "_block"]).select(key, "_cell", "_run", F.col("_follows").alias("_block"), "_next")
 
 
+def _starts(parts: Sequence[np.ndarray]) -> np.ndarray:
+    """Where the sorted rows of another group begin."""
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([p[1:] != p[:-1] for p in parts])]) if len(parts[0]) else np.zeros(0, np.int64)
+
+
+def _walk_keys(key: str, event_id: str, limit: int, window_seconds: int):
+    """Decisions of events sorted by key, time and id; a batch of many short keys gives one batch."""
+    width = window_seconds * MICROS
+
+    def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for pdf in batches:
+            keys, us = pdf[key].to_numpy(), pdf["_us"].to_numpy()
+            n, new = len(pdf), _starts([keys])
+            admitted, wait = np.ones(n, bool), np.zeros(n, np.int64)
+            # only an event that has ``limit`` others of its key in the window before it can be refused
+            crowded = np.zeros(n, bool)
+            crowded[limit:] = (keys[limit:] == keys[:-limit]) & (us[:-limit] >= us[limit:] - width)
+            crowds = np.logical_or.reduceat(crowded, new) if n else crowded
+            for start, end, crowd in zip(new.tolist(), [*new[1:].tolist(), n], crowds.tolist()):
+                same = state is not None and keys[start] == current
+                if not (same or crowd or end == n):
+                    continue
+                if not same:
+                    current, state = keys[start], Admitted(limit, window_seconds)
+                admitted[start:end], wait[start:end] = state.walk(us[start:end])
+            yield pdf[[key, event_id]].assign(admitted=admitted, retry_after=wait)
+
+    return admit
+
+
 def _walk_blocks(key: str, event_id: str, limit: int, window_seconds: int):
     """Decisions of sorted blocks of events, and a row for each block with the states it was entered and left in.
 
     Rows of one block: those before it (``_warm``) or the state it is entered in (``_enter``), then its events.
     """
     width = window_seconds * MICROS
+    names = [key, "_run", "_block", event_id, "_us"]
 
     def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, entered, first, mark = None, None, None, None, None
+        current, state, entered, first, mark, closed = None, None, None, None, None, []
 
-        def summary() -> pd.DataFrame:
-            return pd.DataFrame({
-                key: [current[0]], "_run": [current[1]], "_block": [current[2]], event_id: [mark], "_us": [first], "admitted": [None], "retry_after": [None],
-                "_first": [first], "_entered": [entered], "_left": [state.times()],
-            })
+        def summaries() -> pd.DataFrame:
+            rows = pd.DataFrame([(*name, mark, first) for name, mark, first, *_ in closed], columns=names)
+            rows = rows.assign(admitted=None, retry_after=None, _first=rows["_us"], _entered=[c[3] for c in closed], _left=[c[4] for c in closed])
+            closed.clear()
+            return rows
 
         for pdf in batches:
             parts = [pdf[c].to_numpy() for c in (key, "_run", "_block")]
-            new = np.flatnonzero(np.r_[True, np.logical_or.reduce([p[1:] != p[:-1] for p in parts])]) if len(pdf) else []
-            us, warm, enter = pdf["_us"].to_numpy(), pdf["_warm"].to_numpy(), pdf["_enter"]
-            for start, end in zip(new, [*new[1:], len(pdf)]):
+            new, n = _starts(parts), len(pdf)
+            us, warm, enter, ids = (pdf[c].to_numpy() for c in ("_us", "_warm", "_enter", event_id))
+            admitted, wait, decided = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, bool)
+            for start, end in zip(new.tolist(), [*new[1:].tolist(), n]):
                 name = tuple(p[start] for p in parts)
                 if name != current:
                     if current is not None and first is not None:
-                        yield summary()
+                        closed.append((current, mark, first, entered, state.times()))
                     current, entered, first = name, None, None
                     state = Admitted(limit, window_seconds)
-                if enter.iloc[start] is not None:
-                    state = Admitted(limit, window_seconds, [int(t) for t in enter.iloc[start]])
+                if enter[start] is not None:
+                    state = Admitted(limit, window_seconds, [int(t) for t in enter[start]])
                     start += 1
                 own = start + int(np.argmin(warm[start:end])) if start < end and not warm[start:end].all() else end
                 if own > start:
@@ -133,18 +180,49 @@ def _walk_blocks(key: str, event_id: str, limit: int, window_seconds: int):
                 if own == end:
                     continue
                 if first is None:
-                    first, mark = int(us[own]), pdf[event_id].iloc[own]
+                    first, mark = int(us[own]), ids[own]
                     entered = [t for t in state.times() if t >= first - width]
-                admitted, wait = state.walk(us[own:end])
-                out = pdf.iloc[own:end][[key, "_run", "_block", event_id, "_us"]]
-                none = np.full(len(out), None)
-                yield out.assign(admitted=admitted, retry_after=wait, _first=none, _entered=none, _left=none)
+                admitted[own:end], wait[own:end] = state.walk(us[own:end])
+                decided[own:end] = True
+            out = pdf.loc[decided, names]
+            none = np.full(len(out), None)
+            yield out.assign(admitted=admitted[decided], retry_after=wait[decided], _first=none, _entered=none, _left=none)
+            if closed:
+                yield summaries()
         if current is not None and first is not None:
-            yield summary()
+            closed.append((current, mark, first, entered, state.times()))
+            yield summaries()
 
     return admit
 
 
+def _walk_states(key: str, limit: int, window_seconds: int):
+    """The state each block is entered in, from the times of one run after another; a run's first state comes before them."""
+    width = window_seconds * MICROS
+
+    def enter_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for pdf in batches:
+            parts = [pdf[c].to_numpy() for c in (key, "_run", "_block")]
+            us, enter = pdf["_us"].to_numpy(), pdf["_enter"].to_numpy()
+            new, found = _starts(parts), []
+            for start, end in zip(new.tolist(), [*new[1:].tolist(), len(pdf)]):
+                name = tuple(p[start] for p in parts)
+                if enter[start] is not None:
+                    state = Admitted(limit, window_seconds, [int(t) for t in enter[start]])
+                    start += 1
+                if start == end:
+                    continue
+                if name != current:
+                    found.append((*name, [t for t in state.times() if t >= us[start] - width]))
+                    current = name
+                state.walk(us[start:end])
+            if found:
+                yield pd.DataFrame(found, columns=[key, "_run", "_block", "_enter"])
+
+    return enter_blocks
+
+
 @dataclass
 class Admission:
     """Decisions, and what finding them took: rounds, blocks run again, and runs that were finished in one piece."""
@@ -161,20 +239,32 @@ def admission(
 ) -> Admission:
     """(key, event_id, admitted, retry_after): admit while fewer than ``limit`` admitted events lie in the window.
 
-    Each decision depends on earlier ones, so a run of events without an idle window is one sequence. Runs of more than
-    ``block_events`` events are cut into blocks that start from a guess, the state after the two windows before them
-    taken by themselves. A block whose guess is not the state its predecessor left is run again from that state, until
-    all agree; what still differs after ``rounds`` rounds is read in order, one task a run. At most ``limit`` times
-    are held, and events are streamed; a key is never gathered. Events without key or time get no decision.
+    Each decision depends on earlier ones. Keys of up to ``block_events`` events are sorted and streamed, many to a task.
+    Of larger keys a run of events without an idle window is one sequence. Runs of more than ``block_events`` events are
+    cut into blocks that start from a guess, the state after the two windows before them taken by themselves. A block
+    whose guess is not the state its predecessor left is run again from that state, until all agree. What still differs
+    after ``rounds`` rounds, or once a round leaves more than half of the blocks before it, is settled in order: one task
+    a run streams the bare times for the state each block is entered in, and the blocks are decided from these side by
+    side. At most ``limit`` times are held; a key is never gathered. Events without key or time get no decision.
     """
     limit = checked_limit(limit)
     timed = events.select(key, event_id, micros(events, ts).alias("_us"))
     if limit <= 0:
         return Admission(timed.select(key, event_id, F.lit(True).alias("admitted"), F.lit(0).cast("bigint").alias("retry_after")))
     width = window_seconds * MICROS
-    timed = timed.withColumn("_cell", F.floor(F.col("_us") / F.lit(width // CELLS)))
-    cells = _cells(timed, key, window_seconds, block_events)
-    cut = cells.filter(F.col("_next").isNotNull()).limit(1).count() > 0
+    timed = timed.filter(F.col(key).isNotNull() & F.col("_us").isNotNull())
+    out = [key, event_id, "admitted", "retry_after"]
+    by_key = _walk_keys(key, event_id, limit, window_seconds)
+    kinds = T.StructType([events.schema[key], events.schema[event_id], T.StructField("admitted", T.BooleanType()), T.StructField("retry_after", T.LongType())])
+    streamed = lambda df: df.repartition(key).sortWithinPartitions(key, "_us", event_id).mapInPandas(by_key, kinds)
+    large = written(timed.groupBy(key).count().filter(F.col("count") > block_events).select(key), "admission-large")
+    if large.isEmpty():
+        return Admission(streamed(timed))
+
+    small = streamed(timed.join(large, key, "left_anti"))
+    timed = timed.join(large, key, "left_semi").withColumn("_cell", F.floor(F.col("_us") / F.lit(width // CELLS)))
+    cells = written(_cells(timed, key, window_seconds, block_events), "admission-cells")
+    cut = not cells.filter(F.col("_next").isNotNull()).isEmpty()
     placed = salted_join(timed, cells, [key, "_cell"], [event_id])
     own = F.struct(F.col("_block"), F.lit(False).alias("warm"))
     ahead = F.struct((F.col("_block") + 1).alias("_block"), F.lit(True).alias("warm"))
@@ -193,14 +283,13 @@ def admission(
     # a state comes before the events of its block
     in_order = lambda df: df.repartition(*names).sortWithinPartitions(*names, F.col("_enter").isNull(), "_us", event_id).mapInPandas(walk, schema)
     decided = lambda df: df.filter("admitted IS NOT NULL")
-    out = [key, event_id, "admitted", "retry_after"]
     if not cut:
-        return Admission(decided(in_order(rows)).select(*out))
+        return Admission(decided(in_order(rows)).select(*out).unionByName(small))
 
     done = Admission(None)
     tables = [written(in_order(rows), "admitted")]
     states = written(tables[0].filter("_first IS NOT NULL").select(*names, event_id, "_first", "_entered", "_left"), "admission-states")
-    latest = states.select(*names, F.lit(0).alias("_round"))
+    latest, before_n = states.select(*names, F.lit(0).alias("_round")), None
     while True:
         before = states.select(key, "_run", (F.col("_block") + 1).alias("_block"), F.col("_left").alias("_came"))
         came = F.filter("_came", lambda t: t >= F.col("_first") - width)
@@ -210,30 +299,34 @@ def admission(
         if not n:
             break
         done.rounds += 1
-        last = done.rounds > rounds
+        last = done.rounds > rounds or (before_n is not None and 2 * n > before_n)
+        before_n = n
+        events_of = tables[0].filter("admitted IS NOT NULL")
         if last:
-            # all from the first wrong block of a run on, as one block that is entered in a state that is known
-            wrong = wrong.groupBy(key, "_run").agg(F.min(F.struct("_block", event_id, "_enter")).alias("w")).select(key, "_run", "w.*")
-            again = tables[0].filter("admitted IS NOT NULL").select(*names, event_id, "_us").join(wrong.select(key, "_run", F.col("_block").alias("_from")), [key, "_run"]).filter("_block >= _from")
-            again = again.drop("_block").withColumnRenamed("_from", "_block")
-            done.in_sequence = wrong.count()
+            # all from the first wrong block of a run on; the state of that one is known
+            first = wrong.groupBy(key, "_run").agg(F.min(F.struct("_block", "_enter")).alias("w")).select(key, "_run", F.col("w._block").alias("_from"), F.col("w._enter").alias("_enter"))
+            first = written(first, "admission-first")
+            times = events_of.join(first.select(key, "_run", "_from"), [key, "_run"]).filter("_block >= _from").select(*names, "_us", F.lit(None).cast("array<bigint>").alias("_enter"))
+            heads = first.select(key, "_run", F.col("_from").alias("_block"), F.lit(0).cast("bigint").alias("_us"), "_enter")
+            sequence = times.unionByName(heads).repartition(key, "_run").sortWithinPartitions(*names, F.col("_enter").isNull(), "_us")
+            states_schema = T.StructType([f for f in schema if f.name in names] + [T.StructField("_enter", T.ArrayType(T.LongType()))])
+            wrong = written(sequence.mapInPandas(_walk_states(key, limit, window_seconds), states_schema), "admission-wrong")
+            done.in_sequence = first.count()
         else:
-            again = tables[0].filter("admitted IS NOT NULL").select(*names, event_id, "_us").join(wrong.select(*names), names)
             done.reruns += n
+        again = events_of.select(*names, event_id, "_us").join(wrong.select(*names), names)
         again = again.select(*names, event_id, "_us", F.lit(False).alias("_warm"), F.lit(None).cast("array<bigint>").alias("_enter"))
-        heads = wrong.select(*names, event_id, F.lit(0).cast("bigint").alias("_us"), F.lit(False).alias("_warm"), "_enter")
+        no_event = F.lit(None).cast(events.schema[event_id].dataType).alias(event_id)
+        heads = wrong.select(*names, no_event, F.lit(0).cast("bigint").alias("_us"), F.lit(False).alias("_warm"), "_enter")
         tables.append(written(in_order(again.unionByName(heads)), "admitted"))
+        latest = written(latest.join(wrong.select(*names), names, "left_anti").unionByName(wrong.select(*names, F.lit(done.rounds).alias("_round"))), "admission-latest")
         if last:
-            first = wrong.select(key, "_run", F.col("_block").alias("_from"))
-            kept = latest.join(first, [key, "_run"], "left").filter("_from IS NULL OR _block < _from").drop("_from")
-            latest = kept.unionByName(wrong.select(*names, F.lit(done.rounds).alias("_round")))
             break
         fresh = tables[-1].filter("_first IS NOT NULL").select(*names, event_id, "_first", "_entered", "_left")
         states = written(states.join(wrong.select(*names), names, "left_anti").unionByName(fresh), "admission-states")
-        latest = written(latest.join(wrong.select(*names), names, "left_anti").unionByName(wrong.select(*names, F.lit(done.rounds).alias("_round"))), "admission-latest")
     parts = [decided(t).join(latest.filter(F.col("_round") == k).select(*names), names, "left_semi").select(*out) for k, t in enumerate(tables)]
-    done.rows = parts[0]
-    for part in parts[1:]:
+    done.rows = small
+    for part in parts:
         done.rows = done.rows.unionByName(part)
     return done
 

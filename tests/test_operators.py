@@ -309,6 +309,30 @@ def test_admission_in_pieces():
         latest += [now] if ok else []
 
 
+def test_many_short_keys_leave_a_batch_as_one():
+    """The work of a batch does not hang on the number of its keys: 20,000 keys give one batch, equal to the loop."""
+    import numpy as np
+    import pandas as pd
+
+    rows = [(k, float(t), 10 * k + i) for k in range(20_000) for i, t in enumerate((0, 20, 30, 100) if k % 50 == 0 else (0, 70))]
+    pdf = pd.DataFrame({"user": [r[0] for r in rows], "id": [r[2] for r in rows], "_us": [int(r[1] * 1_000_000) for r in rows]})
+    walk = ratelimit._walk_keys("user", "id", 2, 60)
+    whole = list(walk(iter([pdf])))
+    assert len(whole) == 1
+    pieces = pd.concat(walk(iter(np.array_split(pdf.iloc[:999], 37))))
+    want = plain_admit([r for r in rows if r[0] < 1000], 2, 60)
+    for got in (whole[0][whole[0].user < 1000], pieces):
+        assert all(want[i] == (ok, wait) for i, ok, wait in zip(got.id, got.admitted, got.retry_after))
+
+
+def test_a_key_that_stays_full_is_settled_after_few_rounds(spark):
+    """Every guess is wrong and stays so: no block is run again round after round, and the answers are the loop's."""
+    rows = [(1, k * 0.5, k) for k in range(4000)]
+    done = ratelimit.admission(events(spark, rows), "user", "ts", "id", 3, 60, 100)
+    assert {r.id: (r.admitted, r.retry_after) for r in done.rows.collect()} == plain_admit(rows, 3, 60)
+    assert done.rounds <= 2 and done.reruns <= 40
+
+
 def test_top_rows_beyond_the_group_limit(spark):
     df = spark.range(3000).selectExpr("id % 2 as g", "cast(id * 7919 % 3001 as int) as v", "id")
     for k in (1000, 1001, 1400):
