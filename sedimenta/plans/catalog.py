@@ -448,6 +448,11 @@ def clear_cache(spark, sf):
     return before.join(after, "project", "left").select("project", "rows_before", F.coalesce("rows_after", F.lit(0)).cast("bigint").alias("rows_after"), F.lit(removed).cast("bigint").alias("removed"))
 
 
+def _arriving(spark, sf: str, name: str) -> DataFrame:
+    """A shipped table as a stream, be it one file or a folder of files; a pattern of one letter stands for either."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf}/{name}.parquet").schema).parquet(f"{sf}/[{name[0]}]{name[1:]}.parquet")
+
+
 def _drained(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over everything that has arrived and read back what it wrote."""
     spark = stream.sparkSession
@@ -458,9 +463,7 @@ def _drained(stream: DataFrame, name: str) -> DataFrame:
 
 
 def stream_redact(spark, sf):
-    docs = spark.readStream.schema(spark.read.parquet(f"{sf}/documents.parquet").schema).option(
-        "pathGlobFilter", "documents.parquet").parquet(sf)
-    arriving = docs.select(
+    arriving = _arriving(spark, sf, "documents").select(
         F.col("source").alias("project"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
         F.col("n_chars").alias("size"), F.col("text").alias("content"),
     )
@@ -469,8 +472,7 @@ def stream_redact(spark, sf):
 
 
 def stream_rate_limit(spark, sf):
-    events = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).option(
-        "pathGlobFilter", "events.parquet").parquet(sf).select("event_id", "user_id", "ts")
+    events = _arriving(spark, sf, "events").select("event_id", "user_id", "ts")
     return _drained(streams.stream_admit(events, "user_id", "ts", "event_id", RATE_LIMIT_PER_DAY, DAY, delay="60 days"), "stream-admit")
 
 

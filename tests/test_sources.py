@@ -182,3 +182,15 @@ def test_incremental_stream(spark, folder, tmp_path):
 def test_written_uses_shared_dir(spark):
     df = written(spark.range(5), "numbers")
     assert df.count() == 5 and shared_dir(spark) in df.inputFiles()[0]
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    """A larger table is a folder of part files: every row arrives, as from the one file."""
+    from sedimenta.plans import catalog
+
+    for name in ("documents", "events"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        df.repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for query in (catalog.stream_redact, catalog.stream_rate_limit):
+        parts, whole = (sorted(map(str, query(spark, sf).collect())) for sf in (str(tmp_path), "/root/testdata/sf0.001"))
+        assert parts == whole and whole
