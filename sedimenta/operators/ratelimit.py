@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,7 +109,7 @@ def _cells(timed: DataFrame, key: str, window_seconds: int, block_events: int) -
     starts = blocks.groupBy(key, "_run", "_block").agg(F.min("_cell").alias("_start"))
     starts = starts.withColumn("_next", F.lead("_start").over(Window.partitionBy(key, "_run").orderBy("_block")))
     starts = starts.withColumn("_follows", F.row_number().over(Window.partitionBy(key, "_run").orderBy("_block")))
-    return blocks.join(starts.drop("_start"), [key, "_run", "_block"]).select(key, "_cell", "_run", F.col("_follows").alias("_block"), "_next")
+    return blocks.join(starts.drop("_start"), [key, "_run", "_block"]).select(key, "_cell", "_run", F.col("_follows").cast("bigint").alias("_block"), "_next")
 
 
 def _starts(parts: Sequence[np.ndarray]) -> np.ndarray:
@@ -116,6 +117,10 @@ def _starts(parts: Sequence[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(np.r_[True, np.logical_or.reduce([p[1:] != p[:-1] for p in parts])]) if len(parts[0]) else np.zeros(0, np.int64)
 
 
+def _values(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
 def _walk_keys(key: str, event_id: str, limit: int, window_seconds: int):
     """Decisions of events sorted by key, time and id; a batch of many short keys gives one batch."""
     width = window_seconds * MICROS
@@ -145,34 +150,38 @@ def _walk_keys(key: str, event_id: str, limit: int, window_seconds: int):
 def _walk_blocks(key: str, event_id: str, limit: int, window_seconds: int):
     """Decisions of sorted blocks of events, and a row for each block with the states it was entered and left in.
 
-    Rows of one block: those before it (``_warm``) or the state it is entered in (``_enter``), then its events.
+    Rows of one block: those before it (``_warm``) or the state it is entered in (``_head``, ``_enter``), then its events.
     """
     width = window_seconds * MICROS
-    names = [key, "_run", "_block", event_id, "_us"]
+    names, states = [key, "_run", "_block", event_id, "_us"], pa.list_(pa.int64())
+    columns = [*names, "admitted", "retry_after", "_first", "_entered", "_left"]
 
-    def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, entered, first, mark, closed = None, None, None, None, None, []
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, entered, first, mark, closed, kinds = None, None, None, None, None, [], None
 
-        def summaries() -> pd.DataFrame:
-            rows = pd.DataFrame([(*name, mark, first) for name, mark, first, *_ in closed], columns=names)
-            rows = rows.assign(admitted=None, retry_after=None, _first=rows["_us"], _entered=[c[3] for c in closed], _left=[c[4] for c in closed])
+        def summaries() -> pa.RecordBatch:
+            rows = [pa.array([*c], kind) for c, kind in zip(zip(*closed), [*kinds, pa.int64(), states, states])]
+            n = len(closed)
             closed.clear()
-            return rows
-
-        for pdf in batches:
-            parts = [pdf[c].to_numpy() for c in (key, "_run", "_block")]
-            new, n = _starts(parts), len(pdf)
-            us, warm, enter, ids = (pdf[c].to_numpy() for c in ("_us", "_warm", "_enter", event_id))
+            return pa.RecordBatch.from_arrays([*rows[:5], pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), rows[4], *rows[5:]], columns)
+
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in names[:4]]
+            parts = [_values(batch, c) for c in names[:3]]
+            new, n = _starts(parts), batch.num_rows
+            us, warm = _values(batch, "_us"), _values(batch, "_warm")
+            enter, ids = batch.column(batch.schema.get_field_index("_enter")), batch.column(batch.schema.get_field_index(event_id))
+            given = _values(batch, "_head")
             admitted, wait, decided = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, bool)
             for start, end in zip(new.tolist(), [*new[1:].tolist(), n]):
                 name = tuple(p[start] for p in parts)
                 if name != current:
                     if current is not None and first is not None:
-                        closed.append((current, mark, first, entered, state.times()))
+                        closed.append((*current, mark, first, entered, state.times()))
                     current, entered, first = name, None, None
                     state = Admitted(limit, window_seconds)
-                if enter[start] is not None:
-                    state = Admitted(limit, window_seconds, [int(t) for t in enter[start]])
+                if given[start]:
+                    state = Admitted(limit, window_seconds, enter[start].as_py())
                     start += 1
                 own = start + int(np.argmin(warm[start:end])) if start < end and not warm[start:end].all() else end
                 if own > start:
@@ -180,17 +189,17 @@ def _walk_blocks(key: str, event_id: str, limit: int, window_seconds: int):
                 if own == end:
                     continue
                 if first is None:
-                    first, mark = int(us[own]), ids[own]
+                    first, mark = int(us[own]), ids[own].as_py()
                     entered = [t for t in state.times() if t >= first - width]
                 admitted[own:end], wait[own:end] = state.walk(us[own:end])
                 decided[own:end] = True
-            out = pdf.loc[decided, names]
-            none = np.full(len(out), None)
-            yield out.assign(admitted=admitted[decided], retry_after=wait[decided], _first=none, _entered=none, _left=none)
+            out = batch.select(names).filter(pa.array(decided))
+            n = out.num_rows
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(admitted[decided]), pa.array(wait[decided]), pa.nulls(n, pa.int64()), pa.nulls(n, states), pa.nulls(n, states)], columns)
             if closed:
                 yield summaries()
         if current is not None and first is not None:
-            closed.append((current, mark, first, entered, state.times()))
+            closed.append((*current, mark, first, entered, state.times()))
             yield summaries()
 
     return admit
@@ -198,18 +207,19 @@ def _walk_blocks(key: str, event_id: str, limit: int, window_seconds: int):
 
 def _walk_states(key: str, limit: int, window_seconds: int):
     """The state each block is entered in, from the times of one run after another; a run's first state comes before them."""
-    width = window_seconds * MICROS
+    width, names = window_seconds * MICROS, [key, "_run", "_block"]
 
-    def enter_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def enter_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
-        for pdf in batches:
-            parts = [pdf[c].to_numpy() for c in (key, "_run", "_block")]
-            us, enter = pdf["_us"].to_numpy(), pdf["_enter"].to_numpy()
+        for batch in batches:
+            parts = [_values(batch, c) for c in names]
+            us, enter = _values(batch, "_us"), batch.column(batch.schema.get_field_index("_enter"))
+            given = _values(batch, "_head")
             new, found = _starts(parts), []
-            for start, end in zip(new.tolist(), [*new[1:].tolist(), len(pdf)]):
+            for start, end in zip(new.tolist(), [*new[1:].tolist(), batch.num_rows]):
                 name = tuple(p[start] for p in parts)
-                if enter[start] is not None:
-                    state = Admitted(limit, window_seconds, [int(t) for t in enter[start]])
+                if given[start]:
+                    state = Admitted(limit, window_seconds, enter[start].as_py())
                     start += 1
                 if start == end:
                     continue
@@ -218,7 +228,8 @@ def _walk_states(key: str, limit: int, window_seconds: int):
                     current = name
                 state.walk(us[start:end])
             if found:
-                yield pd.DataFrame(found, columns=[key, "_run", "_block", "_enter"])
+                kinds = [*[batch.schema.field(c).type for c in names], pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([*c], kind) for c, kind in zip(zip(*found), kinds)], [*names, "_enter"])
 
     return enter_blocks
 
@@ -270,8 +281,10 @@ def admission(
     ahead = F.struct((F.col("_block") + 1).alias("_block"), F.lit(True).alias("warm"))
     near = F.col("_next") - F.col("_cell") <= WARM_UP * CELLS
     copies = F.explode(F.when(near, F.array(own, ahead)).otherwise(F.array(own))) if cut else F.explode(F.array(own))
+    # an empty array, no null: Spark's Arrow writer takes time by the square of a batch's null arrays
+    no_state = (F.lit(False).alias("_head"), F.array().cast("array<bigint>").alias("_enter"))
     rows = placed.select(key, "_run", event_id, "_us", copies.alias("c")).select(
-        key, "_run", F.col("c._block").alias("_block"), event_id, "_us", F.col("c.warm").alias("_warm"), F.lit(None).cast("array<bigint>").alias("_enter")
+        key, "_run", F.col("c._block").alias("_block"), event_id, "_us", F.col("c.warm").alias("_warm"), *no_state
     )
     schema = T.StructType([
         events.schema[key], T.StructField("_run", T.LongType()), T.StructField("_block", T.LongType()), T.StructField(event_id, events.schema[event_id].dataType),
@@ -281,7 +294,7 @@ def admission(
     names = [key, "_run", "_block"]
     walk = _walk_blocks(key, event_id, limit, window_seconds)
     # a state comes before the events of its block
-    in_order = lambda df: df.repartition(*names).sortWithinPartitions(*names, F.col("_enter").isNull(), "_us", event_id).mapInPandas(walk, schema)
+    in_order = lambda df: df.repartition(*names).sortWithinPartitions(*names, F.desc("_head"), "_us", event_id).mapInArrow(walk, schema)
     decided = lambda df: df.filter("admitted IS NOT NULL")
     if not cut:
         return Admission(decided(in_order(rows)).select(*out).unionByName(small))
@@ -306,18 +319,18 @@ def admission(
             # all from the first wrong block of a run on; the state of that one is known
             first = wrong.groupBy(key, "_run").agg(F.min(F.struct("_block", "_enter")).alias("w")).select(key, "_run", F.col("w._block").alias("_from"), F.col("w._enter").alias("_enter"))
             first = written(first, "admission-first")
-            times = events_of.join(first.select(key, "_run", "_from"), [key, "_run"]).filter("_block >= _from").select(*names, "_us", F.lit(None).cast("array<bigint>").alias("_enter"))
-            heads = first.select(key, "_run", F.col("_from").alias("_block"), F.lit(0).cast("bigint").alias("_us"), "_enter")
-            sequence = times.unionByName(heads).repartition(key, "_run").sortWithinPartitions(*names, F.col("_enter").isNull(), "_us")
+            times = events_of.join(first.select(key, "_run", "_from"), [key, "_run"]).filter("_block >= _from").select(*names, "_us", *no_state)
+            heads = first.select(key, "_run", F.col("_from").alias("_block"), F.lit(0).cast("bigint").alias("_us"), F.lit(True).alias("_head"), "_enter")
+            sequence = times.unionByName(heads).repartition(key, "_run").sortWithinPartitions(*names, F.desc("_head"), "_us")
             states_schema = T.StructType([f for f in schema if f.name in names] + [T.StructField("_enter", T.ArrayType(T.LongType()))])
-            wrong = written(sequence.mapInPandas(_walk_states(key, limit, window_seconds), states_schema), "admission-wrong")
+            wrong = written(sequence.mapInArrow(_walk_states(key, limit, window_seconds), states_schema), "admission-wrong")
             done.in_sequence = first.count()
         else:
             done.reruns += n
         again = events_of.select(*names, event_id, "_us").join(wrong.select(*names), names)
-        again = again.select(*names, event_id, "_us", F.lit(False).alias("_warm"), F.lit(None).cast("array<bigint>").alias("_enter"))
+        again = again.select(*names, event_id, "_us", F.lit(False).alias("_warm"), *no_state)
         no_event = F.lit(None).cast(events.schema[event_id].dataType).alias(event_id)
-        heads = wrong.select(*names, no_event, F.lit(0).cast("bigint").alias("_us"), F.lit(False).alias("_warm"), "_enter")
+        heads = wrong.select(*names, no_event, F.lit(0).cast("bigint").alias("_us"), F.lit(False).alias("_warm"), F.lit(True).alias("_head"), "_enter")
         tables.append(written(in_order(again.unionByName(heads)), "admitted"))
         latest = written(latest.join(wrong.select(*names), names, "left_anti").unionByName(wrong.select(*names, F.lit(done.rounds).alias("_round"))), "admission-latest")
         if last:
