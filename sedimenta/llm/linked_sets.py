@@ -120,14 +120,14 @@ def _across_roots(percent: int):
     return columns
 
 
-def linked(nodes: DataFrame, sets_of, percent: int, name: str) -> DataFrame:
+def linked(nodes: DataFrame, sets_of, percent: int, name: str, also: DataFrame | None = None) -> DataFrame:
     """(node, root): sets linked over pairs that share a band and have a Jaccard similarity of ``percent`` of a hundred or more.
 
     ``nodes``: (key, n, bands array, sketch) of distinct sets, written. ``sets_of(keys)`` gives (key, hashes) of some
     keys. First every member of a band meets the band's smallest member, so rows do not exceed members. Bands whose
     members then have several roots are looked at once more: members outside a block's largest root meet all others of
     their block pair that have another root, compared as arrays; only pairs that pass the sketches leave a task. A band
-    with more than 1,024 members is dealt into blocks, and each pair of blocks is a group of its own. Sets alone have no row.
+    with more than 1,024 members is dealt into blocks, and each pair of blocks is a group of its own. ``also``: further pairs (a, b), sifted and decided like those. Sets alone have no row.
     """
     spark = nodes.sparkSession
     owned: list[str] = []
@@ -150,6 +150,8 @@ def linked(nodes: DataFrame, sets_of, percent: int, name: str) -> DataFrame:
     crowded = lists.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("members")).filter("members > 1")
     members = kept(lists.join(crowded, "band"), "members")
     first = members.filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
+    if also is not None:
+        first = first.unionByName(also.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
     links = verified(_sifted(first, nodes, percent), "first")
     roots = components(links, f"{name}-part")
 

@@ -193,16 +193,32 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_pairs(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
+    """(a, b): keys of sets whose texts' fingerprints are linked in the index. ``nodes``: (key, version) of distinct sets.
+
+    Of sets with one fingerprint each meets the smallest, and these meet over the links between fingerprints.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    prints = fingerprints(docs.select(F.xxhash64(text).alias("version"), text.alias("text")), "version").distinct()
+    of = written(nodes.select("key", "version").join(prints, "version").select("key", "fingerprint"), "similar-prints")
+    least = written(of.groupBy("fingerprint").agg(F.min("key").alias("least")), "similar-least")
+    same = of.join(least, "fingerprint").filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    one, two = least.toDF("a", "_a"), least.toDF("b", "_b")
+    near = links(least.select("fingerprint")).join(one, "a").join(two, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return same.unionByName(near)
+
+
 def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of every group of near-duplicates one document stays, with all columns.
 
-    Near-duplicates are those of ``similar``: five-word shingles, similarity 0.8 or more. The document with the smallest
+    Near-duplicates are those of ``similar``: five-word shingles, similarity 0.8 or more. Pairs come from the index of
+    fingerprints and, as similar texts may differ in more than four bits, from bands too; shingles decide. The document with the smallest
     id stays, of texts with that id the one with the smallest hash; null ids come last. Of repeated rows with that id and
     text all stay, without an id one.
     """
     row = F.struct(F.col("doc_id").isNull().alias("lost"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("version"))
     keyed = docs.select(F.struct("*").alias("doc"), row.alias("_row"), "text")
-    groups = similar_documents(keyed, "_row", "text").filter(F.col("_row").eqNullSafe(F.col("component_id")))
+    groups = similar_documents(keyed, "_row", "text", fingerprint_pairs).filter(F.col("_row").eqNullSafe(F.col("component_id")))
     keep = written(groups.select(F.col("_row.id").alias("keep_id"), F.col("_row.version").alias("keep_version")).distinct(), "similar-kept")
     same = F.col("_row.id").eqNullSafe(F.col("keep_id")) & (F.col("_row.version") == F.col("keep_version"))
     kept = keyed.join(keep, same, "left_semi")

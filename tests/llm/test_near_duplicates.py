@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sedimenta.llm import sketches, substrings
 from sedimenta.llm.components import components
 from sedimenta.llm.fm_index import Index
-from sedimenta.llm.simhash import _from_middles, _from_postings, fingerprint, links, near_duplicates, one_of_each_group
+from sedimenta.llm.simhash import _from_middles, _from_postings, fingerprint, fingerprint_pairs, links, near_duplicates, one_of_each_group
 from sedimenta.llm.similar import similar_documents
 
 
@@ -142,6 +142,22 @@ def test_stage_keeps_one_of_each_group_by_similarity(spark):
     assert {r.doc_id for r in one_of_each_group(spark, docs, "").collect()} == set(want.values())
 
 
+def test_stage_finds_pairs_by_fingerprints(spark, monkeypatch):
+    """With bands that bring nothing together the index of fingerprints alone still finds the near copies."""
+    from sedimenta.llm import similar
+    from sedimenta.llm.super_minhash import described_sets, distinct_sets
+
+    rows = [(10 * k + n, " ".join(f"v{k}x{i}" for i in range(20_000)) + " end" * n) for k in range(6) for n in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert all((fingerprint(a) ^ fingerprint(b)).bit_count() <= 4 for (i, a) in rows for (j, b) in rows if i // 10 == j // 10 and abs(i - j) == 1)
+    nodes = distinct_sets(described_sets(docs, "doc_id", "text", 5), "doc_id")
+    least = {r["key"]: r["least"] for r in nodes.collect()}
+    assert {least[r.a] // 10 - least[r.b] // 10 for r in fingerprint_pairs(docs, nodes).collect()} == {0}
+    alone = lambda *args: described_sets(*args).withColumn("bands", F.array(F.xxhash64("key")))
+    monkeypatch.setattr(similar, "described_sets", alone)
+    assert sorted(r.doc_id for r in one_of_each_group(spark, docs, "").collect()) == [0, 10, 20, 30, 40, 50]
+
+
 def test_stage_keeps_one_row_without_id(spark):
     a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
     rows = [(None, a), (None, a), (None, a + " end"), (None, b), (5, b + " end"), (7, "alone"), (7, "alone"), (8, "alone"), (3, b), (3, b + " more"), (None, "x"), (None, None)]
