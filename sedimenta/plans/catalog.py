@@ -241,7 +241,10 @@ def _counts(kind: str) -> Callable:
 
 
 def structural_summary(spark, sf):
-    return analysis(spark, sf).summaries.select("project", "path", "lang", "summary")
+    a = analysis(spark, sf)
+    # else the texts' redaction is planned into each search of the summary
+    a.selected = written(a.selected, "selected")
+    return a.summaries.select("project", "path", "lang", "summary")
 
 
 # --- domain ----------------------------------------------------------------------------------------

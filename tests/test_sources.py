@@ -194,3 +194,11 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path):
     for query in (catalog.stream_redact, catalog.stream_rate_limit):
         parts, whole = (sorted(map(str, query(spark, sf).collect())) for sf in (str(tmp_path), "/root/testdata/sf0.001"))
         assert parts == whole and whole
+
+
+def test_summaries_read_redacted_texts_from_a_table(spark):
+    """Winners are redacted once and written; the summary's searches do not plan the redaction again."""
+    from sedimenta.plans import catalog
+
+    read = catalog.structural_summary(spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and not any("documents.parquet" in f for f in read)
