@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sedimenta import rules
 from sedimenta.functions.cases import sql_string
-from sedimenta.functions.dialect import LINE_BREAK, STRIP, WORD, portable
+from sedimenta.functions.dialect import LINE_BREAK, SPACE, STRIP, WORD, portable
 
 
 def decode_text(content: Column) -> Column:
@@ -76,38 +76,43 @@ def redact_secrets(text: Column, secret_rules=rules.SECRET_RULES) -> Column:
     return text
 
 
-def may_hold_secret(text: Column, low: Column) -> Column:
-    """Cheap necessary condition for any rule: a key word stem and an assignment sign, or a key header.
+def may_hold_secret(text: Column, low: Column, rule: str) -> Column:
+    """Cheap necessary condition for one rule: its words and signs stand in the text.
 
     ``low`` is the lower-cased text. Three letters that the patterns fold but lower case does not (long s, dotless
     i, dotted I) let a text pass.
     """
-    stem = F.lit(False)
-    for word in rules.SECRET_STEMS:
-        stem = stem | low.contains(word)
     odd = text.contains("ſ") | text.contains("ı") | text.contains("İ")
-    return (stem & (text.contains("=") | text.contains(":"))) | text.contains("-----BEGIN ") | odd
+    needed = F.lit(True)
+    for words in rules.SECRET_NEEDS[rule]:
+        some = F.lit(False)
+        for word in words:
+            some = some | low.contains(word)
+        needed = needed & some
+    return needed | odd
 
 
 def with_redaction(df: DataFrame, column: str, secret_rules=None) -> DataFrame:
     """Add ``redacted_text`` and ``findings`` (array of rule order, type and count) for ``column``.
 
-    Texts that cannot hold a secret skip all patterns. For the others each rule is one projection: its count is
-    taken on the text the previous rule left. Every step is referenced twice (count, replacement), so Spark keeps
-    the projections apart and runs each pattern once instead of nesting the whole chain in every count.
+    A text goes through a rule's pattern only if it may hold such a secret, and is written anew only where it does.
+    Each rule is one projection: its count is taken on the text the previous rule left. Every step is referenced
+    twice (count, replacement), so Spark keeps the projections apart and runs each pattern once instead of nesting the
+    whole chain in every count.
     """
     kept = df.columns
-    start = F.col(column)
     work = df
     if secret_rules is None:
         secret_rules = rules.SECRET_RULES
         work = work.withColumn("_low", F.lower(column))
-        start = F.when(may_hold_secret(F.col(column), F.col("_low")), F.col(column))
-    work = work.withColumn("_t0", start)
+        may = [may_hold_secret(F.col(column), F.col("_low"), name) for name, _, _ in secret_rules]
+    else:
+        may = [F.lit(True) for _ in secret_rules]
+    work = work.select(*kept, F.col(column).alias("_t0"), *[m.alias(f"_may{i}") for i, m in enumerate(may)])
     for i, (_, pattern, placeholder) in enumerate(secret_rules):
-        java = portable(pattern)
-        work = work.withColumn(f"_n{i}", F.regexp_count(f"_t{i}", F.lit(java))).withColumn(
-            f"_t{i + 1}", F.regexp_replace(f"_t{i}", java, _replacement(placeholder))
+        java, before, n = portable(pattern), F.col(f"_t{i}"), F.col(f"_n{i}")
+        work = work.withColumn(f"_n{i}", F.when(F.col(f"_may{i}"), F.regexp_count(before, F.lit(java)))).withColumn(
+            f"_t{i + 1}", F.when(n > 0, F.regexp_replace(before, java, _replacement(placeholder))).otherwise(before)
         )
     found = F.array_compact(F.array(*[
         F.when(F.col(f"_n{i}") > 0, F.struct(
@@ -115,8 +120,7 @@ def with_redaction(df: DataFrame, column: str, secret_rules=None) -> DataFrame:
         ))
         for i, (name, _, _) in enumerate(secret_rules)
     ]))
-    last = F.col(f"_t{len(secret_rules)}")
-    return work.select(*kept, F.coalesce(last, F.col(column)).alias("redacted_text"), found.alias("findings"))
+    return work.select(*kept, F.col(f"_t{len(secret_rules)}").alias("redacted_text"), found.alias("findings"))
 
 
 def has_suspicious_content(text: Column, secret_rules=rules.SECRET_RULES) -> Column:
@@ -172,14 +176,20 @@ def match_indicator(low: str, indicator: str) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without a trailing empty one, as ``str.splitlines`` gives them."""
-    parts = F.split(text, LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return _ended(F.split(text, LINE_BREAK))
+
+
+def _ended(parts: Column) -> Column:
+    # bound by a lambda, so that the text is split once wherever this stands
+    return F.transform(F.array(parts), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))[0]
 
 
 def preview_lines(text: Column, n: int = rules.PREVIEW_LINES, keep_blank: bool = False) -> Column:
-    first = F.slice(lines(text), 1, n)
+    """The first lines, indented; what follows them is not cut up."""
+    parts = F.split(text, LINE_BREAK, n + 1)
+    first = F.slice(_ended(parts) if keep_blank else parts, 1, n)
     if not keep_blank:
-        first = F.filter(first, lambda s: strip(s) != "")
+        first = F.filter(first, lambda s: s.rlike(f"[^{SPACE}]"))
     return F.array_join(F.transform(first, lambda s: F.concat(F.lit("  "), s)), "\n")
 
 
