@@ -274,6 +274,8 @@ def detect_domain(spark, sf):
 
 def winning_evidence(spark, sf):
     a, evidence = _evidence(spark, sf)
+    # scored and listed: else all texts are described and searched once for each
+    evidence = written(evidence, "evidence")
     detected = domain.detect_domain(domain.domain_scores(evidence), a.projects)
     return domain.winning_evidence(evidence, detected).select("project", "domain", "evidence")
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimenta import rules
+from sedimenta.plans import catalog
 from sedimenta.operators import context, domain, notes, ranking, ratelimit, scan, skew, tech, tree
 from sedimenta.plans.analysis import Analysis
 
@@ -352,3 +353,10 @@ def test_manifests_that_are_no_json_object(make_files, spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.n or [] for r in df.orderBy("i").select(_dependency_names(F.col("t"), "dependencies", "devDependencies").alias("n")).collect()]
     assert got == [["react"], ["b"], [], [], [], [], [], []]
+
+
+def test_winning_evidence_searches_texts_once(spark):
+    rows = catalog.winning_evidence(spark, "/root/testdata/sf0.001")
+    # the searches are behind it: evidence comes from a written table, for the scores and for the list
+    assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() > 0
