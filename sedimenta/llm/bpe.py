@@ -1,35 +1,32 @@
 """Byte-level BPE ids of whole texts by the tokenizers library, without encoding the same stretch twice.
 
-A text is cut before every space that a non-space follows. For the byte-level pattern such a place is always a border
-between two pre-tokens: no alternative of the pattern holds a space behind its first character, except the runs of
-white space, and those leave their last character to the word that follows. Merges never cross pre-tokens, so the ids
-of the text are the ids of its stretches, one after another, and equal stretches have equal ids.
+The borders of the byte-level pattern's pre-tokens follow from the classes of neighbouring characters, so they are
+found for all texts of a batch at once by array operations over its bytes. Merges never cross pre-tokens, so the ids of
+a text are the ids of its pre-tokens, one after another, and equal pre-tokens have equal ids. Stretches with special
+strings or with characters whose class may depend on the version of Unicode are taken as one and left to the library;
+they are cut at single spaces between two characters that are no white space, where a pre-token starts in any case.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 
-from sedimenta.llm.common import Remembered
-
-# The public pattern of byte-level BPE and the characters that stand for bytes in its vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The characters that stand for bytes in the vocabulary of byte-level BPE, and the classes that the
+# public pattern ('s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+) tells apart.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPACE, LETTER, DIGIT, SIGN, UNSETTLED, UNSETTLED_SPACE = range(6)
+SHORT = b"stmd"
+LONG = (b"re", b"ve", b"ll")
 
 CUT = re.compile(r" (?=\S)")
-# texts with white space beside a space, or a space at the end
-GLUED = r" [\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| \z"
-BREAK = "\u2028"
 FENCE = b"\xc0"
-# outside the letters, digits and signs whose classes are the same in every version of Unicode
-UNSETTLED = r"[^\x00-\u024f]"
+# the first characters have the same classes in every version of Unicode; behind the last there is no white space
+SETTLED, LAST = 0x250, 0x3001
 
 
 def _byte_names() -> dict[int, str]:
@@ -37,15 +34,92 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b if b in PRINTABLE else next(rest)) for b in range(256)}
 
 
+def _class_of(c: str) -> int:
+    if ord(c) >= SETTLED:
+        return UNSETTLED_SPACE if regex.match(r"[\s\u180e]", c) else UNSETTLED
+    return next(k for k, p in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (DIGIT, r"\p{N}"), (SIGN, r".")) if regex.match(p, c))
+
+
+CLASSES = np.array([_class_of(chr(c)) for c in range(LAST + 1)], np.uint8)
+
+
+def classes(data: np.ndarray) -> np.ndarray:
+    """Class of the character that each byte of UTF-8 belongs to."""
+    kind = CLASSES[:256][data]
+    high = np.flatnonzero(data >= 0x80)
+    lead = high[data[high] >= 0xC0]
+    if len(lead):
+        first, second = data[lead].astype(np.int32), data[lead + 1].astype(np.int32) & 0x3F
+        point = (first & 0x1F) << 6 | second
+        wide = first >= 0xE0
+        point[wide] = (first[wide] & 0xF) << 12 | second[wide] << 6 | data[lead[wide] + 2] & 0x3F
+        point[first >= 0xF0] = LAST
+        found = CLASSES[np.minimum(point, LAST)]
+        kind[lead] = kind[lead + 1] = found
+        kind[lead[wide] + 2] = found[wide]
+        kind[lead[first >= 0xF0] + 3] = UNSETTLED
+    return kind
+
+
+def pretokens(data: np.ndarray, begins: np.ndarray, special: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pre-tokens of texts begin, and which of them are stretches for the library.
+
+    ``data``: the texts' UTF-8, one after another; ``begins``: where each text begins that is not empty.
+    """
+    kind = classes(data)
+    opens = np.zeros(len(data) + 2, bool)
+    opens[begins] = True
+    starts = opens.copy()
+    starts[1:len(data)] |= kind[1:] != kind[:-1]
+
+    # of white space before something else the last character stands apart, and a space goes with what follows
+    after = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE)) + 1
+    after = after[~opens[after]]
+    starts[after - 1 - (data[after - 1] >= 0x80)] = True
+    starts[after[data[after - 1] == 0x20]] = False
+
+    quote = np.flatnonzero(data == 0x27)
+    quote = quote[starts[quote] & ~opens[quote + 1] & (quote + 1 < len(data))]
+    if len(quote):
+        one = data[quote + 1]
+        two = np.where(opens[quote + 2] | (quote + 2 >= len(data)), 0, data[np.minimum(quote + 2, len(data) - 1)])
+        short = np.isin(one, list(SHORT))
+        long = np.logical_or.reduce([(one == a) & (two == b) for a, b in LONG])
+        starts[quote[short | long] + 1] = False
+        starts[quote[short] + 2] = starts[quote[long] + 3] = True
+
+    odd = [np.flatnonzero(kind >= UNSETTLED)]
+    text = data.tobytes() if special else b""
+    for s in special:
+        odd.append(np.array([m.start() for m in re.finditer(re.escape(s), text)], np.int64))
+    odd = np.concatenate(odd)
+    if len(odd):
+        free = (kind != SPACE) & (kind != UNSETTLED_SPACE)
+        cut = np.flatnonzero((data[1:-1] == 0x20) & free[:-2] & free[2:]) + 1
+        cut = cut[~opens[cut] & ~opens[cut + 1]]
+        borders = np.sort(np.r_[begins, cut, len(data)])
+        stretch = np.unique(np.searchsorted(borders, odd, side="right"))
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[borders[stretch - 1]] += 1
+        inside[borders[stretch]] -= 1
+        starts[:len(data)] &= np.cumsum(inside[:-1], dtype=np.int8) == 0
+        starts[borders[stretch - 1]] = True
+    places = np.flatnonzero(starts[:len(data)])
+    whole = np.zeros(len(places), bool)
+    if len(odd):
+        whole[np.searchsorted(places, borders[stretch - 1])] = True
+    return places, whole
+
+
 class Encoder:
     """``encode_all(texts)``: ids of whole texts.
 
     Special strings inside a text become their special ids, the default of the library. Of a batch of texts only the
-    distinct stretches are looked at; about ``keep`` stretches and pre-tokens are remembered, the ones not used for
-    longest are forgotten. A tokenizer of another kind than plain byte-level BPE is given whole texts.
+    distinct pre-tokens are looked at; up to ``keep`` of them are remembered between batches, and the half not used
+    for longest is forgotten. A tokenizer of another kind than plain byte-level BPE is given whole texts.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -54,59 +128,61 @@ class Encoder:
         self._model = self.library.model
         about = json.loads(self.library.to_str())
         pre, added = about["pre_tokenizer"] or {}, about["added_tokens"]
-        self.special = [t["content"] for t in added]
+        self.special = [t["content"].encode() for t in added]
         self.cuts = (
             about["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex")
             and not pre.get("add_prefix_space")
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
         )
-        self._names, self._pre = _byte_names(), regex.compile(PATTERN)
-        # stretches that the library gets as they are: special strings, other letters, white space at an end
-        self._odd = re.compile("|".join([UNSETTLED, r"\A\s", r"\s\Z", r"\A\Z", *map(re.escape, self.special)]))
+        self._names = _byte_names()
         # a byte that no merge takes keeps pre-tokens apart in one call of the model
         fence = self._names[FENCE[0]]
         self._fence = None if any(fence in t and t != fence for t in about["model"]["vocab"]) else about["model"]["vocab"].get(fence)
-        self._tokens, self._next, self._first = Remembered(keep), Remembered(keep), Remembered(keep // 10)
+        # number of each remembered pre-token, and by number: its ids, how many, the batch it was last used in
+        self._keep, self._batch, self._number = keep, 0, {}
+        self._ids, self._sizes, self._used = np.zeros(0, "<u4"), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def whole(self, text: str) -> bytes:
         """By one call of the library, as bytes of little-endian 32-bit numbers."""
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _merged(self, tokens: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of pre-tokens, many in one call of the library's model."""
-        if self._fence is None:
-            for t in tokens:
-                ids = self._model.tokenize(t.encode().decode("latin-1").translate(self._names))
-                yield t, np.array([i.id for i in ids], "<u4").tobytes()
-            return
-        for k in range(0, len(tokens), 2000):
-            part = tokens[k:k + 2000]
-            spelled = FENCE.join([t.encode() for t in part]).decode("latin-1").translate(self._names)
+    def _merged(self, tokens: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
+        """Ids of pre-tokens, many in one call of the library's model, and how many each has."""
+        parts, sizes = [], []
+        step = 2000 if self._fence is not None else 1
+        for k in range(0, len(tokens), step):
+            spelled = FENCE.join(tokens[k:k + step]).decode("latin-1").translate(self._names)
             ids = np.array([t.id for t in self._model.tokenize(spelled)], "<u4")
-            ends = np.r_[np.flatnonzero(ids == self._fence), len(ids)].tolist()
-            raw, at = ids.tobytes(), 0
-            for token, end in zip(part, ends):
-                yield token, raw[4 * at:4 * end]
-                at = end + 1
-
-    def _learned(self, stretches: list[str], mark: str) -> Iterator[tuple[str, bytes]]:
-        """Ids of stretches, each with ``mark`` before it."""
-        plain = []
-        for s in stretches:
-            if self._odd.search(s):
-                yield s, self.whole(mark + s)
-            else:
-                plain.append(s)
-        if not plain:
-            return
-        # a line separator is white space that no stretch here has, so it is a pre-token by itself
-        tokens = self._pre.findall((BREAK + mark).join([mark + plain[0], *plain[1:]]) + BREAK)
-        named = list(dict.fromkeys(tokens))
-        ids = dict(zip(named, self._tokens.all(named, self._merged)))
-        spelled, at = [ids[t] for t in tokens], 0
-        for s, end in zip(plain, (k for k, t in enumerate(tokens) if t == BREAK)):
-            yield s, b"".join(spelled[at:end])
-            at = end + 1
+            fences = np.flatnonzero(ids == self._fence) if step > 1 else np.zeros(0, np.int64)
+            parts.append(np.delete(ids, fences))
+            sizes.extend((np.diff(np.r_[-1, fences, len(ids)]) - 1).tolist())
+        return parts, sizes
+
+    def _numbers(self, names: list[bytes], whole: np.ndarray) -> np.ndarray:
+        """Numbers of distinct pre-tokens and stretches; those not remembered are encoded."""
+        number = self._number
+        if len(number) > self._keep:
+            last = np.sort(np.argsort(self._used, kind="stable")[-(self._keep // 2):])
+            known, starts = list(number), np.cumsum(self._sizes) - self._sizes
+            self._number = number = {known[k]: i for i, k in enumerate(last.tolist())}
+            self._ids = self._ids[_ranges(starts[last], self._sizes[last])]
+            self._sizes, self._used = self._sizes[last], self._used[last]
+        found = np.array([number.get(n, -1) for n in names], np.int64)
+        new = found < 0
+        if new.any():
+            plain = [names[k] for k in np.flatnonzero(new & ~whole).tolist()]
+            odd = [names[k] for k in np.flatnonzero(new & whole).tolist()]
+            parts, sizes = self._merged(plain)
+            others = [np.frombuffer(self.whole(s.decode()), "<u4") for s in odd]
+            first = len(number)
+            number.update(zip(plain + odd, range(first, first + len(plain) + len(odd))))
+            found[np.r_[np.flatnonzero(new & ~whole), np.flatnonzero(new & whole)]] = np.arange(first, len(number))
+            self._ids = np.concatenate([self._ids, *parts, *others])
+            self._sizes = np.r_[self._sizes, np.array(sizes + [len(p) for p in others], np.int32)]
+            self._used = np.r_[self._used, np.zeros(len(number) - first, np.int32)]
+        self._batch += 1
+        self._used[found] = self._batch
+        return found
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (non-null strings), one after another, and where each text's ids end."""
@@ -115,23 +191,24 @@ class Encoder:
         if not self.cuts:
             parts = [self.whole(t) for t in texts.to_pylist()]
             return np.frombuffer(b"".join(parts), "<u4"), np.cumsum([len(p) // 4 for p in parts])
-        glued = pc.match_substring_regex(texts, GLUED)
-        if pc.any(glued).as_py():
-            # some spaces belong to runs of white space: these few texts are cut one by one
-            lists = pa.array([CUT.split(t) if g else t.split(" ") for t, g in zip(texts.to_pylist(), glued.to_pylist())], pa.list_(pa.string()))
-        else:
-            lists = pc.split_pattern(texts, " ")
-        stretches, begins = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
-        index = stretches.indices.to_numpy().astype(np.int64)
-        names = stretches.dictionary.to_pylist()
-        first = {}
-        for k in begins.tolist():
-            first.setdefault(names[index[k]], len(names) + len(first))
-        index[begins] = [first[names[n]] for n in index[begins].tolist()]
-        pool = self._next.all(names, lambda new: self._learned(new, " ")) + self._first.all(list(first), lambda new: self._learned(new, ""))
-        sizes = np.array([len(p) // 4 for p in pool], np.int64)
-        flat, starts = np.frombuffer(b"".join(pool), "<u4"), np.cumsum(sizes) - sizes
-        counts = sizes[index]
-        ends = np.cumsum(counts)
-        place = np.repeat(starts[index] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return flat[place], ends[np.r_[begins[1:], len(index)] - 1]
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        if offsets[0] == offsets[-1]:
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        data, offsets = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
+        places, whole = pretokens(data, offsets[:-1][np.diff(offsets) > 0], self.special)
+        bounds = np.append(places, len(data)).astype(np.int32)
+        tokens = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        index = tokens.indices.to_numpy()
+        odd = np.zeros(len(tokens.dictionary), bool)
+        odd[index[whole]] = True
+        number = self._numbers(tokens.dictionary.to_pylist(), odd)[index]
+        counts = self._sizes[number]
+        flat = self._ids[_ranges((np.cumsum(self._sizes) - self._sizes)[number], counts)]
+        return flat, np.r_[0, np.cumsum(counts)][np.searchsorted(places, offsets[1:])]
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges (start, count), one range after another."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)

@@ -40,6 +40,45 @@ def test_stretches_give_the_ids_of_the_library():
             assert ids[start:end].tobytes() == encoder.whole(text), text
 
 
+def same_as_library(encoder, texts):
+    ids, ends = encoder.encode_all(pa.array(texts, pa.string()))
+    assert len(ends) == len(texts) and ends[-1] == len(ids)
+    for text, start, end in zip(texts, [0, *ends], ends):
+        assert ids[start:end].tobytes() == encoder.whole(text), text
+
+
+def test_borders_beside_every_character():
+    encoder = Encoder(BPE, keep=500)
+    for code in [*range(0x300), 0x3A9, 0x416, 0x661, 0x1680, 0x180E, 0x2003, 0x2028, 0x2075, 0x3000, 0x65E5, 0xFF11, 0x1F600]:
+        c = chr(code)
+        same_as_library(encoder, [
+            f"a{c}b", c, "", f"{c}{c}", f"1{c}2", f" {c}", f"{c} ", f"  {c}x", f"{c}\n {c}", f"!{c}!", f"'{c}'s", f"x'{c}s", f"{c}'re'",
+            f"a {c}  {c}é", f"a  {c}<|endoftext|>  b", "s", "'", "s",
+        ])
+
+
+def test_only_distinct_pretokens_reach_the_library(monkeypatch):
+    """Stretches between spaces that differ all, of few pre-tokens: each of those is encoded once, none as a whole text."""
+    encoder, asked = Encoder(BPE), []
+    words = [chr(97 + k // 26) + chr(97 + k % 26) for k in range(400)]
+    texts = [f"  if {a},\n    {b}:\n\t{b}'s" for a in words[:200] for b in words[200:]]
+    same_as_library(encoder, texts[::400])
+    encoder = Encoder(BPE)
+    merged = encoder._merged
+    monkeypatch.setattr(encoder, "whole", lambda text: pytest.fail(f"encoded whole: {text!r}"))
+    monkeypatch.setattr(encoder, "_merged", lambda tokens: (asked.extend(tokens), merged(tokens))[1])
+    for k in range(0, len(texts), 10_000):
+        encoder.encode_all(pa.array(texts[k:k + 10_000]))
+    assert len(asked) == len(set(asked)) < 1000
+
+
+def test_pretokens_used_last_are_remembered():
+    encoder = Encoder(BPE, keep=100)
+    for k in range(0, 2000, 50):
+        same_as_library(encoder, [f"often word{i} {i}" for i in range(k, k + 50)])
+        assert b"often" in encoder._number and len(encoder._number) <= 100 + 2 * 50 + 10
+
+
 def test_overlaps_count_what_the_whole_text_has():
     encoder = Encoder(BPE)
     for text in mixed_texts(400, 2):
