@@ -25,8 +25,13 @@ LONG = (b"re", b"ve", b"ll")
 
 CUT = re.compile(r" (?=\S)")
 FENCE = b"\xc0"
-# the first characters have the same classes in every version of Unicode; behind the last there is no white space
-SETTLED, LAST = 0x250, 0x3001
+# characters whose classes are the same in every version of Unicode: the first ones, and letters of Greek, Cyrillic,
+# Hebrew, Arabic, kana, Han and Hangul; behind the last there is no white space
+SETTLED, LAST = 0x250, 0xD7A4
+LETTERS = [
+    (0x391, 0x3A1), (0x3A3, 0x3A9), (0x3B1, 0x3C9), (0x401, 0x40C), (0x40E, 0x44F), (0x451, 0x45C), (0x45E, 0x481), (0x5D0, 0x5EA),
+    (0x621, 0x63A), (0x641, 0x64A), (0x3041, 0x3094), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+]
 
 
 def _byte_names() -> dict[int, str]:
@@ -34,13 +39,18 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b if b in PRINTABLE else next(rest)) for b in range(256)}
 
 
-def _class_of(c: str) -> int:
-    if ord(c) >= SETTLED:
-        return UNSETTLED_SPACE if regex.match(r"[\s\u180e]", c) else UNSETTLED
-    return next(k for k, p in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (DIGIT, r"\p{N}"), (SIGN, r".")) if regex.match(p, c))
+def _classes() -> np.ndarray:
+    kind = np.full(LAST + 1, UNSETTLED, np.uint8)
+    kind[[0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = UNSETTLED_SPACE
+    for first, last in LETTERS:
+        kind[first:last + 1] = LETTER
+    patterns = {SPACE: r"\s", LETTER: r"\p{L}", DIGIT: r"\p{N}", SIGN: r"[^\s\p{L}\p{N}]"}
+    for c in range(SETTLED):
+        kind[c] = next(k for k, p in patterns.items() if regex.match(p, chr(c)))
+    return kind
 
 
-CLASSES = np.array([_class_of(chr(c)) for c in range(LAST + 1)], np.uint8)
+CLASSES = _classes()
 
 
 def classes(data: np.ndarray) -> np.ndarray:
@@ -115,8 +125,8 @@ class Encoder:
     """``encode_all(texts)``: ids of whole texts.
 
     Special strings inside a text become their special ids, the default of the library. Of a batch of texts only the
-    distinct pre-tokens are looked at; up to ``keep`` of them are remembered between batches, and the half not used
-    for longest is forgotten. A tokenizer of another kind than plain byte-level BPE is given whole texts.
+    distinct pre-tokens are looked at. They are remembered between batches; with more than ``keep`` of them, or
+    twenty times as many ids, the half not used for longest is forgotten. A tokenizer of another kind than plain byte-level BPE is given whole texts.
     """
 
     def __init__(self, path: str, keep: int = 400_000):
@@ -161,8 +171,8 @@ class Encoder:
     def _numbers(self, names: list[bytes], whole: np.ndarray) -> np.ndarray:
         """Numbers of distinct pre-tokens and stretches; those not remembered are encoded."""
         number = self._number
-        if len(number) > self._keep:
-            last = np.sort(np.argsort(self._used, kind="stable")[-(self._keep // 2):])
+        if max(len(number), len(self._ids) // 20) > self._keep:
+            last = np.sort(np.argsort(self._used, kind="stable")[len(number) // 2:])
             known, starts = list(number), np.cumsum(self._sizes) - self._sizes
             self._number = number = {known[k]: i for i, k in enumerate(last.tolist())}
             self._ids = self._ids[_ranges(starts[last], self._sizes[last])]

@@ -49,7 +49,7 @@ def same_as_library(encoder, texts):
 
 def test_borders_beside_every_character():
     encoder = Encoder(BPE, keep=500)
-    for code in [*range(0x300), 0x3A9, 0x416, 0x661, 0x1680, 0x180E, 0x2003, 0x2028, 0x2075, 0x3000, 0x65E5, 0xFF11, 0x1F600]:
+    for code in [*range(0x300), 0x3A9, 0x416, 0x5D0, 0x661, 0x621, 0x1680, 0x180E, 0x2003, 0x2028, 0x2075, 0x3000, 0x30A1, 0x65E5, 0xAC00, 0xFF11, 0x1F600]:
         c = chr(code)
         same_as_library(encoder, [
             f"a{c}b", c, "", f"{c}{c}", f"1{c}2", f" {c}", f"{c} ", f"  {c}x", f"{c}\n {c}", f"!{c}!", f"'{c}'s", f"x'{c}s", f"{c}'re'",
