@@ -6,6 +6,7 @@ import gc
 import time
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -71,25 +72,29 @@ def in_columns(df: DataFrame, schema: str, columns: Callable[[Iterable], Iterabl
 
 
 class Remembered:
-    """Values by name in two generations: names not asked for since the last generation began are forgotten."""
+    """Values by name in two generations: names not asked for since the last generation began are forgotten.
 
-    def __init__(self, keep: int):
-        self._keep, self._now, self._old = keep, {}, {}
+    A generation ends with more than ``keep`` names, or with names and values of more than ``size`` characters and bytes.
+    """
+
+    def __init__(self, keep: int, size: int):
+        self._keep, self._size, self._held, self._now, self._old = keep, size, 0, {}, {}
 
     def all(self, names: list, learn: Callable[[list], Iterable[tuple]]) -> list:
         """Values of all names; ``learn`` gives the (name, value) pairs of those not remembered."""
-        if len(self._now) > self._keep:
-            self._now, self._old = {}, self._now
-        now, old, unknown = self._now, self._old, []
+        if len(self._now) > self._keep or self._held > self._size:
+            self._now, self._old, self._held = {}, self._now, 0
+        now, old, unknown, before = self._now, self._old, [], len(self._now)
         for n in names:
             if n not in now:
-                value = old.get(n)
+                value = old.pop(n, None)
                 if value is None:
                     unknown.append(n)
                 else:
                     now[n] = value
         if unknown:
             now.update(learn(unknown))
+        self._held += sum(len(n) + len(v) for n, v in islice(now.items(), before, None))
         return list(map(now.__getitem__, names))
 
 

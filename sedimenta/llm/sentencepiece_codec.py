@@ -31,10 +31,16 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_COST = 10.0
 UNKNOWN_TEXT = " ⁇ "
+# bytes of text that are worked off at once; their words and ids take some thirty times as much for a moment
+CHARS = 1_500_000
 
 
 class Codec:
-    """Encoder and decoder of one model file. About ``keep`` words and pairs of pieces are remembered."""
+    """Encoder and decoder of one model file.
+
+    About ``keep`` words and pairs of pieces are remembered, and of words no more than about ``64 * keep`` characters and
+    bytes of ids, so that long words (hex, base64) take no more memory than usual ones.
+    """
 
     def __init__(self, path: str, keep: int = 150_000):
         import sentencepiece
@@ -59,13 +65,14 @@ class Codec:
         if not all(c in self._ids for c in known):
             raise ValueError("every character of a piece must be a piece")
         self._stranger = re.compile("([^" + re.escape("".join(sorted(known))) + "])")
-        # ends of pieces, with a score if they are pieces: behind what is no end of any piece no longer piece is found
-        self._suffixes = {p[k:]: self._scores.get(p[k:]) for p in self._ids for k in range(len(p))}
+        # ends of pieces, with an id if they are pieces: behind what is no end of any piece no longer piece is found
+        self._suffixes = {p[k:]: self._ids.get(p[k:]) for p in self._ids for k in range(len(p))}
+        self._pieces = {i: p for p, i in self._ids.items()}
         self._texts = [
             bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace(MARK, " ").encode() if p.type == NORMAL
             else UNKNOWN_TEXT.encode() if p.type == UNKNOWN else b"" for p in proto.pieces
         ]
-        self._keep, self._words, self._pairs = keep, Remembered(keep // 2), {}
+        self._keep, self._words, self._pairs = keep, Remembered(keep // 2, 32 * keep), {}
 
     def _merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging neighbours, the best piece first, the leftmost of equals."""
@@ -78,35 +85,39 @@ class Codec:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _admissible(self, before: str, piece: str) -> bool:
-        key = (before, piece)
+    def _admissible(self, before: int, piece: int) -> bool:
+        """Whether a piece may stand behind another (-1: at the start)."""
+        # one number: a pair of strings would take three times the memory
+        key = before + 1 << 32 | piece
         found = self._pairs.get(key)
         if found is None:
-            found = self._pairs[key] = self._merged(before + piece) == [x for x in key if x]
+            if len(self._pairs) >= self._keep:
+                self._pairs.clear()
+            pair = [self._pieces[i] for i in (before, piece) if i >= 0]
+            found = self._pairs[key] = self._merged("".join(pair)) == pair
         return found
 
-    def _forward(self, run: str, end: int, last: list[str], sums: list[float]) -> None:
+    def _forward(self, run: str, end: int, last: list[int], sums: list[float]) -> None:
         """Append the entry for the first ``end`` characters of ``run``."""
-        best, best_sum = None, -np.inf
+        best, best_sum, suffix = None, -np.inf, self._suffixes.get
         for start in range(end - 1, -1, -1):
-            piece = run[start:end]
-            score = self._suffixes.get(piece, False)
-            if score is False:
+            piece = suffix(run[start:end], False)
+            if piece is False:
                 break
-            if score is None:
+            if piece is None:
                 continue
             if self.kind == BPE:
                 if self._admissible(last[start], piece):
                     best, best_sum = piece, 0.0
                     break
-            elif sums[start] + score > best_sum:
-                best, best_sum = piece, sums[start] + score
+            elif (total := sums[start] + self._scores[self._pieces[piece]]) > best_sum:
+                best, best_sum = piece, total
         last.append(best)
         sums.append(best_sum)
 
     def _walk(self, runs: list[str]) -> dict[str, bytes]:
         """Ids of sorted distinct runs, depth first through their trie."""
-        found, before, last, sums = {}, "", [""], [0.0]
+        found, before, last, sums = {}, "", [-1], [0.0]
         for run in runs:
             shared = 0
             for a, b in zip(before, run):
@@ -118,8 +129,8 @@ class Codec:
                 self._forward(run, end, last, sums)
             ids, end = [], len(run)
             while end:
-                ids.append(self._ids[last[end]])
-                end -= len(last[end])
+                ids.append(last[end])
+                end -= len(self._pieces[last[end]])
             found[run], before = np.array(ids[::-1], "<u4").tobytes(), run
         return found
 
@@ -128,8 +139,6 @@ class Codec:
 
     def _learned(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of marked words; their first mark is left out in the names."""
-        if len(self._pairs) > self._keep:
-            self._pairs.clear()
         # odd places of a split hold the characters outside all pieces
         split = [self._stranger.split(MARK + w) for w in words]
         found = self._walk(sorted({run for parts in split for run in parts[::2] if run}))
@@ -154,19 +163,23 @@ class Codec:
         """Ids of whole texts (non-null strings), one after another, and where each text's ids end."""
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        lists = pc.split_pattern(texts, " ") if self._plain else None
         odd = pc.or_(pc.match_substring_regex(texts, f"^ |  | \\z|{MARK}"), pc.equal(texts, ""))
-        if pc.any(odd).as_py() or not self._plain:
+        if lists is None or pc.all(odd).as_py():
             lists = pa.array([self.words(t) for t in texts.to_pylist()], pa.list_(pa.string()))
-        else:
-            lists = pc.split_pattern(texts, " ")
+        elif pc.any(odd).as_py():
+            # only the odd texts become Python strings; the words of each text are taken from its own kind
+            others = pa.array([self.words(t) for t in texts.filter(odd).to_pylist()], pa.list_(lists.type.value_type))
+            at = np.where(odd_ := odd.to_numpy(zero_copy_only=False), len(lists) + np.cumsum(odd_) - 1, np.arange(len(lists)))
+            lists = pa.concat_arrays([lists, others.cast(lists.type)]).take(pa.array(at))
         coded = lists.flatten().dictionary_encode()
-        index, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        pool = self._words.all(names, self._learned)
-        sizes = np.array([len(p) // 4 for p in pool], np.int64)
-        flat, starts, counts = np.frombuffer(b"".join(pool), "<u4"), np.cumsum(sizes) - sizes, sizes[index]
-        ends = np.r_[0, np.cumsum(counts)]
-        place = np.repeat(starts[index] - ends[:-1], counts) + np.arange(int(ends[-1]))
-        return flat[place], ends[np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+        pool = self._words.all(coded.dictionary.to_pylist(), self._learned)
+        sizes = np.array([len(p) // 4 for p in pool], np.int32)
+        # Arrow lays the words' ids behind each other without an index per id
+        known = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), np.frombuffer(b"".join(pool), np.int32))
+        ends = np.r_[0, np.cumsum(sizes[coded.indices.to_numpy()], dtype=np.int64)]
+        ids = pa.concat_arrays([known.take(coded.indices.slice(k, 1 << 16)).flatten() for k in range(0, len(coded), 1 << 16)] or [pa.array([], pa.int32())])
+        return ids.to_numpy().view("<u4"), ends[np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; without the space that encoding put before it."""
@@ -178,9 +191,11 @@ def _coded(batches, model: str):
     """(other columns and texts of some rows, ids of each text, codec)."""
     codec = worker_value(Codec, model)
     for batch in batches:
-        for part in slices(batch, batch.num_columns - 1, 3_000_000):
+        for part in slices(batch, batch.num_columns - 1, CHARS):
             ids, ends = codec.encode_all(part.column(batch.num_columns - 1))
             yield part.columns, np.split(ids, ends[:-1]) if len(ends) else [], codec
+            # else the allocator keeps what one part took, tens of MB a worker, beside what the next ones take
+            pa.default_memory_pool().release_unused()
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -143,6 +143,26 @@ def test_pieces_and_texts_of_the_library():
             assert codec.decode(ids) == text
 
 
+def test_long_words_do_not_pile_up_in_the_codec():
+    import sentencepiece
+    import tracemalloc
+
+    library, codec, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), sp.Codec(PIECES, keep=1000), random.Random(5)
+    words = ["".join(rng.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=800)) for _ in range(300)]
+    tracemalloc.start()
+    try:
+        for k in range(0, len(words), 10):
+            texts = words[k:k + 10]
+            flat, ends = codec.encode_all(pa.array(texts))
+            assert [ids.tolist() for ids in np.split(flat, ends)[:-1]] == library.encode(texts)
+            del flat, ends
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    # 23 MB before the memory of words and pairs was bound by their size
+    assert held < 500_000
+
+
 def test_unigram_model_by_highest_sum(tmp_path):
     """The same pieces as a unigram model: the library's own Viterbi, up to segmentations of equal score."""
     import sentencepiece
