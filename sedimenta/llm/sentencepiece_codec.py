@@ -33,6 +33,7 @@ UNKNOWN_COST = 10.0
 UNKNOWN_TEXT = " ⁇ "
 # bytes of text that are worked off at once; their words and ids take some thirty times as much for a moment
 CHARS = 1_500_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class Codec:
@@ -242,8 +243,14 @@ def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
 
 def tokenized(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: (doc_id, n_tokens, ids, decoded_sha256), the decoded text being that of the document."""
+    """Pipeline stage: (doc_id, n_tokens, ids, decoded_sha256), the decoded text being that of the document.
+
+    Unless the session bounds its Arrow batches already, they get a bound of two parts: Spark's own, of 10,000 rows, takes tens
+    of MB more in each worker. The bound stays for the session. Results do not depend on it.
+    """
     model = vocabulary("piece_bpe_32k.model")
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(2 * CHARS))
 
     def columns(batches):
         for (keys, _), each, codec in _coded(batches, model):

@@ -163,6 +163,20 @@ def test_long_words_do_not_pile_up_in_the_codec():
     assert held < 500_000
 
 
+def test_tokenized_bounds_arrow_batches(spark):
+    long = spark.range(40).selectExpr("id AS doc_id", "repeat('two words ', 20000 + int(id)) AS text").coalesce(1)
+    try:
+        got = sp.tokenized(spark, long, "")
+        assert spark.conf.get(sp.BATCH_BYTES) == str(2 * sp.CHARS)
+        assert got.count() == 40 and got.select("n_tokens").distinct().count() == 40
+        # a bound that the session has stays
+        spark.conf.set(sp.BATCH_BYTES, "1000000")
+        sp.tokenized(spark, long, "")
+        assert spark.conf.get(sp.BATCH_BYTES) == "1000000"
+    finally:
+        spark.conf.unset(sp.BATCH_BYTES)
+
+
 def test_unigram_model_by_highest_sum(tmp_path):
     """The same pieces as a unigram model: the library's own Viterbi, up to segmentations of equal score."""
     import sentencepiece
