@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sedimenta import rules
 from sedimenta.plans import catalog
-from sedimenta.operators import context, domain, notes, ranking, ratelimit, scan, skew, tech, tree
+from sedimenta.operators import context, domain, notes, ranking, ratelimit, scan, skew, summaries, tech, tree
 from sedimenta.plans.analysis import Analysis
 
 
@@ -360,3 +360,21 @@ def test_winning_evidence_searches_texts_once(spark):
     # the searches are behind it: evidence comes from a written table, for the scores and for the list
     assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert rows.count() > 0
+
+
+def replacements(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")
+
+
+def with_and_without_text(make_files):
+    return make_files({"src/a.py": "password = 'hunter2hunter2'", "src/empty.py": "", "src/lost.py": None, "top.py": "x"}, size=60 * 1024)
+
+
+def test_large_file_notes_redact_once(make_files):
+    """Each rule replaces in one place of the plan; the condition on the text's length does not hold the rules again."""
+    files = with_and_without_text(make_files)
+    few = ranking.top_files(scan.scan(files, secret_rules=rules.SECRET_RULES[:3]), 9)
+    assert replacements(summaries.large_file_notes(few)) == 3
+    notes = summaries.large_file_notes(Analysis(files).selected)
+    assert replacements(notes) == len(rules.SECRET_RULES)
+    assert sorted(r.path for r in notes.collect()) == ["src/a.py", "top.py"]
