@@ -140,7 +140,7 @@ def large_file_notes(selected: DataFrame) -> DataFrame:
 
 def module_rollup(selected: DataFrame) -> DataFrame:
     """Selected files with text by first path segment; the selection bounds the list."""
-    selected = selected.filter(F.length("content_preview") > 0)
+    selected = _with_text(selected)
     listed = F.array_sort(F.collect_list(F.struct("rank", "path")))
     return selected.groupBy("project", paths.module(F.col("path")).alias("module")).agg(
         F.count("*").alias("n_files"), F.min("rank").alias("ord"),

@@ -378,3 +378,12 @@ def test_large_file_notes_redact_once(make_files):
     notes = summaries.large_file_notes(Analysis(files).selected)
     assert replacements(notes) == len(rules.SECRET_RULES)
     assert sorted(r.path for r in notes.collect()) == ["src/a.py", "top.py"]
+
+
+def test_module_rollup_redacts_once(make_files):
+    files = with_and_without_text(make_files)
+    few = ranking.top_files(scan.scan(files, secret_rules=rules.SECRET_RULES[:3]), 9)
+    assert replacements(summaries.module_rollup(few)) == 3
+    rows = summaries.module_rollup(Analysis(files).selected)
+    assert replacements(rows) == len(rules.SECRET_RULES)
+    assert {(r.module, r.n_files, r.text) for r in rows.collect()} == {("src", 1, "Module 'src': src/a.py"), ("root", 1, "Module 'root': top.py")}
