@@ -101,7 +101,7 @@ def summary_text(column: str = "content_preview") -> Column:
 
 def structural_summaries(selected: DataFrame, languages: Iterable[str] = tuple(rules.LANGUAGE_SUFFIXES)) -> DataFrame:
     """Add ``summary`` to selected files; files without text have none."""
-    described = with_symbols(selected.filter(F.length("content_preview") > 0), languages)
+    described = with_symbols(_with_text(selected), languages)
     # lower case once per text, not once per searched word
     described = described.withColumn("_low", F.lower("content_preview"))
     content, low = F.col("content_preview"), F.col("_low")
